@@ -1,3 +1,10 @@
 """pulsegrid: a Spark-first engine for electrocardiogram records and signal tables."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# Functions of this package travel to the executors whole, so these need no copy of it.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -100,14 +100,15 @@ def _unit_word(c: Column) -> Column:
     return F.when(c.rlike(r"^(?!(?:na|arb|none|null|unknown|au)$)\p{L}{1,12}$"), c)
 
 
-def lead_values(leads: DataFrame, amplitude: bool = False) -> DataFrame:
+def lead_values(leads: DataFrame, amplitude: bool = False, extra: tuple[str, ...] = (), unknown: bool = False) -> DataFrame:
     """record_id, lead_no, entity (device), notation, and x so that one sample step is x times the notation's scale.
 
     ``inverse`` notations (counts per millivolt) have x as the inverse of the resolution. With ``amplitude``, also the
-    lead's span of samples.
+    lead's span of samples. ``extra`` columns are passed through; with ``unknown``, leads without any unit stay, with a
+    null notation.
     """
     cols = ["record_id", "lead_no", "serial_number", "is_raw", "resolution", "resolution_unit", "units", "adc_resolution", "adc_resolution_unit", "annotations"]
-    df = need(leads, *cols, *(["samples"] if amplitude else []))
+    df = need(leads, *cols, *(["samples"] if amplitude and "samples" not in extra else []), *extra)
     notes = F.lower(F.array_join(F.map_values("annotations"), " | "))
     noted = F.regexp_extract(notes, r"(?<!\p{L})((?:nano|micro|milli)?[ -]?volts?|[nuµμm]v)(?!\p{L})", 1)
     df = settle(df.withColumns({
@@ -126,8 +127,17 @@ def lead_values(leads: DataFrame, amplitude: bool = False) -> DataFrame:
     keep = ["record_id", "lead_no", F.col("serial_number").alias("entity"), F.lit("sample_step").alias("quantity")]
     if amplitude:
         keep.append((F.array_max("samples") - F.array_min("samples")).alias("span"))
+    if unknown:
+        choice = F.coalesce(choice, F.struct(F.when(F.col("_raw"), F.coalesce(r, one)).otherwise(one).alias("x"), F.lit(None).cast("string").alias("notation"), F.lit(False).alias("inverse")))
     df = settle(df.withColumn("_choice", choice)).where("_choice IS NOT NULL")
-    return df.select(*keep, "_choice.x", "_choice.notation", "_choice.inverse")
+    return df.select(*keep, *extra, "_choice.x", "_choice.notation", "_choice.inverse")
+
+
+def lead_scales(leads: DataFrame) -> DataFrame:
+    """(notation, scale) of the notations of lead samples, linked through the devices."""
+    spans = lead_values(leads, amplitude=True).where("span > 0 AND span < double('Infinity') AND entity IS NOT NULL")
+    scales = notation_scales(spans.select("quantity", "entity", "notation", (F.col("x") * F.col("span")).alias("x")))
+    return local_if_small(scales.select("notation", "scale"), NOTATION_BOUND)
 
 
 def pairwise_links(values: DataFrame) -> DataFrame:
