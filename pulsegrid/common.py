@@ -72,8 +72,8 @@ def local_if_small(df: DataFrame, bound: int) -> DataFrame:
     Spark then broadcasts it by its own size check, so a big fact table is neither shuffled nor skewed by the join; a
     table beyond the bound stays distributed and the join becomes an ordinary one.
     """
-    rows = df.limit(bound + 1).collect()
-    if len(rows) > bound:
+    rows = df.limit(bound + 1).toArrow()
+    if rows.num_rows > bound:
         return df
     return df.sparkSession.createDataFrame(rows, df.schema)
 

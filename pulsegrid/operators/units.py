@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.common import blank, local_if_small, need, settle
+from pulsegrid.common import blank, cut, local_if_small, need, settle
 
 # Unit words and what they stand for, in grams, millimetres and nanovolts.
 DECLARED = {
@@ -135,19 +135,23 @@ def lead_values(leads: DataFrame, amplitude: bool = False, extra: tuple[str, ...
 
 def lead_scales(leads: DataFrame) -> DataFrame:
     """(notation, scale) of the notations of lead samples, linked through the devices."""
-    spans = lead_values(leads, amplitude=True).where("span > 0 AND span < double('Infinity') AND entity IS NOT NULL")
+    spans = lead_values(leads, amplitude=True).where("span > 0 AND span < double('Infinity')")
     scales = notation_scales(spans.select("quantity", "entity", "notation", (F.col("x") * F.col("span")).alias("x")))
     return local_if_small(scales.select("notation", "scale"), NOTATION_BOUND)
 
 
-def pairwise_links(values: DataFrame) -> DataFrame:
+def representatives(values: DataFrame) -> DataFrame:
+    """(quantity, entity, notation, v, n): the median log value and the number of values of an entity in a notation."""
+    return values.groupBy("quantity", "entity", "notation").agg(F.percentile_approx(F.log("x"), 0.5, 200).alias("v"), F.count("*").alias("n"))
+
+
+def pairwise_links(rep: DataFrame) -> DataFrame:
     """(quantity, a, b, links, log_ratio): the robust scale between two notations, over the entities with both.
 
     Medians are taken twice: within entity and notation, and over entities. Notations of an entity are few (they are a
     vocabulary), so its pairs are few whatever the number of its rows.
     """
-    rep = values.groupBy("quantity", "entity", "notation").agg(F.percentile_approx(F.log("x"), 0.5, 200).alias("v"))
-    per = rep.groupBy("quantity", "entity").agg(F.array_sort(F.collect_list(F.struct("notation", "v"))).alias("all")).where(F.size("all") > 1)
+    per = rep.where("entity IS NOT NULL").groupBy("quantity", "entity").agg(F.array_sort(F.collect_list(F.struct("notation", "v"))).alias("all")).where(F.size("all") > 1)
     pairs = per.select("quantity", F.explode("all").alias("p"), "all").select("quantity", "p", F.explode("all").alias("q")).where("p.notation < q.notation")
     return pairs.groupBy("quantity", F.col("p.notation").alias("a"), F.col("q.notation").alias("b")).agg(
         F.count("*").alias("links"), F.percentile_approx(F.col("p.v") - F.col("q.v"), 0.5, 1000).alias("log_ratio")
@@ -181,13 +185,14 @@ def notation_scales(values: DataFrame) -> DataFrame:
 
     ``values``: quantity, entity, notation, x. Every notation is listed, also one without a scale.
     """
-    seen = values.groupBy("quantity", "notation").agg(F.count("*").alias("n"))
+    rep = cut(representatives(values))  # the one pass over the values; what follows is as small as entities times notations
+    seen = rep.groupBy("quantity", "notation").agg(F.sum("n").alias("n"))
 
     def run(key: tuple, links: pd.DataFrame) -> pd.DataFrame:
         found = propagate(links, key[0])
         return pd.DataFrame({"quantity": key[0], "notation": list(found), "measured": list(found.values())})
 
-    measured = pairwise_links(values).groupBy("quantity").applyInPandas(lambda key, g: run(key, g), "quantity string, notation string, measured double")
+    measured = pairwise_links(rep).groupBy("quantity").applyInPandas(lambda key, g: run(key, g), "quantity string, notation string, measured double")
     declared = values.sparkSession.createDataFrame([(q, w.replace("µ", "u").replace("μ", "u") if q == "sample_step" else w, v) for q, ws in DECLARED.items() for w, v in ws.items()], "quantity string, notation string, declared double").dropDuplicates(["quantity", "notation"])
     out = seen.join(measured, ["quantity", "notation"], "left").join(declared, ["quantity", "notation"], "left")
     return out.withColumn("scale", F.coalesce("measured", "declared"))
@@ -198,7 +203,7 @@ def common_units(records: DataFrame, leads: DataFrame, sites: DataFrame) -> Data
     body = body_values(records, sites)
     spans = lead_values(leads, amplitude=True).where("span > 0 AND span < double('Infinity')")
     links = body.select("quantity", "entity", "notation", "x").unionByName(spans.select("quantity", "entity", "notation", (F.col("x") * F.col("span")).alias("x")))
-    scales = local_if_small(notation_scales(links.where("entity IS NOT NULL")).select("quantity", "notation", "scale"), NOTATION_BOUND)
+    scales = local_if_small(notation_scales(links).select("quantity", "notation", "scale"), NOTATION_BOUND)
     # a notation met only in rows without an entity has no link and no entry; its own text declares it
     declared = F.lit(None).cast("double")
     for q, words in DECLARED.items():
