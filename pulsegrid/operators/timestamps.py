@@ -1,6 +1,6 @@
 """Mixed timestamp notations into one UTC moment (problem 1).
 
-Every value is split by a closed set of layouts (all in JVM regular expressions). A layout whose parts can be read in more
+Every value is split by a closed set of layouts. A layout whose parts can be read in more
 than one way (``03/04/2021``, ``05/06/07``, ``10122011``) has several candidate formats; a value supports each
 format under which it is a real day. Per source (site and device) and layout, expectation maximisation over the mixture of
 formats turns these supports into posteriors, with the site's own day and month order as the prior. Only counts by
@@ -13,12 +13,16 @@ rows count once in :func:`moments`; a row without a known site has no zone, so a
 
 from __future__ import annotations
 
+import re
+import zoneinfo
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.common import blank, local_if_small, need, settle
+from pulsegrid.common import blank, local_if_small, need
 
 # Month names by language, in order.
 MONTHS = [
@@ -48,11 +52,6 @@ FORMATS = {"sep_y4": ["DMY", "MDY"], "sep_y2": ["DMY", "MDY", "YMD"]}
 POSTERIOR_BOUND = 50_000
 
 
-def _lookup(pairs: dict[str, int], key: Column) -> Column:
-    entries = [x for k, v in pairs.items() for x in (F.lit(k), F.lit(v))]
-    return F.try_element_at(F.create_map(*entries), key)
-
-
 def _int(c: Column) -> Column:
     return F.when(c != "", c).cast("int")
 
@@ -66,51 +65,97 @@ def _real_day(y: Column, m: Column, d: Column) -> Column:
     return F.coalesce(y.between(1800, 2199) & m.between(1, 12) & (d >= 1) & (d <= _days_in_month(y, m)), F.lit(False))
 
 
-def split_layout(df: DataFrame, raw: str) -> DataFrame:
-    """Adds ``layout``, its parts ``p1 p2 p3`` and the ``rest`` after the day."""
-    s = F.lower(F.trim(F.regexp_replace(F.col(raw), "[\\u00a0\\s]+", " ")))
-    s = F.regexp_replace(s, r"^\p{L}{2,12}\.?,? (?=\d)(?!\d{1,2}(st|nd|rd|th)?,? \d{4})", "")  # a weekday before digits
-    s = F.regexp_replace(s, r"^\p{L}{2,12}\.?, ?", "")
-    s = F.regexp_replace(s, r" (de|del|of) ", " ")
-    s = F.regexp_replace(s, r" ?\buhr\b", "")
-    df = settle(df.withColumn("_s", s))
-    rules = [  # layout, pattern; three groups each
-        ("epoch13", r"^(\d{13})()()$"),
-        ("epoch16", r"^(\d{16})()()$"),
-        ("epoch10", r"^(\d{10})()()$"),
-        ("compact", r"^((?:18|19|20|21)\d{2})(\d{2})(\d{2})(?=$|t?\d{4}|[ z+\-])"),
-        ("sep_y4", r"^(\d{2})(\d{2})((?:18|19|20|21)\d{2})(?=$|t\d|[ z+\-])"),
-        ("ymd", r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})(?!\d)"),
-        ("sep_y4", r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{4})(?!\d)"),
-        ("sep_y2", r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{2})(?!\d)"),
-        ("dmon", r"^(\d{1,2})(?:st|nd|rd|th)?[-./ ]+(\p{L}{3,12})\.?[-/, ]+(\d{4}|\d{2})(?!\d)"),
-        ("mond", r"^(\p{L}{3,12})\.? (\d{1,2})(?:st|nd|rd|th)?,? (\d{4})(?!\d)"),
-    ]
-    c, none = F.col("_s"), F.lit(None).cast("string")
-    df = settle(df.withColumn("_rule", F.coalesce(*[F.when(c.rlike(pattern), F.lit(k)) for k, (_, pattern) in enumerate(rules)])))
-
-    def by_layout(f):  # noqa: ANN001, ANN202
-        out = F.when(F.lit(False), none)
-        for k, (_, pattern) in enumerate(rules):
-            out = out.when(F.col("_rule") == k, f(pattern))
-        return out
-
-    parts = {f"p{k}": by_layout(lambda pattern, k=k: F.regexp_extract(c, pattern, k)) for k in (1, 2, 3)}
-    layout = F.when(F.lit(False), none)
-    for k, (name, _) in enumerate(rules):
-        layout = layout.when(F.col("_rule") == k, name)
-    df = settle(df.withColumns({**parts, "layout": layout, "rest": by_layout(lambda pattern: F.regexp_replace(c, pattern, ""))}))
-    months = {w: k + 1 for k, words in enumerate(MONTHS) for w in words.split()}
-    word = F.when(F.col("layout") == "dmon", F.col("p2")).when(F.col("layout") == "mond", F.col("p1"))
-    number = {k: _int(F.when(F.col(f"p{k}").rlike(r"^\d{1,4}$"), F.col(f"p{k}"))) for k in (1, 2, 3)}
-    month = _lookup(months, word)
-    named = F.col("layout").isin("dmon", "mond")
-    n1 = F.when(named, number[3]).otherwise(number[1])
-    n2 = F.when(named, month).otherwise(number[2])
-    n3 = F.when(F.col("layout") == "dmon", number[1]).when(F.col("layout") == "mond", number[2]).otherwise(number[3])
-    # n1 n2 n3 are year, month and day, but in the layouts of FORMATS, where they stand as written
-    short = F.col("layout").isin("sep_y2") | ((F.col("layout") == "dmon") & (F.length("p3") == 2))
-    return settle(df.withColumns({"n1": n1, "n2": n2, "n3": n3, "short": F.coalesce(short, F.lit(False))}).drop("_s", "_rule"))
+_MONTH = {w: k + 1 for k, words in enumerate(MONTHS) for w in words.split()}
+# layout, and a pattern with its parts; the first that fits counts
+_LAYOUTS = [
+    (name, re.compile(pattern))
+    for name, pattern in (
+        ("epoch13", r"(\d{13})()()$"),
+        ("epoch16", r"(\d{16})()()$"),
+        ("epoch10", r"(\d{10})()()$"),
+        ("compact", r"((?:18|19|20|21)\d{2})(\d{2})(\d{2})(?=$|t?\d{4}|[ z+\-])"),
+        ("sep_y4", r"(\d{2})(\d{2})((?:18|19|20|21)\d{2})(?=$|t\d|[ z+\-])"),
+        ("ymd", r"(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})(?!\d)"),
+        ("sep_y4", r"(\d{1,2})[-/.](\d{1,2})[-/.](\d{4})(?!\d)"),
+        ("sep_y2", r"(\d{1,2})[-/.](\d{1,2})[-/.](\d{2})(?!\d)"),
+        ("dmon", r"(\d{1,2})(?:st|nd|rd|th)?[-./ ]+([^\W\d_]{3,12})\.?[-/, ]+(\d{4}|\d{2})(?!\d)"),
+        ("mond", r"([^\W\d_]{3,12})\.? (\d{1,2})(?:st|nd|rd|th)?,? (\d{4})(?!\d)"),
+    )
+]
+_ZONE = r" ?(?:(?:utc|gmt)? ?([+-]\d{2}):?(\d{2})?|([^\W\d_]{1,5}))? ?(?:\[([^\]]+)\])?$"
+_CLOCK = re.compile(r"[t, ]*(\d{1,2})[:.h](\d{2})(?:[:.](\d{2})(?:[.,]\d+)?)? ?(?:([ap])\.? ?m\.?)?" + _ZONE)
+_NO_CLOCK = re.compile(_ZONE)
+_BLANKS, _WEEKDAY, _OF, _UHR = re.compile(r"[\u00a0\s]+"), re.compile(r"[^\W\d_]{2,12}\.?, ?(?=\d)"), re.compile(r" (?:de|del|of) "), re.compile(r" ?\buhr\b")
+_RUN_ON = re.compile(r"t?(\d{2})(\d{2})(\d{2})?(?=\D|$)")
+
+#: What :func:`read_notation` finds: the layout; its three numbers, being year, month and day except in the layouts of
+#: FORMATS, where they stand as written; whether the year has two digits; seconds of the day; minutes east; a named region;
+#: whether a zone that stands there is known; an epoch number.
+NOTATION = "layout string, n1 int, n2 int, n3 int, short boolean, sec int, off int, region string, zone_ok boolean, number bigint"
+_NOTHING = (None, None, None, None, False, None, None, None, True, None)
+
+
+@lru_cache(1)
+def _regions() -> dict[str, str]:
+    """Names of time zones by their lower-case spelling."""
+    return {z.lower(): z for z in zoneinfo.available_timezones()}
+
+
+@lru_cache(100_000)
+def read_notation(raw: str) -> tuple:
+    """The parts of a timestamp text, without deciding what ambiguous numbers mean."""
+    s = _BLANKS.sub(" ", raw).strip().lower()
+    s = _UHR.sub("", _OF.sub(" ", _WEEKDAY.sub("", s, count=1) if s[:1].isalpha() else s))
+    for layout, pattern in _LAYOUTS:
+        if m := pattern.match(s):
+            break
+    else:
+        return _NOTHING
+    if layout.startswith("epoch"):
+        return (layout, None, None, None, False, None, None, None, True, int(m[1]))
+    if layout == "dmon":
+        numbers = (int(m[3]), _MONTH.get(m[2]), int(m[1]))
+    elif layout == "mond":
+        numbers = (int(m[3]), _MONTH.get(m[1]), int(m[2]))
+    else:
+        numbers = (int(m[1]), int(m[2]), int(m[3]))
+    short = layout == "sep_y2" or (layout == "dmon" and len(m[3]) == 2)
+    rest = s[m.end() :]
+    if layout == "compact":
+        rest = _RUN_ON.sub(lambda r: f" {r[1]}:{r[2]}" + (f":{r[3]}" if r[3] else ""), rest, count=1) if _RUN_ON.match(rest) else rest
+    sec, zone = None, None
+    if c := _CLOCK.match(rest):
+        hour, minute, second, half = int(c[1]), int(c[2]), int(c[3] or 0), c[4]
+        if half:
+            hour = hour % 12 + (12 if half == "p" else 0) if 1 <= hour <= 12 else 99
+        if hour < 24 and minute < 60 and second < 60:
+            sec = hour * 3600 + minute * 60 + second
+        zone = c.groups()[4:]
+    elif c := _NO_CLOCK.match(rest):
+        sec, zone = 0, c.groups()
+    off, region, ok = None, None, True
+    if zone:
+        if zone[0]:
+            off = (abs(int(zone[0])) * 60 + int(zone[1] or 0)) * (-1 if zone[0][0] == "-" else 1)
+        elif zone[2]:
+            off = ZONES.get(zone[2])
+            ok = off is not None
+        elif zone[3]:
+            region = _regions().get(zone[3])
+            ok = region is not None
+    return (layout, *numbers, short, sec, off, region, ok, None)
+
+
+def split_notation(df: DataFrame, raw: str) -> DataFrame:
+    """Adds the columns of NOTATION. Text rules of this number outgrow generated code, so they run over Arrow batches."""
+
+    @F.pandas_udf(NOTATION)
+    def read(texts: pd.Series) -> pd.DataFrame:
+        rows = [read_notation(t) if t is not None else _NOTHING for t in texts]
+        out = pd.DataFrame(rows, columns=[c.split()[0] for c in NOTATION.split(", ")])
+        return out.astype({c: "Int64" for c in ("n1", "n2", "n3", "sec", "off", "number")})
+
+    return df.withColumn("_n", read(F.col(raw))).select("*", "_n.*").drop("_n")
 
 
 def _full_year(y: Column) -> Column:
@@ -131,7 +176,7 @@ def with_valid_formats(df: DataFrame) -> DataFrame:
     mask = F.when(F.col("layout").isNull(), 0).when(F.col("layout").startswith("epoch"), 1)
     for layout, formats in FORMATS.items():
         mask = mask.when(F.col("layout") == layout, sum((F.col(f"_ok_{fmt}") * (1 << k) for k, fmt in enumerate(formats)), F.lit(0)))
-    return settle(settle(df).withColumn("mask", mask.otherwise(F.col("_ok_YMD"))).drop("_ok_DMY", "_ok_MDY", "_ok_YMD"))
+    return df.withColumn("mask", mask.otherwise(F.col("_ok_YMD"))).drop("_ok_DMY", "_ok_MDY", "_ok_YMD")
 
 
 def mixture_posteriors(counts: pd.DataFrame, steps: int = 50, sure: float = 0.95) -> pd.DataFrame:
@@ -188,7 +233,7 @@ def normalise(values: DataFrame, sites: DataFrame) -> DataFrame:
         _int(F.regexp_extract(rec, r"(?<!\d)((?:19|20)\d\d)(?:(?!\d)|(?=\d{4}))", 1)),
         F.year("ingested_at"),
     )
-    df = split_layout(df.withColumn("late_year", F.when(F.col("field_name") == "birth_date", rec_year).otherwise(F.coalesce(F.year("ingested_at"), rec_year))), "raw")
+    df = split_notation(df.withColumn("late_year", F.when(F.col("field_name") == "birth_date", rec_year).otherwise(F.coalesce(F.year("ingested_at"), rec_year))), "raw")
     df = with_valid_formats(df)
     counts = df.where("layout IS NOT NULL").groupBy("site_id", "serial", "layout", "mask").agg(F.max("date_order").alias("date_order"), F.count("*").alias("n"))
     posterior = counts.groupBy("site_id", "serial", "layout").applyInPandas(lambda g: mixture_posteriors(g), "site_id string, serial string, layout string, mask int, format string, posterior double, ambiguous boolean")
@@ -197,37 +242,16 @@ def normalise(values: DataFrame, sites: DataFrame) -> DataFrame:
 
     civil = {fmt: _civil(fmt) for fmt in ("DMY", "MDY", "YMD")}
     pick = lambda k: F.when(F.col("format") == "DMY", civil["DMY"][k]).when(F.col("format") == "MDY", civil["MDY"][k]).otherwise(civil["YMD"][k])
-    df = settle(df.withColumns({"_y": pick(0), "_mo": pick(1), "_d": pick(2)}))
+    df = df.withColumns({"_y": pick(0), "_mo": pick(1), "_d": pick(2)})
     y, m, d = F.col("_y"), F.col("_mo"), F.col("_d")
     real = (F.col("mask") > 0) & ~F.col("layout").startswith("epoch") & _real_day(y, m, d)
     day = F.when(real, F.unix_date(F.make_date(F.when(real, y), F.when(real, m), F.when(real, d)))).cast("long")
-    zone_part = r" ?(?:(?:utc|gmt)? ?([+-]\d{2}):?(\d{2})?|(\p{L}{1,5}))? ?(?:\[([^\]]+)\])?$"
-    clock = r"^[t, ]*(\d{1,2})[:.h](\d{2})(?:[:.](\d{2})(?:[.,]\d+)?)? ?(?:([ap])\.? ?m\.?)?" + zone_part
-    rest = F.when(F.col("layout") == "compact", F.regexp_replace("rest", r"^t?(\d{2})(\d{2})(\d{2})", "$1:$2:$3")).otherwise(F.col("rest"))
-    rest = F.when(F.col("layout") == "compact", F.regexp_replace(rest, r"^t?(\d{2})(\d{2})(?!:)(?=\D|$)", "$1:$2")).otherwise(rest)
-    df = settle(df.withColumns({"day": day, "_rest": rest}))
-    bare = r"^" + zone_part
-    timed, daily = F.col("_rest").rlike(clock), F.col("_rest").rlike(bare)
-    g = lambda k: F.regexp_extract("_rest", clock, k)
-    z = lambda k: F.when(timed, g(4 + k)).otherwise(F.regexp_extract("_rest", bare, k))
-    df = settle(df.withColumns({"_h": g(1), "_m": g(2), "_s": g(3), "_half": g(4), "_z1": z(1), "_z2": z(2), "_z3": z(3), "_z4": z(4), "_timed": timed, "_daily": daily}))
-    g = lambda k: F.col(["_h", "_m", "_s", "_half"][k - 1])
-    z = lambda k: F.col(f"_z{k}")
-    timed, daily = F.col("_timed"), F.col("_daily")
-    hour0, minute, second, half = _int(g(1)), _int(g(2)), F.coalesce(_int(g(3)), F.lit(0)), g(4)
-    hour = F.when(half == "", hour0).when(hour0.between(1, 12), hour0 % 12 + F.when(half == "p", 12).otherwise(0))
-    clock_ok = F.coalesce(hour.between(0, 23) & minute.between(0, 59) & second.between(0, 59), F.lit(False))
-    seconds = F.when(timed, F.when(clock_ok, hour * 3600 + minute * 60 + second)).when(daily, 0)
-    offset = F.when(z(1) != "", (F.abs(_int(z(1))) * 60 + F.coalesce(_int(z(2)), F.lit(0))) * F.when(F.substring(z(1), 1, 1) == "-", -1).otherwise(1)).when(z(3) != "", _lookup(ZONES, z(3)))
-    words = F.concat_ws("/", F.transform(F.split(z(4), "/"), lambda part: F.array_join(F.transform(F.split(part, "_"), F.initcap), "_")))
-    region = F.when((z(1) == "") & (z(3) == "") & (z(4) != ""), words)
-    known_zone = (z(1) != "") | F.coalesce(_lookup(ZONES, z(3)).isNotNull(), F.lit(False))
-    df = settle(df.withColumns({"_sec": seconds, "_off": offset, "_region": region, "_zone_ok": known_zone | (z(3) == "")}))
-    wall = F.col("day") * 86400 + F.col("_sec")
-    zone = F.coalesce("_region", "tz")
+    df = df.withColumn("day", day)
+    wall = F.col("day") * 86400 + F.col("sec")
+    zone = F.coalesce("region", "tz")
     local = F.unix_seconds(F.to_utc_timestamp(F.timestamp_seconds(wall), zone))
-    moment = F.when(F.col("_zone_ok"), F.when(F.col("_off").isNotNull(), wall - F.col("_off") * 60).when(zone.isNotNull(), local))
-    number = F.expr("try_cast(p1 as bigint)")
+    moment = F.when(F.col("zone_ok"), F.when(F.col("off").isNotNull(), wall - F.col("off") * 60).when(zone.isNotNull(), local))
+    number = F.col("number")
     epoch = (
         F.when((F.col("field_name") == "birth_date") & F.col("day").isNotNull(), F.col("day") * 86400)
         .when(F.col("field_name") == "birth_date", F.lit(None))
