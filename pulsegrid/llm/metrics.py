@@ -37,31 +37,28 @@ def damerau(a: str, b: str) -> int:
 PIVOTS = 32
 
 
-def radius_join(points: DataFrame, radius: int, block: str = "block", key: str = "key") -> DataFrame:
-    """All pairs of different points of one block within ``radius`` of each other in Levenshtein distance, both ways round.
+def radius_join(points: DataFrame) -> DataFrame:
+    """(block, key_a, key_b): all pairs of different points of a block within its radius in Levenshtein distance, both ways round.
 
-    ``points`` has distinct (block, key). Pivots are a few keys in order of a hash. Every point has a home cell, that of its
-    nearest pivot; it is also copied into each cell whose pivot is at most twice the radius farther than its home: by the
-    triangle inequality no pair is lost, since a partner y of x has d(y, pivot of x) <= d(x, its pivot) + r <= d(y, home) + 2r.
-    Copies are joined with the home points of their cell by (block, cell, length): lengths of partners differ by r at most.
-    Before the distance is taken, the distances to the pivot must differ by r at most. Nothing is capped: a hot block is
-    split by its cells and lengths, and only distances within the radius are emitted.
+    ``points`` has distinct (block, key) and a radius of 2 or 4, the same throughout a block. Pivots are a few keys in order
+    of a hash. Every point has a home cell, that of its nearest pivot; it is also copied into each cell whose pivot is at most
+    twice the radius farther than its home: by the triangle inequality no pair is lost, since a partner y of x has
+    d(y, pivot of x) <= d(x, its pivot) + r <= d(y, home) + 2r. Copies are joined with the home points of their cell by
+    (block, cell, length): lengths of partners differ by r at most. Before the distance is taken, the distances to the pivot
+    must differ by r at most. Nothing is capped: a hot block is split by its cells and lengths, and only pairs within the
+    radius come out.
     """
-    spark = points.sparkSession
+    points = cut(points.select("block", "key", "radius"))
     # a fixed number of keys for pivots, whatever the data; which they are changes the speed and never the result
-    chosen = [r[0] for r in points.select(key).distinct().orderBy(F.xxhash64(key)).limit(PIVOTS).collect()]
-    if not chosen:
-        return spark.createDataFrame([], f"{block} string, {key}_a string, {key}_b string, distance int")
-    to = F.array(*[F.struct(F.levenshtein(F.col(key), F.lit(p)).alias("d"), F.lit(k).alias("cell")) for k, p in enumerate(chosen)])
-    near = cut(points.select(block, key, to.alias("to"))).select(block, key, "to", F.array_min("to").alias("home"))
-    home = near.select(block, F.col("home.cell").alias("cell"), F.length(key).alias("len"), F.col(key).alias("key_a"), F.col("home.d").alias("d_a"))
-    copies = near.select(
-        block, F.col(key).alias("key_b"),
-        F.inline(F.filter("to", lambda t: t["d"] <= F.col("home.d") + 2 * radius)).alias("d_b", "cell"),
-    ).select(block, "cell", "key_b", "d_b", F.explode(F.sequence(F.length("key_b") - radius, F.length("key_b") + radius)).alias("len"))
-    pairs = home.join(copies, [block, "cell", "len"]).where((F.abs(F.col("d_a") - F.col("d_b")) <= radius) & (F.col("key_a") != F.col("key_b")))
-    pairs = pairs.withColumn("distance", F.levenshtein("key_a", "key_b", radius)).where("distance >= 0")
-    return pairs.select(block, F.col("key_a").alias(f"{key}_a"), F.col("key_b").alias(f"{key}_b"), "distance").distinct()
+    chosen = [r.key for r in points.select("key").distinct().orderBy(F.xxhash64("key")).limit(PIVOTS).collect()] or [""]
+    to = F.array(*[F.struct(F.levenshtein(F.col("key"), F.lit(p)).alias("d"), F.lit(k).alias("cell")) for k, p in enumerate(chosen)])
+    near = cut(points.withColumn("to", to)).withColumn("home", F.array_min("to"))
+    home = near.select("block", F.col("home.cell").alias("cell"), F.length("key").alias("len"), F.col("key").alias("key_a"), F.col("home.d").alias("d_a"))
+    copies = near.select("block", F.col("key").alias("key_b"), "radius", F.inline(F.filter("to", lambda t: t["d"] <= F.col("home.d") + 2 * F.col("radius"))).alias("d_b", "cell"))
+    copies = copies.select("block", "cell", "key_b", "d_b", "radius", F.explode(F.sequence(F.length("key_b") - F.col("radius"), F.length("key_b") + F.col("radius"))).alias("len"))
+    pairs = home.join(copies, ["block", "cell", "len"]).where((F.abs(F.col("d_a") - F.col("d_b")) <= F.col("radius")) & (F.col("key_a") != F.col("key_b")))
+    within = F.when(F.col("radius") == 2, F.levenshtein("key_a", "key_b", 2)).otherwise(F.levenshtein("key_a", "key_b", 4))
+    return pairs.where(within >= 0).select("block", "key_a", "key_b").distinct()
 
 
 def components(edges: DataFrame, rounds: int = 30) -> DataFrame:

@@ -11,17 +11,16 @@ Entities are the connected components over full names. A partial name (an initia
 entities: it goes to the one it fits, to the one met at most of its sites if several fit, and to none if that is a tie.
 
 Defined results: null and blank names are no keys; one key is linked at most to one entity; an entity of one key gives no
-pair; a patient without any readable birth date is compared with the patients of equal full name only, and only where sex
-and height agree; repeated rows count once.
+pair; a patient without any readable birth date is linked to no other, since names alone recur; repeated rows count once.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.common import blank, cut, need, plain_letters
@@ -76,7 +75,7 @@ def repaired(text: str) -> str:
 
 def fold(text: str) -> str:
     """Lower-case plain letters; Cyrillic becomes Latin."""
-    t = plain_letters(repaired(text)).lower()
+    t = plain_letters(" ".join(repaired(w) for w in text.split(" "))).lower()
     return "".join(CYRILLIC.get(c, c) for c in t)
 
 
@@ -133,10 +132,21 @@ def fits_partial(partial: str, full: str, each: int) -> bool:
 
 #: Slips allowed in each part of a name: among all persons, and among persons born on one day.
 OPEN_SLIPS, DAY_SLIPS = 1, 2
+#: Blocks: patients by birth date, interpreters, parts of the names of either, and words of institutions.
+PATIENT, INTERPRETER, PART, WORD = "p|", "i|", "t|", "w|"
+
+
+def _slips_in(block: str) -> int:
+    return DAY_SLIPS if block.removeprefix(PART).startswith(PATIENT) else OPEN_SLIPS
+
+
+def _radius() -> Column:
+    """A slip may be a swap of neighbours, which is two edits."""
+    return F.when(F.col("block").startswith(PATIENT) | F.col("block").startswith(PART + PATIENT), 2 * DAY_SLIPS).otherwise(2 * OPEN_SLIPS)
 
 
 def _keyed(names: DataFrame) -> DataFrame:
-    """Adds ``key`` (two parts in order, one blank between) and ``full`` to (block, id, text)."""
+    """(block, id, key, form, full) of (block, id, text): the name's two parts in order, each of its forms, and whether both are whole."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -147,73 +157,84 @@ def _keyed(names: DataFrame) -> DataFrame:
                     parts = [parts[0], parts[-1]]
                 long = [p for p in parts if len(p) > 2]
                 if long:
-                    rows.append((block, i, " ".join(sorted(parts)), len(long) == 2))
-            yield pd.DataFrame(rows, columns=["block", "id", "key", "full"])
+                    key = " ".join(sorted(parts))
+                    rows += [(block, i, key, f, len(long) == 2) for f in forms(key)]
+            yield pd.DataFrame(rows, columns=["block", "id", "key", "form", "full"])
+
+    return names.mapInPandas(run, "block string, id string, key string, form string, full boolean")
+
+
+def _checked(test: Callable[[str, str, int], bool], pairs: DataFrame) -> DataFrame:
+    """The rows (block, x, y, ..) that pass a test of x and y with the slips of their block."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b[[test(x, y, _slips_in(block)) for block, x, y in zip(b.block, b.x, b.y, strict=True)]]
+
+    return pairs.mapInPandas(run, pairs.schema)
+
+
+SEP = "\u0001"
+
 
-    return names.mapInPandas(run, "block string, id string, key string, full boolean")
+def _node(c: str) -> Column:
+    return F.concat_ws(SEP, "block", c)
 
 
-def link_persons(names: DataFrame, each: int, sites: DataFrame | None = None) -> DataFrame:
-    """(id, entity) of the persons that (block, id, text) stand for; entities lie inside a block.
+def _sorted_parts(c: str) -> Column:
+    return F.array_join(F.array_sort(F.split(c, " ")), " ")
 
-    ``sites``: (id, site, n), where an id was met, for partial names that fit several entities.
+
+def name_points(keyed: DataFrame) -> DataFrame:
+    """(block, key) of the names and of their parts.
+
+    Both orders of a name are points, so it meets its reordered spelling.
     """
-    radius = 2 * each
-    keyed = cut(_keyed(names).where("key <> ''").distinct())
-    form_type = "block string, key string, form string"
+    turned = keyed.where("full").select("block", F.explode(F.array("form", F.concat_ws(" ", F.reverse(F.split("form", " "))))).alias("key"))
+    return turned.union(_parts(keyed).select(F.concat(F.lit(PART), "block"), "part"))
 
-    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame([(block, k, f) for block, k in zip(b.block, b.key, strict=True) for f in forms(k)], columns=["block", "key", "form"])
-
-    def check(test):  # noqa: ANN001, ANN202
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                yield b[[test(x, y, each) for x, y in zip(b.x, b.y, strict=True)]]
-
-        return run
-
-    sep = "\u0001"
-    node = lambda c: F.concat_ws(sep, "block", c)
-    full = keyed.where("full").select("block", "key").distinct()
-    full_forms = cut(full.mapInPandas(spread, form_type))
-    # both orders of the parts are points, so a name meets its reordered spelling
-    turned = full_forms.select("block", F.explode(F.array("form", F.concat_ws(" ", F.reverse(F.split("form", " "))))).alias("key")).distinct()
-    near = radius_join(turned, radius)
-    norm = lambda c: F.array_join(F.array_sort(F.split(c, " ")), " ")
-    near = near.select("block", norm("key_a").alias("x"), norm("key_b").alias("y")).where("x < y").distinct()
+
+def _parts(keyed: DataFrame) -> DataFrame:
+    return keyed.select("block", "key", "form", "full", F.explode(F.split("form", " ")).alias("part")).where("length(part) > 2").distinct()
+
+
+def link_persons(keyed: DataFrame, near: DataFrame, sites: DataFrame) -> DataFrame:
+    """(block, id, entity) of the persons in ``keyed``; ``near`` are the pairs of their points, ``sites`` (id, site, n) where ids were met.
+
+    Entities lie inside a block.
+    """
+    pairs = near.where(~F.col("block").startswith(PART)).select("block", _sorted_parts("key_a").alias("x"), _sorted_parts("key_b").alias("y")).where("x < y").distinct()
     # a graph of keys and forms: a key holds its forms, and forms that fit hold each other
-    held = full_forms.select(node("key").alias("a"), F.concat(node(norm("form")), F.lit(sep)).alias("b"))
-    fits = near.mapInPandas(check(same_full), near.schema).select(F.concat(node("x"), F.lit(sep)).alias("a"), F.concat(node("y"), F.lit(sep)).alias("b"))
-    entity = full.select(node("key").alias("node"), "block", "key").join(components(held.union(fits)), "node", "left").select("block", "key", F.coalesce("component", "node").alias("entity"))
+    form = lambda c: F.concat(_node(c), F.lit(SEP))
+    held = keyed.where("full").select(_node("key").alias("a"), F.concat(F.concat_ws(SEP, "block", _sorted_parts("form")), F.lit(SEP)).alias("b")).distinct()
+    fits = _checked(same_full, pairs).select(form("x").alias("a"), form("y").alias("b"))
+    entity = keyed.where("full").select(_node("key").alias("node"), "block", "key").distinct().join(components(held.union(fits)), "node").select("block", "key", F.col("component").alias("entity"))
     entity = cut(entity)
-    placed = keyed.where("full").join(entity, ["block", "key"]).select("block", "id", "entity")
+    placed = keyed.where("full").select("block", "id", "key").distinct().join(entity, ["block", "key"]).select("block", "id", "entity")
 
-    partial = keyed.where("NOT full")
-    words = lambda df: df.select("block", "key", "form", F.explode(F.split("form", " ")).alias("word")).where("length(word) > 2")
-    part_words, full_words = cut(words(partial.select("block", "key").distinct().mapInPandas(spread, form_type))), words(full_forms)
-    tokens = part_words.select("block", F.col("word").alias("key")).union(full_words.select("block", "word")).distinct()
-    close = radius_join(tokens, radius).select("block", "key_a", "key_b").union(tokens.select("block", "key", F.col("key").alias("key_b")))
+    parts = cut(_parts(keyed))
+    own, whole = parts.where("NOT full"), parts.where("full")
+    close = near.where(F.col("block").startswith(PART)).select(F.substring("block", len(PART) + 1, 1 << 30).alias("block"), "key_a", "key_b")
+    close = close.union(own.select("block", "part", F.col("part").alias("same")).distinct())
     cand = (
-        part_words.select("block", F.col("word").alias("key_a"), F.col("form").alias("x"), "key")
+        own.select("block", F.col("part").alias("key_a"), F.col("form").alias("x"), "key")
         .join(close, ["block", "key_a"])
-        .join(full_words.select("block", F.col("word").alias("key_b"), F.col("form").alias("y"), F.col("key").alias("of")), ["block", "key_b"])
+        .join(whole.select("block", F.col("part").alias("key_b"), F.col("form").alias("y"), F.col("key").alias("of")), ["block", "key_b"])
         .select("block", "x", "y", "key", "of").distinct()
     )
-    cand = cand.mapInPandas(check(fits_partial), cand.schema)
-    options = cand.join(entity.withColumnRenamed("key", "of"), ["block", "of"]).select("block", "key", "entity").distinct()
-    options = partial.select("block", "id", "key").join(options, ["block", "key"])
-    if sites is not None:
-        there = placed.join(sites, "id").groupBy("entity", "site").agg(F.sum("n").alias("n_entity"))
-        weight = options.join(sites, "id").join(there, ["entity", "site"], "left").groupBy("block", "id", "key", "entity").agg(F.sum(F.col("n") * F.coalesce("n_entity", F.lit(0))).alias("w"))
-    else:
-        weight = options.withColumn("w", F.lit(0))
-    best = weight.groupBy("block", "id", "key").agg(F.max(F.struct("w", "entity")).alias("top"), F.count("*").alias("n"), F.max("w").alias("most"))
-    ties = weight.join(best.select("block", "id", "key", "most"), ["block", "id", "key"]).where("w = most").groupBy("block", "id", "key").count().where("count = 1").select("block", "id", "key")
-    chosen = best.join(ties, ["block", "id", "key"]).select("block", "id", F.col("top.entity").alias("entity"))
+    options = _checked(fits_partial, cand).join(entity.withColumnRenamed("key", "of"), ["block", "of"]).select("block", "key", "entity").distinct()
+    partial = keyed.where("NOT full").select("block", "id", "key").distinct()
+    options = cut(partial.join(options, ["block", "key"]))
+    there = placed.join(sites, "id").groupBy("entity", "site").agg(F.sum("n").alias("n_entity"))
+    met = options.join(sites, "id", "left").join(there, ["entity", "site"], "left")
+    weight = met.groupBy("block", "id", "key", "entity").agg(F.sum(F.coalesce(F.col("n") * F.col("n_entity"), F.lit(0))).alias("w"))
+    # the most weighty option, unless another has the same weight
+    ranked = weight.groupBy("block", "id", "key").agg(F.array_sort(F.collect_list(F.struct("w", "entity"))).alias("o"))
+    best, second = F.get("o", F.size("o") - 1), F.get("o", F.size("o") - 2)
+    chosen = ranked.where((F.size("o") == 1) | (best["w"] > second["w"])).select("block", "id", best["entity"].alias("entity"))
     # partial names that fit no full one are an entity of their own where surname and initial are equal
-    alone = partial.join(options.select("block", "id").distinct(), ["block", "id"], "left_anti").select("block", "id", F.concat(node("key"), F.lit(sep)).alias("entity"))
-    return placed.unionByName(chosen).unionByName(alone).select("id", "entity").distinct()
+    alone = partial.join(options.select("block", "id").distinct(), ["block", "id"], "left_anti").select("block", "id", F.concat(_node("key"), F.lit(SEP + SEP)).alias("entity"))
+    return placed.union(chosen).union(alone).distinct()
 
 
 def _acronym(text: str) -> str:
@@ -226,29 +247,37 @@ def institution_words(text: str) -> list[str]:
     return [SHORT.get(w, w) for w in re.findall(r"[a-z?]+", re.sub(r"['’]", "", fold(t)).replace("dayclinic", "day clinic"))]
 
 
-def link_institutions(names: DataFrame) -> DataFrame:
-    """(id, entity) of institutions' spellings, from (id, n).
-
-    Words are the points: a word met seldom is read as the far commoner word within one slip of it. Names are then equal if
-    their sets of words are, and an acronym equals the name whose initials it is where the other words (the town) are in it.
-    """
+def _words(names: DataFrame) -> DataFrame:
+    """(id, n, word) of the institutions' spellings (id, n)."""
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(i, n, w) for i, n, t in zip(b.id, b.n, b.id, strict=True) for w in institution_words(t)]
+            rows = [(i, n, w) for i, n in zip(b.id, b.n, strict=True) for w in institution_words(i)]
             yield pd.DataFrame(rows, columns=["id", "n", "word"])
 
-    words = cut(names.mapInPandas(split, "id string, n long, word string"))
+    return names.mapInPandas(split, "id string, n long, word string")
+
+
+def word_points(words: DataFrame) -> DataFrame:
+    """(block, key) of the words and of all short forms."""
+    shorts = words.sparkSession.createDataFrame(pd.DataFrame({"word": list(SHORT)}))
+    return words.select(F.lit(WORD).alias("block"), F.col("word").alias("key")).union(shorts.select(F.lit(WORD), "word"))
+
+
+def link_institutions(words: DataFrame, near: DataFrame) -> DataFrame:
+    """(id, entity) of institutions' spellings; ``near`` are the pairs of their words.
+
+    A word met seldom is read as the far commoner word within one slip of it. Names are then equal if their sets of words are,
+    and an acronym equals the name whose initials it is where the other words (the town) are in it.
+    """
     counts = words.groupBy("word").agg(F.sum("n").alias("n"))
-    shorts = names.sparkSession.createDataFrame([(w,) for w in SHORT], "word string")
-    points = counts.select(F.col("word").alias("key")).union(shorts.select("word")).distinct().select(F.lit("").alias("block"), "key")
-    near = radius_join(points, 2)
 
     def one_slip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             ok = [slips(x, y, 1) <= 1 and (min(len(x), len(y)) > 3 or (y in SHORT and len(x) > 1)) for x, y in zip(b.key_a, b.key_b, strict=True)]
             yield b[ok]
 
+    near = near.where(F.col("block") == WORD)
     near = near.mapInPandas(one_slip, near.schema).select(F.col("key_a").alias("word"), F.col("key_b").alias("other"))
     full_form = F.create_map(*[F.lit(x) for kv in SHORT.items() for x in kv])
     near = near.withColumn("target", F.coalesce(F.try_element_at(full_form, F.col("other")), F.col("other")))
@@ -272,37 +301,32 @@ def link_institutions(names: DataFrame) -> DataFrame:
     return sets.join(chosen, "id", "left").select("id", F.coalesce("named", "key").alias("entity"))
 
 
-def entity_pairs(members: DataFrame, field: str) -> DataFrame:
-    """(field_name, key_a, key_b), key_a < key_b by code point, of all keys of one entity.
-
-    TESTDATA defines the result as all pairs; an entity has as many keys as it has different spellings or identifiers.
-    """
-    m = cut(members.select("id", "entity").distinct())
-    pairs = m.select("entity", F.col("id").alias("key_a")).join(m.select("entity", F.col("id").alias("key_b")), "entity").where("key_a < key_b")
-    return pairs.select(F.lit(field).alias("field_name"), "key_a", "key_b").distinct()
-
-
-def link_patients(records: DataFrame, births: DataFrame) -> DataFrame:
-    """(id, entity) of patient_ids. ``births``: (record_id, day) with the readable birth dates."""
+def patient_names(records: DataFrame, births: DataFrame) -> DataFrame:
+    """(block, id, text) of the patients: what each id is mostly called and born on. ``births``: (record_id, day)."""
     r = need(records, "record_id", "patient").select("record_id", "patient.patient_id", "patient.first_name", "patient.last_name").where(~blank(F.col("patient_id")))
     r = r.join(births.groupBy("record_id").agg(F.min("day").alias("day")), "record_id", "left")
-    # what a patient is usually called and born on; other spellings of the same id are its own
     text = F.when(~blank(F.col("last_name")), F.concat_ws(" ", F.regexp_replace("first_name", r"\s+", "-"), F.regexp_replace("last_name", r"\s+", "-")))
     own = r.groupBy("patient_id").agg(F.mode("day").alias("day"), F.mode(F.when(~blank(F.col("first_name")), text)).alias("whole"), F.mode(text).alias("any"))
-    own = cut(own.select("patient_id", "day", F.coalesce("whole", "any").alias("text")).where("text IS NOT NULL"))
-    known = own.where("day IS NOT NULL").select(F.col("day").cast("string").alias("block"), F.col("patient_id").alias("id"), "text")
-    return link_persons(known, DAY_SLIPS)
+    return own.where("day IS NOT NULL").select(F.concat(F.lit(PATIENT), F.col("day").cast("string")).alias("block"), F.col("patient_id").alias("id"), F.coalesce("whole", "any").alias("text")).where("text IS NOT NULL")
 
 
 def variant_pairs(records: DataFrame, births: DataFrame) -> DataFrame:
-    """(field_name, key_a, key_b) of patients, institutions and interpreters."""
-    r = need(records, "record_id", "site_id", "recording", "interpretation", "patient").dropDuplicates(["record_id"])
-    inst = r.select(F.col("recording.device.institution").alias("id")).where(~blank(F.col("id"))).groupBy("id").agg(F.count("*").alias("n"))
-    who = r.select(F.col("interpretation.interpreter").alias("id"), F.col("site_id").alias("site")).where(~blank(F.col("id"))).groupBy("id", "site").agg(F.count("*").alias("n"))
-    who = cut(who)
-    persons = link_persons(who.select("id").distinct().select(F.lit("").alias("block"), "id", F.col("id").alias("text")), OPEN_SLIPS, who)
-    return (
-        entity_pairs(link_patients(records, births), "patient")
-        .unionByName(entity_pairs(link_institutions(inst), "institution"))
-        .unionByName(entity_pairs(persons, "interpreter"))
-    )
+    """(field_name, key_a, key_b), key_a < key_b by code point: all pairs of keys of one patient, institution or interpreter.
+
+    TESTDATA defines the result as all pairs; an entity has as many keys as it has different spellings or identifiers. The
+    three fields share one radius join and one search for components, kept apart by their blocks.
+    """
+    r = need(records, "record_id", "site_id", "recording", "interpretation").dropDuplicates(["record_id"])
+    r = cut(r.select("record_id", F.col("site_id").alias("site"), F.col("recording.device.institution").alias("institution"), F.col("interpretation.interpreter").alias("interpreter")))
+    inst = r.where(~blank(F.col("institution"))).groupBy(F.col("institution").alias("id")).agg(F.count("*").alias("n"))
+    sites = cut(r.where(~blank(F.col("interpreter"))).groupBy(F.col("interpreter").alias("id"), "site").agg(F.count("*").alias("n")))
+    interpreters = sites.select(F.lit(INTERPRETER).alias("block"), "id", F.col("id").alias("text")).distinct()
+    keyed = cut(_keyed(patient_names(records, births).union(interpreters)))
+    words = cut(_words(inst))
+    near = cut(radius_join(name_points(keyed).union(word_points(words)).distinct().withColumn("radius", _radius())))
+    field = F.when(F.col("block") == INTERPRETER, "interpreter").otherwise("patient")
+    members = link_persons(keyed, near, sites).select(field.alias("field_name"), "id", "entity").union(link_institutions(words, near).select(F.lit("institution"), "id", "entity"))
+    members = cut(members.distinct())
+    other = members.withColumnRenamed("id", "key_b")
+    pairs = members.withColumnRenamed("id", "key_a").join(other, ["field_name", "entity"]).where("key_a < key_b")
+    return pairs.select("field_name", "key_a", "key_b").distinct()
