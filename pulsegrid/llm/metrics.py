@@ -56,7 +56,7 @@ def radius_join(points: DataFrame) -> DataFrame:
     home = near.select("block", F.col("home.cell").alias("cell"), F.length("key").alias("len"), F.col("key").alias("key_a"), F.col("home.d").alias("d_a"))
     copies = near.select("block", F.col("key").alias("key_b"), "radius", F.inline(F.filter("to", lambda t: t["d"] <= F.col("home.d") + 2 * F.col("radius"))).alias("d_b", "cell"))
     copies = copies.select("block", "cell", "key_b", "d_b", "radius", F.explode(F.sequence(F.length("key_b") - F.col("radius"), F.length("key_b") + F.col("radius"))).alias("len"))
-    pairs = home.join(copies, ["block", "cell", "len"]).where((F.abs(F.col("d_a") - F.col("d_b")) <= F.col("radius")) & (F.col("key_a") != F.col("key_b")))
+    pairs = home.join(copies.hint("merge"), ["block", "cell", "len"]).where((F.abs(F.col("d_a") - F.col("d_b")) <= F.col("radius")) & (F.col("key_a") != F.col("key_b")))
     within = F.when(F.col("radius") == 2, F.levenshtein("key_a", "key_b", 2)).otherwise(F.levenshtein("key_a", "key_b", 4))
     return pairs.where(within >= 0).select("block", "key_a", "key_b").distinct()
 
@@ -70,9 +70,9 @@ def components(edges: DataFrame, rounds: int = 30) -> DataFrame:
     both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
     label = cut(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("component")).withColumnRenamed("a", "node"))
     for _ in range(rounds):
-        seen = both.join(label, both.b == label.node).groupBy("a").agg(F.min("component").alias("m"))
+        seen = both.join(label.hint("merge"), both.b == label.node).groupBy("a").agg(F.min("component").alias("m"))
         jump = label.select(F.col("node").alias("n2"), F.col("component").alias("c2"))
-        new = label.join(seen, label.node == seen.a, "left").join(jump, label.component == jump.n2, "left")
+        new = label.join(seen.hint("merge"), label.node == seen.a, "left").join(jump.hint("merge"), label.component == jump.n2, "left")
         new = cut(new.select("node", F.least("component", F.coalesce("m", "component"), F.coalesce("c2", "component")).alias("component"), F.col("component").alias("old")))
         if new.where("component <> old").limit(1).count() == 0:
             return new.select("node", "component")

@@ -208,9 +208,9 @@ def link_persons(keyed: DataFrame, near: DataFrame, sites: DataFrame) -> DataFra
     form = lambda c: F.concat(_node(c), F.lit(SEP))
     held = keyed.where("full").select(_node("key").alias("a"), F.concat(F.concat_ws(SEP, "block", _sorted_parts("form")), F.lit(SEP)).alias("b")).distinct()
     fits = _checked(same_full, pairs).select(form("x").alias("a"), form("y").alias("b"))
-    entity = keyed.where("full").select(_node("key").alias("node"), "block", "key").distinct().join(components(held.union(fits)), "node").select("block", "key", F.col("component").alias("entity"))
+    entity = keyed.where("full").select(_node("key").alias("node"), "block", "key").distinct().join(components(held.union(fits)).hint("merge"), "node").select("block", "key", F.col("component").alias("entity"))
     entity = cut(entity)
-    placed = keyed.where("full").select("block", "id", "key").distinct().join(entity, ["block", "key"]).select("block", "id", "entity")
+    placed = keyed.where("full").select("block", "id", "key").distinct().join(entity.hint("merge"), ["block", "key"]).select("block", "id", "entity")
 
     parts = cut(_parts(keyed))
     own, whole = parts.where("NOT full"), parts.where("full")
@@ -218,22 +218,22 @@ def link_persons(keyed: DataFrame, near: DataFrame, sites: DataFrame) -> DataFra
     close = close.union(own.select("block", "part", F.col("part").alias("same")).distinct())
     cand = (
         own.select("block", F.col("part").alias("key_a"), F.col("form").alias("x"), "key")
-        .join(close, ["block", "key_a"])
-        .join(whole.select("block", F.col("part").alias("key_b"), F.col("form").alias("y"), F.col("key").alias("of")), ["block", "key_b"])
+        .join(close.hint("merge"), ["block", "key_a"])
+        .join(whole.select("block", F.col("part").alias("key_b"), F.col("form").alias("y"), F.col("key").alias("of")).hint("merge"), ["block", "key_b"])
         .select("block", "x", "y", "key", "of").distinct()
     )
-    options = _checked(fits_partial, cand).join(entity.withColumnRenamed("key", "of"), ["block", "of"]).select("block", "key", "entity").distinct()
+    options = _checked(fits_partial, cand).join(entity.withColumnRenamed("key", "of").hint("merge"), ["block", "of"]).select("block", "key", "entity").distinct()
     partial = keyed.where("NOT full").select("block", "id", "key").distinct()
-    options = cut(partial.join(options, ["block", "key"]))
-    there = placed.join(sites, "id").groupBy("entity", "site").agg(F.sum("n").alias("n_entity"))
-    met = options.join(sites, "id", "left").join(there, ["entity", "site"], "left")
+    options = cut(partial.join(options.hint("merge"), ["block", "key"]))
+    there = placed.join(sites.hint("merge"), "id").groupBy("entity", "site").agg(F.sum("n").alias("n_entity"))
+    met = options.join(sites.hint("merge"), "id", "left").join(there.hint("merge"), ["entity", "site"], "left")
     weight = met.groupBy("block", "id", "key", "entity").agg(F.sum(F.coalesce(F.col("n") * F.col("n_entity"), F.lit(0))).alias("w"))
     # the most weighty option, unless another has the same weight
     ranked = weight.groupBy("block", "id", "key").agg(F.array_sort(F.collect_list(F.struct("w", "entity"))).alias("o"))
     best, second = F.get("o", F.size("o") - 1), F.get("o", F.size("o") - 2)
     chosen = ranked.where((F.size("o") == 1) | (best["w"] > second["w"])).select("block", "id", best["entity"].alias("entity"))
     # partial names that fit no full one are an entity of their own where surname and initial are equal
-    alone = partial.join(options.select("block", "id").distinct(), ["block", "id"], "left_anti").select("block", "id", F.concat(_node("key"), F.lit(SEP + SEP)).alias("entity"))
+    alone = partial.join(options.select("block", "id").distinct().hint("merge"), ["block", "id"], "left_anti").select("block", "id", F.concat(_node("key"), F.lit(SEP + SEP)).alias("entity"))
     return placed.union(chosen).union(alone).distinct()
 
 
@@ -281,9 +281,9 @@ def link_institutions(words: DataFrame, near: DataFrame) -> DataFrame:
     near = near.mapInPandas(one_slip, near.schema).select(F.col("key_a").alias("word"), F.col("key_b").alias("other"))
     full_form = F.create_map(*[F.lit(x) for kv in SHORT.items() for x in kv])
     near = near.withColumn("target", F.coalesce(F.try_element_at(full_form, F.col("other")), F.col("other")))
-    near = near.join(counts.withColumnRenamed("n", "n_word"), "word").join(counts.select(F.col("word").alias("target"), F.col("n").alias("n_target")), "target")
+    near = near.join(counts.withColumnRenamed("n", "n_word").hint("merge"), "word").join(counts.select(F.col("word").alias("target"), F.col("n").alias("n_target")).hint("merge"), "target")
     fixed = near.where("n_target >= 4 * n_word AND target <> word").groupBy("word").agg(F.max_by("target", "n_target").alias("fixed"))
-    corrected = words.join(fixed, "word", "left").select("id", F.coalesce("fixed", "word").alias("word")).where(~F.col("word").isin(sorted(DROPPED)))
+    corrected = words.join(fixed.hint("merge"), "word", "left").select("id", F.coalesce("fixed", "word").alias("word")).where(~F.col("word").isin(sorted(DROPPED)))
     sets = cut(corrected.groupBy("id").agg(F.array_join(F.array_sort(F.collect_set("word")), " ").alias("key")))
     # acronyms: all spellings that consist of a name's words give its initials
     acro = F.regexp_extract("id", r"(?<!\p{L})(\p{Lu}{3,8})(?!\p{L})", 1)
@@ -296,15 +296,15 @@ def link_institutions(words: DataFrame, near: DataFrame) -> DataFrame:
     # words of an acronym are left by the correction; the commonest key by initials and town wins
     by_letters = sets.where(mixed & (acro == "")).mapInPandas(initials, "key string, letters string").groupBy("key", "letters").count()
     short_names = sets.where(mixed & (acro != "")).select("id", F.lower(acro).alias("letters"), "key").withColumn("town", F.array_remove(F.split("key", " "), F.col("letters")))
-    hit = short_names.alias("s").join(by_letters.alias("k"), "letters").where(F.size(F.array_except(F.col("s.town"), F.split(F.col("k.key"), " "))) == 0)
+    hit = short_names.alias("s").join(by_letters.alias("k").hint("merge"), "letters").where(F.size(F.array_except(F.col("s.town"), F.split(F.col("k.key"), " "))) == 0)
     chosen = hit.groupBy("id").agg(F.max_by(F.col("k.key"), F.col("count")).alias("named"))
-    return sets.join(chosen, "id", "left").select("id", F.coalesce("named", "key").alias("entity"))
+    return sets.join(chosen.hint("merge"), "id", "left").select("id", F.coalesce("named", "key").alias("entity"))
 
 
 def patient_names(records: DataFrame, births: DataFrame) -> DataFrame:
     """(block, id, text) of the patients: what each id is mostly called and born on. ``births``: (record_id, day)."""
     r = need(records, "record_id", "patient").select("record_id", "patient.patient_id", "patient.first_name", "patient.last_name").where(~blank(F.col("patient_id")))
-    r = r.join(births.groupBy("record_id").agg(F.min("day").alias("day")), "record_id", "left")
+    r = r.join(births.groupBy("record_id").agg(F.min("day").alias("day")).hint("merge"), "record_id", "left")
     text = F.when(~blank(F.col("last_name")), F.concat_ws(" ", F.regexp_replace("first_name", r"\s+", "-"), F.regexp_replace("last_name", r"\s+", "-")))
     own = r.groupBy("patient_id").agg(F.mode("day").alias("day"), F.mode(F.when(~blank(F.col("first_name")), text)).alias("whole"), F.mode(text).alias("any"))
     return own.where("day IS NOT NULL").select(F.concat(F.lit(PATIENT), F.col("day").cast("string")).alias("block"), F.col("patient_id").alias("id"), F.coalesce("whole", "any").alias("text")).where("text IS NOT NULL")
@@ -328,5 +328,5 @@ def variant_pairs(records: DataFrame, births: DataFrame) -> DataFrame:
     members = link_persons(keyed, near, sites).select(field.alias("field_name"), "id", "entity").union(link_institutions(words, near).select(F.lit("institution"), "id", "entity"))
     members = cut(members.distinct())
     other = members.withColumnRenamed("id", "key_b")
-    pairs = members.withColumnRenamed("id", "key_a").join(other, ["field_name", "entity"]).where("key_a < key_b")
+    pairs = members.withColumnRenamed("id", "key_a").join(other.hint("merge"), ["field_name", "entity"]).where("key_a < key_b")
     return pairs.select("field_name", "key_a", "key_b").distinct()
