@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 
 from pulsegrid.common import table
 from pulsegrid.functions import arrow
+from pulsegrid.operators import plotdata
 from pulsegrid.operators import signal as sg
+from pulsegrid.sources.detect import FORMATS, source_format
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -391,3 +393,69 @@ def spectrogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = leads64(spark, sf_dir).select("vec_id", arrow.spectrogram(F.col("samples"), F.col("sampling_rate")).alias("s"))
     df = df.select("vec_id", "s.freqs", F.inline(F.arrays_zip("s.times", "s.db")).alias("t", "db"))
     return df.select("vec_id", "t", F.inline(F.arrays_zip("freqs", "db")).alias("freq", "db"))
+
+
+# --- plots as rows, detection ---------------------------------------------------------------------------------------------
+
+
+@query(_GROUPS + " SELECT record_id, label, CAST((row_number() OVER w - 1) // 3 AS INTEGER) AS row, CAST((row_number() OVER w - 1) % 3 AS INTEGER) AS col FROM g WINDOW w AS (PARTITION BY record_id ORDER BY lead_no)")
+def lead_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plotdata.lead_grid(lead_groups(spark, sf_dir), 3).select("record_id", "label", "row", "col")
+
+
+@query(
+    _GROUPS + ", sl AS (SELECT unnest([0,1,2,0,1,2,0,1,2,0,1,2,3]) AS row, unnest([0,0,0,1,1,1,2,2,2,3,3,3,0]) AS col, unnest(['I','II','III','aVR','aVL','aVF','V1','V2','V3','V4','V5','V6','II']) AS label), "
+    "ids AS (SELECT DISTINCT record_id FROM g) SELECT ids.record_id, CAST(sl.row AS INTEGER) AS row, CAST(sl.col AS INTEGER) AS col, sl.label, CAST(coalesce(len(g.s), 0) AS BIGINT) AS n FROM ids CROSS JOIN sl LEFT JOIN g ON g.record_id = ids.record_id AND g.label = sl.label"
+)
+def sheet_12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = plotdata.sheet_12(lead_groups(spark, sf_dir))
+    return df.select("record_id", "row", "col", "label", F.coalesce(F.size("samples"), F.lit(0)).cast("long").alias("n")).withColumn("n", F.greatest("n", F.lit(0).cast("long")))
+
+
+@query(
+    _RR + ", a AS (SELECT user_id, avg(rr_ms) AS mean_rr, stddev_samp(rr_ms) AS sdnn, sqrt(avg(d * d)) AS rmssd, 100.0 * count(*) FILTER (abs(d) > 50) / count(d) AS pnn50, avg(hr) AS hr_mean, stddev_samp(d) / sqrt(2) AS sd1, stddev_samp(rr_ms + prev) / sqrt(2) AS sd2 FROM d GROUP BY user_id) "
+    "SELECT user_id, round(mean_rr, 3) AS mean_rr, round(sdnn, 3) AS sdnn, round(rmssd, 3) AS rmssd, round(pnn50, 6) AS pnn50, round(hr_mean, 6) AS hr_mean, round(sd1, 3) AS sd1, round(sd2, 3) AS sd2 FROM a"
+)
+def hrv_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = plotdata.hrv_summary(rr(spark, sf_dir), "user_id")
+    return df.select("user_id", *[F.round(c, 6 if c in ("pnn50", "hr_mean") else 3).alias(c) for c in df.columns[1:]])
+
+
+@query(
+    _RR + ", a AS (SELECT user_id, avg(rr_ms) AS m, stddev_samp(d) / sqrt(2) AS sd1, stddev_samp(rr_ms + prev) / sqrt(2) AS sd2 FROM d GROUP BY user_id), i AS (SELECT unnest(range(0, 100)) AS i) "
+    "SELECT user_id, CAST(i AS BIGINT) AS i, round(m + (sd2 * cos(i * 2 * pi() / 99) - sd1 * sin(i * 2 * pi() / 99)) / sqrt(2), 2) AS x, round(m + (sd2 * cos(i * 2 * pi() / 99) + sd1 * sin(i * 2 * pi() / 99)) / sqrt(2), 2) AS y FROM a CROSS JOIN i"
+)
+def poincare_ellipse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = plotdata.poincare_ellipse(plotdata.hrv_summary(rr(spark, sf_dir), "user_id"), "user_id")
+    return df.select("user_id", F.col("i").cast("long").alias("i"), F.round("x", 2).alias("x"), F.round("y", 2).alias("y"))
+
+
+@query(
+    _SERIES + ", m AS (SELECT pk.user_id, beat_no, r_sample / 10.0 AS t, value AS v, (r_sample - lag(r_sample) OVER (PARTITION BY pk.user_id ORDER BY beat_no)) * 100.0 AS rr_ms FROM pk JOIN v ON v.user_id = pk.user_id AND v.i = r_sample) "
+    "SELECT user_id, CAST(beat_no AS BIGINT) AS beat_no, round(t, 6) AS t, round(v, 6) AS v, round(rr_ms, 6) AS rr_ms, round(60000.0 / rr_ms, 6) AS hr FROM m"
+)
+def peak_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = plotdata.peak_markers(value_series(spark, sf_dir), "user_id")
+    return df.select("user_id", F.col("beat_no").cast("long").alias("beat_no"), *[F.round(c, 6).alias(c) for c in ("t", "v", "rr_ms", "hr")])
+
+
+# marks by which a text names its format; a payload is given that of its source
+_MARKS = {"beneheart_r12": "<BeneHeartR12>", "ge_mac2000": "<MAC2000>", "ge_muse_xml": "<RestingECG>", "hl7_aecg": "<AnnotatedECG>", "mortara_el250": "<ECG><CHANNEL/>", "sierra_xml": "<restingecgdata>"}
+_MARKED = "CASE source_format " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _MARKS.items()) + " ELSE '' END || coalesce(payload, '')"
+
+
+@query(
+    f"WITH t AS (SELECT DISTINCT record_id, substr({_MARKED}, 1, 4096) AS x FROM raw_payloads) SELECT record_id, CASE "
+    "WHEN contains(lower(x), '<beneheartr12') OR contains(lower(x), '<mindrayecg') OR (contains(lower(x), '<ecgdata') AND contains(lower(x), 'mindray')) THEN 'beneheart_r12' "
+    "WHEN contains(lower(x), '<mac2000') OR contains(lower(x), '<mac_2000') OR contains(lower(x), '<ge_mac') OR contains(lower(x), '<macexport') THEN 'ge_mac2000' "
+    "WHEN ((contains(lower(x), '<restingecg>') OR contains(lower(x), '<restingecg ')) AND NOT contains(lower(x), '<restingecgdata')) OR contains(lower(x), '<museinfo') THEN 'ge_muse_xml' "
+    "WHEN contains(x, '<AnnotatedECG') THEN 'hl7_aecg' WHEN contains(x, '<ECG') AND (contains(lower(x), 'mortara') OR contains(x, '<CHANNEL')) THEN 'mortara_el250' WHEN contains(lower(x), '<restingecgdata') THEN 'sierra_xml' END AS detected FROM t"
+)
+def detect_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = table(spark, sf_dir, "raw_payloads").select("record_id", F.expr(_MARKED).alias("x")).distinct()
+    return t.select("record_id", source_format(F.encode("x", "UTF-8"), F.lit("payload.json")).alias("detected"))
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{f}', '{n}', '{d}', {len(e)})" for f, n, d, e in FORMATS) + ") AS v(source_format, name, description, n_extensions)")
+def supported_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame(FORMATS, "source_format string, name string, description string, extensions array<string>").select("source_format", "name", "description", F.size("extensions").alias("n_extensions"))
