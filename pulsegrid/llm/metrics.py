@@ -35,6 +35,8 @@ def damerau(a: str, b: str) -> int:
 
 #: Pivots of a radius join; each block is split into so many cells at most.
 PIVOTS = 32
+#: Points up to which a block is joined as a whole.
+WHOLE = 64
 
 
 def radius_join(points: DataFrame) -> DataFrame:
@@ -45,17 +47,21 @@ def radius_join(points: DataFrame) -> DataFrame:
     twice the radius farther than its home: by the triangle inequality no pair is lost, since a partner y of x has
     d(y, pivot of x) <= d(x, its pivot) + r <= d(y, home) + 2r. Copies are joined with the home points of their cell by
     (block, cell, length): lengths of partners differ by r at most. Before the distance is taken, the distances to the pivot
-    must differ by r at most. Nothing is capped: a hot block is split by its cells and lengths, and only pairs within the
-    radius come out.
+    must differ by r at most. A block of up to WHOLE points is one cell, without copies by length. Nothing is capped: a hot
+    block is split by its cells and lengths, and only pairs within the radius come out.
     """
     points = cut(points.select("block", "key", "radius"))
     # a fixed number of keys for pivots, whatever the data; which they are changes the speed and never the result
     chosen = [r.key for r in points.select("key").distinct().orderBy(F.xxhash64("key")).limit(PIVOTS).collect()] or [""]
     to = F.array(*[F.struct(F.levenshtein(F.col("key"), F.lit(p)).alias("d"), F.lit(k).alias("cell")) for k, p in enumerate(chosen)])
-    near = cut(points.withColumn("to", to)).withColumn("home", F.array_min("to"))
-    home = near.select("block", F.col("home.cell").alias("cell"), F.length("key").alias("len"), F.col("key").alias("key_a"), F.col("home.d").alias("d_a"))
-    copies = near.select("block", F.col("key").alias("key_b"), "radius", F.inline(F.filter("to", lambda t: t["d"] <= F.col("home.d") + 2 * F.col("radius"))).alias("d_b", "cell"))
-    copies = copies.select("block", "cell", "key_b", "d_b", "radius", F.explode(F.sequence(F.length("key_b") - F.col("radius"), F.length("key_b") + F.col("radius"))).alias("len"))
+    sizes = points.groupBy("block").agg(F.count("*").alias("size"))
+    near = cut(points.join(sizes.hint("merge"), "block").select("block", "key", "radius", F.when(F.col("size") > WHOLE, to).otherwise(F.slice(to, 1, 1)).alias("to"), (F.col("size") > WHOLE).alias("split")))
+    near = near.withColumn("home", F.array_min("to"))
+    length = F.when(F.col("split"), F.length("key")).otherwise(0)
+    home = near.select("block", F.col("home.cell").alias("cell"), length.alias("len"), F.col("key").alias("key_a"), F.col("home.d").alias("d_a"))
+    copies = near.select("block", F.col("key").alias("key_b"), "radius", "split", F.inline(F.filter("to", lambda t: t["d"] <= F.col("home.d") + 2 * F.col("radius"))).alias("d_b", "cell"))
+    spans = F.when(F.col("split"), F.sequence(F.length("key_b") - F.col("radius"), F.length("key_b") + F.col("radius"))).otherwise(F.array(F.lit(0)))
+    copies = copies.select("block", "cell", "key_b", "d_b", "radius", F.explode(spans).alias("len"))
     pairs = home.join(copies.hint("merge"), ["block", "cell", "len"]).where((F.abs(F.col("d_a") - F.col("d_b")) <= F.col("radius")) & (F.col("key_a") != F.col("key_b")))
     within = F.when(F.col("radius") == 2, F.levenshtein("key_a", "key_b", 2)).otherwise(F.levenshtein("key_a", "key_b", 4))
     return pairs.where(within >= 0).select("block", "key_a", "key_b").distinct()
