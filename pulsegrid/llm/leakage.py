@@ -18,6 +18,7 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,9 +27,8 @@ from pulsegrid.common import need
 
 #: Words of a passage, and of a seed. Of 20 words with 2 changes 18 are left in 3 runs, the longest of 6 at least; 5 leaves room.
 PASSAGE, SEED = 20, 5
-#: A changed, dropped or added word costs as much as so many equal ones bring, while a stretch grows; of a whole stretch one
-#: word in CHANGED may differ.
-PENALTY, CHANGED = 3, 7
+#: Of the words of a passage one in CHANGED may be changed, dropped or added.
+CHANGED = 7
 #: Words of all items up to which the automaton is sent to the executors (about 200 bytes a word).
 ITEM_WORDS = 2_000_000
 
@@ -65,34 +65,33 @@ def document_words(text: str, spans: list[tuple[int, int]]) -> str:
     return " " + re.sub(r"[\W_]+", " ", "\n".join(pieces).lower()).strip() + " "
 
 
-def longest_passage(item: list[str], doc: list[str]) -> int:
-    """Words of the item in its longest stretch that the document holds with at most one word in eight changed.
+def holds_passage(item: list[str], doc: list[str]) -> bool:
+    """Whether a stretch of PASSAGE words of the item or more stands in the document with at most one word in CHANGED changed.
 
-    Local alignment with equal words as +1 and a changed, dropped or added word as -PENALTY, which lets a stretch survive an
-    early change; of the stretches it meets, those count whose changes are few enough as a whole.
+    For each number of changes c, an alignment keeps the most words of the item that a stretch ending at a pair of words
+    covers with c changes; it begins and ends with an equal word. A longer stretch with so few changes always has a part of
+    about PASSAGE words with as few, so c need not go beyond that of PASSAGE words by more than one.
     """
-    # state per cell: best (score, words of the item covered, changes) of alignments that end there
-    best = 0
-    m = len(doc)
-    prev: list[tuple[int, int, int]] = [(0, 0, 0)] * (m + 1)
-    for x in item:
-        row: list[tuple[int, int, int]] = [(0, 0, 0)] * (m + 1)
-        for j in range(1, m + 1):
-            s, n, c = prev[j - 1]
-            top = (s + 1, n + 1, c) if x == doc[j - 1] else (s - PENALTY, n + 1, c + 1)
-            s, n, c = prev[j]
-            if s - PENALTY > top[0]:
-                top = (s - PENALTY, n + 1, c + 1)
-            s, n, c = row[j - 1]
-            if s - PENALTY > top[0]:
-                top = (s - PENALTY, n, c + 1)
-            if top[0] <= 0:
-                top = (0, 0, 0)
-            elif x == doc[j - 1] and top[1] > best and top[2] * CHANGED <= top[1]:
-                best = top[1]
-            row[j] = top
-        prev = row
-    return best
+    ids = {w: k for k, w in enumerate(set(item))}
+    row_of = np.array([ids[w] for w in item])
+    words = np.array([ids.get(w, -1) for w in doc])
+    most = PASSAGE // CHANGED + 1
+    m = len(words)
+    prev = np.zeros((most + 1, m + 1), np.int32)
+    for x in row_of:
+        equal = words == x
+        cur = np.zeros_like(prev)
+        cur[:, 1:] = np.where(equal, prev[:, :-1] + 1, 0)
+        for c in range(1, most + 1):
+            swapped, dropped, added = prev[c - 1, :-1], prev[c - 1, 1:], cur[c - 1, :-1]
+            best = np.maximum(np.where(swapped > 0, swapped + 1, 0), np.where(dropped > 0, dropped + 1, 0))
+            cur[c, 1:] = np.maximum(cur[c, 1:], np.maximum(best, added))
+        if equal.any():
+            ends = cur[:, 1:][:, equal].max(1)
+            if any(ends[c] >= max(PASSAGE, c * CHANGED) for c in range(most + 1)):
+                return True
+        prev = cur
+    return False
 
 
 def held_items(line: str, automaton, parts: list[tuple[int, list[str]]]) -> set[int]:  # noqa: ANN001
@@ -123,7 +122,7 @@ def held_items(line: str, automaton, parts: list[tuple[int, list[str]]]) -> set[
         for lo, hi in groups:
             slack = len(item) // 8 + 2
             window = words[max(0, lo - slack) : hi + len(item) + slack]
-            if longest_passage(item, window) >= PASSAGE:
+            if holds_passage(item, window):
                 found.add(item_id)
                 break
     return found
