@@ -34,10 +34,23 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return found
 
 
+_cuts = 0
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from what was written."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    """Write ``df`` to the shared checkpoint folder and go on from what was written.
+
+    Spark drops shuffle files, checkpoints and plans of earlier steps only when the driver collects its garbage, which a
+    chain of small steps may not bring about for long; so every fourth cut asks for it.
+    """
+    global _cuts
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    out = df.checkpoint()
+    _cuts += 1
+    if _cuts % 4 == 0:
+        spark.sparkContext._jvm.System.gc()
+    return out
 
 
 def blank(c: Column) -> Column:
