@@ -74,6 +74,14 @@ def decode(found: DataFrame, mode: str = "FAILFAST", include_samples: bool = Tru
     return known.select("path", "content", "source_format", "parts").mapInPandas(run, schema.DECODED)
 
 
+def decode_list(spark: SparkSession, paths: list[str], **options: object) -> DataFrame:
+    """The files of a list, with their place in it as ``input_pos`` and in that order."""
+    order = spark.createDataFrame([(k, p) for k, p in enumerate(paths)], "input_pos int, _p string")
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "/")
+    decoded = decode(files(spark, *paths), **options)
+    return decoded.join(order, plain(F.col("path")) == plain(F.col("_p"))).drop("_p").orderBy("input_pos")
+
+
 def records_of(decoded: DataFrame) -> DataFrame:
     return decoded.drop("leads")
 

@@ -128,6 +128,14 @@ def test_read_folder(spark, tmp_path):
     assert reader.decode(found, formats=["edf"], mode="PERMISSIVE", include_samples=False).where(F.size("leads") > 0).count() == 1
 
 
+def test_list_keeps_order(spark, tmp_path):
+    names = ["b.ecg", "a.edf", "d.mfer"]
+    for n in names:
+        (tmp_path / n).write_bytes(ALL[n][1])
+    out = reader.decode_list(spark, [str(tmp_path / n) for n in names])
+    assert [r.record_id for r in out.collect()] == names
+
+
 def test_stream(spark, tmp_path):
     from pulsegrid.streaming.ingest import arriving_files, heart_rate_windows
 
