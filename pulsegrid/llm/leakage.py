@@ -15,7 +15,7 @@ held; texts are read whole, however long; repeated items and documents count onc
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +29,8 @@ from pulsegrid.common import need
 PASSAGE, SEED = 20, 5
 #: Of the words of a passage one in CHANGED may be changed, dropped or added.
 CHANGED = 7
+#: Words before or after a seed that a shortest passage around it may reach, changes included.
+REACH = PASSAGE + 6
 #: Words of all items up to which the automaton is sent to the executors (about 200 bytes a word).
 ITEM_WORDS = 2_000_000
 
@@ -112,17 +114,21 @@ def held_items(line: str, automaton, parts: list[tuple[int, list[str]]]) -> set[
             continue
         # seeds near one diagonal belong to one passage; each group is aligned once
         spots = sorted((number[end] - SEED, k) for end, k in hits)
-        groups: list[list[int]] = []
+        groups: list[list[tuple[int, int]]] = []
         for p, k in spots:
-            start = p - k
-            if groups and start <= groups[-1][1] + len(item):
-                groups[-1][1] = max(groups[-1][1], start)
+            if groups and p - k <= max(q - j for q, j in groups[-1][-8:]) + len(item) and p <= groups[-1][-1][0] + len(item):
+                groups[-1].append((p, k))
             else:
-                groups.append([start, start])
-        for lo, hi in groups:
-            slack = len(item) // 8 + 2
-            window = words[max(0, lo - slack) : hi + len(item) + slack]
-            if holds_passage(item, window):
+                groups.append([(p, k)])
+        for group in groups:
+            # PASSAGE words with so few changes keep more than one seed; what is a passage lies within REACH of its seeds
+            if len({k for _, k in group}) < 2:
+                continue
+            ks = [k for _, k in group]
+            part_item = item[max(0, min(ks) - REACH) : max(ks) + SEED + REACH]
+            window = words[max(0, group[0][0] - REACH) : group[-1][0] + SEED + REACH]
+            shared = sum((Counter(part_item) & Counter(window)).values())
+            if shared >= PASSAGE - PASSAGE // CHANGED - 1 and holds_passage(part_item, window):
                 found.add(item_id)
                 break
     return found

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -67,6 +68,42 @@ def radius_join(points: DataFrame) -> DataFrame:
     return pairs.where(within >= 0).select("block", "key_a", "key_b").distinct()
 
 
+#: Edges up to which a block's components are found in one task.
+BLOCK_EDGES = 200_000
+
+
+def _local_components(edges: pd.DataFrame) -> pd.DataFrame:
+    """(node, component) of (a, b) held in memory; a component is named after its smallest node."""
+    parent: dict[str, str] = {}
+
+    def root(x: str) -> str:
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for a, b in zip(edges.a, edges.b, strict=True):
+        p, q = root(a), root(b)
+        if p != q:
+            parent[max(p, q)] = min(p, q)
+    return pd.DataFrame([(x, root(x)) for x in list(parent)], columns=["node", "component"])
+
+
+def block_components(edges: DataFrame) -> DataFrame:
+    """(node, component) of (block, a, b) whose edges stay inside their blocks.
+
+    Blocks of up to BLOCK_EDGES edges are solved one a task, all others together by :func:`components`.
+    """
+    edges = cut(edges.select("block", "a", "b").distinct())
+    big = [r.block for r in edges.groupBy("block").count().where(F.col("count") > BLOCK_EDGES).limit(1001).collect()]
+    if len(big) > 1000:
+        return components(edges)
+    small = edges.where(~F.col("block").isin(big)) if big else edges
+    solved = small.groupBy("block").applyInPandas(lambda g: _local_components(g), "node string, component string")
+    return solved.union(components(edges.where(F.col("block").isin(big)))) if big else solved
+
+
 def components(edges: DataFrame, rounds: int = 30) -> DataFrame:
     """(node, component): connected components of (a, b), by the smallest label of the neighbourhood and of its label.
 

@@ -17,13 +17,12 @@ import base64
 import math
 import os
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.common import cut, need
+from pulsegrid.common import Memo, cut, need
 
 #: Folder of the public vocabularies, and the one in use.
 TOKENIZERS, VOCABULARY = "/opt/tokenizers", "byte_bpe_50k.tiktoken"
@@ -33,7 +32,7 @@ PIECES = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 SOURCE_BOUND = 10_000
 
 
-@lru_cache(2)
+@Memo
 def _encoding(ranks: bytes):  # noqa: ANN202
     import tiktoken
 
@@ -123,8 +122,8 @@ def share_report(documents: DataFrame, targets: DataFrame, seed: int = 42) -> Da
     tokens = cut(count_tokens(documents))
     have = tokens.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
     got = cut(draw(tokens, targets, seed).groupBy("source").agg(F.count("*").alias("chosen_docs"), F.max("repeats").alias("most_repeats"), F.sum(F.col("repeats") * F.col("n_tokens")).alias("mixed_tokens")))
-    total = got.agg(F.sum("mixed_tokens").alias("total"))
+    total = got.agg(F.sum("mixed_tokens")).first()[0]
     t = need(targets, "source", "target_share", "max_repeats").dropDuplicates(["source"])
-    out = t.join(have, "source", "left").join(got, "source", "left").crossJoin(F.broadcast(total))  # one row
+    out = t.join(have, "source", "left").join(got, "source", "left")
     zero = {c: F.coalesce(F.col(c), F.lit(0)).cast("long") for c in ("n_docs", "n_tokens", "chosen_docs", "most_repeats", "mixed_tokens")}
-    return out.withColumns(zero).withColumn("actual_share", F.coalesce(F.try_divide(F.col("mixed_tokens"), F.col("total")), F.lit(0.0))).drop("total")
+    return out.withColumns(zero).withColumn("actual_share", F.coalesce(F.try_divide(F.col("mixed_tokens"), F.lit(total).cast("double")), F.lit(0.0)))

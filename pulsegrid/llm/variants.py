@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.common import blank, cut, need, plain_letters
-from pulsegrid.llm.metrics import components, radius_join
+from pulsegrid.llm.metrics import block_components, radius_join
 
 # Nicknames and the names they stand for.
 NICKNAMES = {
@@ -206,9 +206,9 @@ def link_persons(keyed: DataFrame, near: DataFrame, sites: DataFrame) -> DataFra
     pairs = near.where(~F.col("block").startswith(PART)).select("block", _sorted_parts("key_a").alias("x"), _sorted_parts("key_b").alias("y")).where("x < y").distinct()
     # a graph of keys and forms: a key holds its forms, and forms that fit hold each other
     form = lambda c: F.concat(_node(c), F.lit(SEP))
-    held = keyed.where("full").select(_node("key").alias("a"), F.concat(F.concat_ws(SEP, "block", _sorted_parts("form")), F.lit(SEP)).alias("b")).distinct()
-    fits = _checked(same_full, pairs).select(form("x").alias("a"), form("y").alias("b"))
-    entity = keyed.where("full").select(_node("key").alias("node"), "block", "key").distinct().join(components(held.union(fits)).hint("merge"), "node").select("block", "key", F.col("component").alias("entity"))
+    held = keyed.where("full").select("block", _node("key").alias("a"), F.concat(F.concat_ws(SEP, "block", _sorted_parts("form")), F.lit(SEP)).alias("b"))
+    fits = _checked(same_full, pairs).select("block", form("x").alias("a"), form("y").alias("b"))
+    entity = keyed.where("full").select(_node("key").alias("node"), "block", "key").distinct().join(block_components(held.union(fits)).hint("merge"), "node").select("block", "key", F.col("component").alias("entity"))
     entity = cut(entity)
     placed = keyed.where("full").select("block", "id", "key").distinct().join(entity.hint("merge"), ["block", "key"]).select("block", "id", "entity")
 
@@ -282,7 +282,7 @@ def link_institutions(words: DataFrame, near: DataFrame) -> DataFrame:
     full_form = F.create_map(*[F.lit(x) for kv in SHORT.items() for x in kv])
     near = near.withColumn("target", F.coalesce(F.try_element_at(full_form, F.col("other")), F.col("other")))
     near = near.join(counts.withColumnRenamed("n", "n_word").hint("merge"), "word").join(counts.select(F.col("word").alias("target"), F.col("n").alias("n_target")).hint("merge"), "target")
-    fixed = near.where("n_target >= 4 * n_word AND target <> word").groupBy("word").agg(F.max_by("target", "n_target").alias("fixed"))
+    fixed = near.where("n_target >= 4 * n_word AND target <> word").groupBy("word").agg(F.max(F.struct("n_target", "target"))["target"].alias("fixed"))
     corrected = words.join(fixed.hint("merge"), "word", "left").select("id", F.coalesce("fixed", "word").alias("word")).where(~F.col("word").isin(sorted(DROPPED)))
     sets = cut(corrected.groupBy("id").agg(F.array_join(F.array_sort(F.collect_set("word")), " ").alias("key")))
     # acronyms: all spellings that consist of a name's words give its initials
@@ -297,7 +297,7 @@ def link_institutions(words: DataFrame, near: DataFrame) -> DataFrame:
     by_letters = sets.where(mixed & (acro == "")).mapInPandas(initials, "key string, letters string").groupBy("key", "letters").count()
     short_names = sets.where(mixed & (acro != "")).select("id", F.lower(acro).alias("letters"), "key").withColumn("town", F.array_remove(F.split("key", " "), F.col("letters")))
     hit = short_names.alias("s").join(by_letters.alias("k").hint("merge"), "letters").where(F.size(F.array_except(F.col("s.town"), F.split(F.col("k.key"), " "))) == 0)
-    chosen = hit.groupBy("id").agg(F.max_by(F.col("k.key"), F.col("count")).alias("named"))
+    chosen = hit.groupBy("id").agg(F.max(F.struct("count", F.col("k.key").alias("key")))["key"].alias("named"))
     return sets.join(chosen.hint("merge"), "id", "left").select("id", F.coalesce("named", "key").alias("entity"))
 
 
@@ -306,7 +306,7 @@ def patient_names(records: DataFrame, births: DataFrame) -> DataFrame:
     r = need(records, "record_id", "patient").select("record_id", "patient.patient_id", "patient.first_name", "patient.last_name").where(~blank(F.col("patient_id")))
     r = r.join(births.groupBy("record_id").agg(F.min("day").alias("day")).hint("merge"), "record_id", "left")
     text = F.when(~blank(F.col("last_name")), F.concat_ws(" ", F.regexp_replace("first_name", r"\s+", "-"), F.regexp_replace("last_name", r"\s+", "-")))
-    own = r.groupBy("patient_id").agg(F.mode("day").alias("day"), F.mode(F.when(~blank(F.col("first_name")), text)).alias("whole"), F.mode(text).alias("any"))
+    own = r.groupBy("patient_id").agg(F.mode("day", True).alias("day"), F.mode(F.when(~blank(F.col("first_name")), text), True).alias("whole"), F.mode(text, True).alias("any"))
     return own.where("day IS NOT NULL").select(F.concat(F.lit(PATIENT), F.col("day").cast("string")).alias("block"), F.col("patient_id").alias("id"), F.coalesce("whole", "any").alias("text")).where("text IS NOT NULL")
 
 

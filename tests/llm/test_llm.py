@@ -59,6 +59,14 @@ def test_components(spark):
     assert all((got[a] == got[b]) == (root(a) == root(b)) for a, b in itertools.combinations(list(got)[::7], 2))
 
 
+def test_block_components_agree(spark, monkeypatch):
+    rng = random.Random(3)
+    edges = spark.createDataFrame([(f"b{i % 3}", f"b{i % 3}-{rng.randint(0, 30)}", f"b{i % 3}-{rng.randint(0, 30)}") for i in range(90)], "block string, a string, b string").where("a <> b")
+    local = {tuple(r) for r in metrics.block_components(edges).collect()}
+    monkeypatch.setattr(metrics, "BLOCK_EDGES", 20)
+    assert {tuple(r) for r in metrics.block_components(edges).collect()} == local and local == {tuple(r) for r in metrics.components(edges).collect()}
+
+
 REFS = [("label", c, f"Lead {c}") for c in "I II III aVR aVL aVF V1 V2 V3 V4 V5 V6 V4R X Y Z".split()] + [("sex", "M", "Male"), ("sex", "F", "Female"), ("sex", "U", "Unknown"), ("race", "BLK", "Black or African American"), ("race", "UNK", "Unknown or declined")]
 TYPED = {
     ("label", "Laed II"): "II", ("label", "V1 "): "V1", ("label", "aVVL"): "aVL", ("label", "C4R"): "V4R", ("label", "precord. 3"): "V3", ("label", "MDC_ECG_LEAD_AVR"): "aVR", ("label", "D2"): "II", ("label", "lead-3"): "III", ("label", "Frnk Y"): "Y", ("label", "augmented F"): "aVF",
