@@ -41,14 +41,14 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and go on from what was written.
 
     Spark drops shuffle files, checkpoints and plans of earlier steps only when the driver collects its garbage, which a
-    chain of small steps may not bring about for long; so every fourth cut asks for it.
+    chain of small steps may not bring about for long; so every second cut asks for it.
     """
     global _cuts
     spark = df.sparkSession
     checkpoint_dir(spark)
     out = df.checkpoint()
     _cuts += 1
-    if _cuts % 4 == 0:
+    if _cuts % 2 == 0:
         spark.sparkContext._jvm.System.gc()
     return out
 
@@ -98,3 +98,26 @@ def settle(df: DataFrame) -> DataFrame:
     outgrow code generation. A one-element generator between them ends that, at the price of one copy of the row.
     """
     return df.select("*", F.explode(F.array(F.lit(0))).alias("_settled")).drop("_settled")
+
+
+class Memo:
+    """A function that keeps its results, up to a number of them; it travels to the executors without what it keeps."""
+
+    def __init__(self, function, size: int = 100_000) -> None:  # noqa: ANN001
+        self.function, self.size, self.kept = function, size, {}
+
+    def __call__(self, *args):  # noqa: ANN002, ANN204
+        try:
+            return self.kept[args]
+        except KeyError:
+            if len(self.kept) >= self.size:
+                self.kept.clear()
+            out = self.kept[args] = self.function(*args)
+            return out
+
+    def __getstate__(self) -> tuple:
+        return self.function, self.size
+
+    def __setstate__(self, state: tuple) -> None:
+        self.function, self.size = state
+        self.kept = {}

@@ -7,7 +7,11 @@ constant lead normalises to zeros; ratios with a nil denominator are nil, as not
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable, Sequence
+from typing import Any
+
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -20,6 +24,22 @@ MICROVOLTS = {"uV": 1.0, "mV": 1e3, "V": 1e6}
 STANDARD_12 = ["I", "II", "III", "aVR", "aVL", "aVF", "V1", "V2", "V3", "V4", "V5", "V6"]
 
 
+def leads_from_arrays(spark: SparkSession, arrays: Any, fs: int | None, labels: Sequence[str] | None = None) -> DataFrame:
+    """(record_id, lead_no, label, samples, sampling_rate) from one signal, a list or matrix of signals, or records of matrices.
+
+    Arrays carry no rate, so ``fs`` must be given. For data that are already on the driver; files are read by the reader.
+    """
+    if fs is None:
+        raise TypeError("arrays have no sampling rate; give fs")
+    depth = np.ndim(arrays[0]) + 1 if isinstance(arrays, list) and len(arrays) else np.ndim(arrays)
+    if depth not in (1, 2, 3):
+        raise ValueError(f"arrays of {depth} dimensions")
+    records = arrays if depth == 3 else [arrays] if depth == 2 else [[arrays]]
+    name = lambda k: labels[k] if labels is not None and k < len(labels) else f"Lead {k + 1}"
+    rows = [(str(r), k, name(k), [float(v) for v in x], int(fs)) for r, leads in enumerate(records) for k, x in enumerate(leads)]
+    return spark.createDataFrame(rows, "record_id string, lead_no int, label string, samples array<double>, sampling_rate int")
+
+
 def canonical_unit(unit: Column) -> Column:
     """The canonical voltage unit of a spelling, or null."""
     return F.try_element_at(F.create_map(*[F.lit(x) for kv in VOLT_NAMES.items() for x in kv]), unit)
@@ -67,29 +87,34 @@ def auto_scale(leads: DataFrame, target: str = "mV") -> DataFrame:
     })
 
 
-def _mean(a: Column) -> Column:
-    return F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.size(a)
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once; inside a lambda, plain expressions are worked out for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _zeros(a: Column) -> Column:
+    return F.transform(a, lambda x: F.lit(0.0))
 
 
 def normalize_minmax(samples: Column) -> Column:
     """To [-1, 1]."""
-    low, high = F.array_min(samples), F.array_max(samples)
-    return F.when(high == low, F.transform(samples, lambda x: F.lit(0.0))).otherwise(F.transform(samples, lambda x: 2 * (x - low) / (high - low) - 1))
+    ends = F.struct(samples.alias("a"), F.array_min(samples).alias("lo"), F.array_max(samples).alias("hi"))
+    return _let(ends, lambda s: F.when(s["hi"] == s["lo"], _zeros(s["a"])).otherwise(F.transform(s["a"], lambda x: 2 * (x - s["lo"]) / (s["hi"] - s["lo"]) - 1)))
 
 
-def normalize_zscore(leads: DataFrame, column: str = "samples") -> DataFrame:
+def normalize_zscore(samples: Column) -> Column:
     """To mean 0 and population deviation 1."""
-    a = F.col(column)
-    df = leads.withColumn("_m", F.when(F.size(a) > 0, _mean(a)))
-    df = df.withColumn("_s", F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + (x - F.col("_m")) * (x - F.col("_m"))) / F.nullif(F.size(a), F.lit(0))))
-    out = F.when(F.size(a) == 0, a).when(F.col("_s") == 0, F.transform(a, lambda x: F.lit(0.0))).otherwise(F.transform(a, lambda x: (x - F.col("_m")) / F.col("_s")))
-    return df.withColumn(column, out).drop("_m", "_s")
+    total = lambda a, f: F.aggregate(a, F.lit(0.0), lambda acc, x: acc + f(x))
+    mean = F.struct(samples.alias("a"), (total(samples, lambda x: x) / F.nullif(F.size(samples), F.lit(0))).alias("m"))
+    both = lambda s: F.struct(s["a"].alias("a"), s["m"].alias("m"), F.sqrt(total(s["a"], lambda x: (x - s["m"]) * (x - s["m"])) / F.nullif(F.size(s["a"]), F.lit(0))).alias("d"))
+    scaled = lambda s: F.when(s["d"] == 0, _zeros(s["a"])).otherwise(F.transform(s["a"], lambda x: (x - s["m"]) / s["d"]))
+    return _let(mean, lambda s: _let(both(s), scaled))
 
 
 def normalize_amplitude(samples: Column, target: float = 1.0) -> Column:
     """So that the largest deviation from nil is ``target``."""
-    top = F.array_max(F.transform(samples, F.abs))
-    return F.when(top == 0, F.transform(samples, lambda x: F.lit(0.0))).otherwise(F.transform(samples, lambda x: x * (F.lit(target) / top)))
+    top = F.struct(samples.alias("a"), F.greatest(F.array_max(samples), -F.array_min(samples)).alias("t"))
+    return _let(top, lambda s: F.when(s["t"] == 0, _zeros(s["a"])).otherwise(F.transform(s["a"], lambda x: x * (F.lit(target) / s["t"]))))
 
 
 def find_lead(leads: DataFrame, label: str) -> DataFrame:

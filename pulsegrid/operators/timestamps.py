@@ -15,14 +15,13 @@ from __future__ import annotations
 
 import re
 import zoneinfo
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.common import blank, local_if_small, need
+from pulsegrid.common import Memo, blank, local_if_small, need
 
 # Month names by language, in order.
 MONTHS = [
@@ -95,13 +94,13 @@ NOTATION = "layout string, n1 int, n2 int, n3 int, short boolean, sec int, off i
 _NOTHING = (None, None, None, None, False, None, None, None, True, None)
 
 
-@lru_cache(1)
+@Memo
 def _regions() -> dict[str, str]:
     """Names of time zones by their lower-case spelling."""
     return {z.lower(): z for z in zoneinfo.available_timezones()}
 
 
-@lru_cache(100_000)
+@Memo
 def read_notation(raw: str) -> tuple:
     """The parts of a timestamp text, without deciding what ambiguous numbers mean."""
     s = _BLANKS.sub(" ", raw).strip().lower()

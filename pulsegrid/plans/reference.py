@@ -127,7 +127,7 @@ def normalize_minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_LEADS + ", q AS (SELECT vec_id, avg(x) AS m, stddev_pop(x) AS sd FROM p GROUP BY vec_id) SELECT vec_id, CAST(i AS BIGINT) AS i, round(CASE WHEN sd = 0 THEN 0.0 ELSE (x - m) / sd END, 6) + 0.0 AS v FROM p JOIN q USING (vec_id)")
 def normalize_zscore(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _exploded(sg.normalize_zscore(leads64(spark, sf_dir)), "vec_id")
+    return _exploded(leads64(spark, sf_dir).withColumn("samples", sg.normalize_zscore(F.col("samples"))), "vec_id")
 
 
 @query(_LEADS + ", q AS (SELECT vec_id, max(abs(x)) AS t FROM p GROUP BY vec_id) SELECT vec_id, CAST(i AS BIGINT) AS i, round(CASE WHEN t = 0 THEN 0.0 ELSE x * (1.5 / t) END, 6) + 0.0 AS v FROM p JOIN q USING (vec_id)")

@@ -150,7 +150,7 @@ def test_normalise(spark):
     df = spark.createDataFrame([([1.0, 3.0, 5.0],), ([2.0, 2.0],), ([],), (None,)], "samples array<double>")
     m = [r[0] for r in df.select(sg.normalize_minmax(F.col("samples"))).collect()]
     assert m == [[-1, 0, 1], [0, 0], [], None]
-    z = [r[0] for r in sg.normalize_zscore(df).collect()]
+    z = [r[0] for r in df.select(sg.normalize_zscore(F.col("samples"))).collect()]
     assert np.allclose(z[0], [-1.5**0.5, 0, 1.5**0.5]) and z[1:] == [[0, 0], [], None]
     a = [r[0] for r in df.select(sg.normalize_amplitude(F.col("samples"), 2.0)).collect()]
     assert np.allclose(a[0], [0.4, 1.2, 2]) and a[2:] == [[], None]
@@ -196,3 +196,10 @@ def test_differences(spark):
     d2 = np.concatenate([v[:2], np.diff(v, 2)])
     df = spark.createDataFrame([("a", i, int(x)) for i, x in enumerate(d2)], "k string, i int, d long")
     assert [r.decoded for r in sg.second_difference(df, "k", "i", "d").orderBy("i").collect()] == v.tolist()
+
+
+def test_leads_from_arrays(spark):
+    assert sg.leads_from_arrays(spark, np.ones(3), 500).count() == 1 and sg.leads_from_arrays(spark, [[1, 2], [3, 4]], 500, ["I", "II"]).count() == 2
+    assert sg.leads_from_arrays(spark, np.ones((2, 3, 4)), 500).select("record_id").distinct().count() == 2
+    with pytest.raises(TypeError):
+        sg.leads_from_arrays(spark, np.ones(3), None)
