@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.common import Memo, blank, local_if_small, need
+from pulsegrid.common import Memo, blank, local_if_small, need, settle
 
 # Month names by language, in order.
 MONTHS = [
@@ -159,23 +159,25 @@ def split_notation(df: DataFrame, raw: str) -> DataFrame:
 
 def _full_year(y: Column) -> Column:
     """A two-digit year as the latest such year not after ``late_year``."""
-    full = F.floor(F.col("late_year") / 100).cast("int") * 100 + y
+    full = F.col("_late") + y
     return F.when(F.col("short"), F.when(full > F.col("late_year"), full - 100).otherwise(full)).otherwise(y)
 
 
 def _civil(fmt: str) -> tuple[Column, Column, Column]:
     """Year, month and day of an ambiguous layout under a format."""
     at = {"DMY": "n3 n2 n1", "MDY": "n3 n1 n2", "YMD": "n1 n2 n3"}[fmt].split()
-    return _full_year(F.col(at[0])), F.col(at[1]), F.col(at[2])
+    return F.col(f"_y_{at[0]}"), F.col(at[1]), F.col(at[2])
 
 
 def with_valid_formats(df: DataFrame) -> DataFrame:
     """Adds ``mask``: the formats under which the value is a real day (bit 0 for layouts with one format)."""
-    df = df.withColumns({f"_ok_{fmt}": F.when(_real_day(*_civil(fmt)), 1).otherwise(0) for fmt in ("DMY", "MDY", "YMD")})
+    df = settle(df.withColumn("_late", F.floor(F.col("late_year") / 100).cast("int") * 100))
+    df = df.withColumns({f"_y_{c}": _full_year(F.col(c)) for c in ("n1", "n3")})
+    df = settle(df).withColumns({f"_ok_{fmt}": F.when(_real_day(*_civil(fmt)), 1).otherwise(0) for fmt in ("DMY", "MDY", "YMD")})
     mask = F.when(F.col("layout").isNull(), 0).when(F.col("layout").startswith("epoch"), 1)
     for layout, formats in FORMATS.items():
         mask = mask.when(F.col("layout") == layout, sum((F.col(f"_ok_{fmt}") * (1 << k) for k, fmt in enumerate(formats)), F.lit(0)))
-    return df.withColumn("mask", mask.otherwise(F.col("_ok_YMD"))).drop("_ok_DMY", "_ok_MDY", "_ok_YMD")
+    return settle(settle(df).withColumn("mask", mask.otherwise(F.col("_ok_YMD"))).drop("_ok_DMY", "_ok_MDY", "_ok_YMD"))
 
 
 def mixture_posteriors(counts: pd.DataFrame, steps: int = 50, sure: float = 0.95) -> pd.DataFrame:
@@ -241,11 +243,12 @@ def normalise(values: DataFrame, sites: DataFrame) -> DataFrame:
 
     civil = {fmt: _civil(fmt) for fmt in ("DMY", "MDY", "YMD")}
     pick = lambda k: F.when(F.col("format") == "DMY", civil["DMY"][k]).when(F.col("format") == "MDY", civil["MDY"][k]).otherwise(civil["YMD"][k])
-    df = df.withColumns({"_y": pick(0), "_mo": pick(1), "_d": pick(2)})
+    df = settle(df.withColumns({"_y": pick(0), "_mo": pick(1), "_d": pick(2)}))
     y, m, d = F.col("_y"), F.col("_mo"), F.col("_d")
     real = (F.col("mask") > 0) & ~F.col("layout").startswith("epoch") & _real_day(y, m, d)
-    day = F.when(real, F.unix_date(F.make_date(F.when(real, y), F.when(real, m), F.when(real, d)))).cast("long")
-    df = df.withColumn("day", day)
+    df = settle(df.withColumn("_real", real))
+    day = F.when(F.col("_real"), F.unix_date(F.make_date(F.when(F.col("_real"), y), F.when(F.col("_real"), m), F.when(F.col("_real"), d)))).cast("long")
+    df = settle(df.withColumn("day", day))
     wall = F.col("day") * 86400 + F.col("sec")
     zone = F.coalesce("region", "tz")
     local = F.unix_seconds(F.to_utc_timestamp(F.timestamp_seconds(wall), zone))
