@@ -33,11 +33,15 @@ NICKNAMES = {
         "margaret": "maggie peggy meg marge madge greta", "elizabeth": "liz lizzie beth betty eliza bess", "katherine": "kate kathy katie kat catherine", "james": "jim jimmy jamie",
         "andrew": "andy drew", "william": "bill billy will willy", "richard": "dick rick rich ricky", "edward": "ted ed eddie ned", "robert": "bob rob bobby robbie", "michael": "mike mick mickey",
         "joseph": "joe joey", "thomas": "tom tommy", "samuel": "sam sammy", "susan": "sue susie suzy", "patricia": "pat patty tricia trish", "victoria": "vicky vicki tori", "john": "jack johnny",
-        "charles": "charlie chuck", "francisco": "paco pancho", "jose": "pepe", "concepcion": "concha", "dolores": "lola", "maria": "mary", "ignacio": "nacho", "johannes": "hans", "friedrich": "fritz",
-        "matthias": "matze", "wolfgang": "wolf", "alexander": "alex sasha", "benjamin": "ben", "christopher": "chris", "daniel": "dan danny", "david": "dave", "deborah": "deb debbie", "dorothy": "dot dottie",
+        "charles": "charlie chuck", "francisco": "paco pancho curro", "jose": "pepe", "concepcion": "concha conchi", "dolores": "lola", "maria": "mary", "ignacio": "nacho", "johannes": "hans hannes", "friedrich": "fritz fiete",
+        "matthias": "matze", "wolfgang": "wolf wolfi", "alexander": "alex sasha", "benjamin": "ben", "christopher": "chris", "daniel": "dan danny", "david": "dave", "deborah": "deb debbie", "dorothy": "dot dottie",
         "eleanor": "nell ellie", "frederick": "fred freddy", "george": "georgie", "gerald": "gerry", "henry": "harry hank", "helen": "nellie", "jennifer": "jen jenny", "jessica": "jess", "judith": "judy",
         "lawrence": "larry", "leonard": "len lenny", "matthew": "matt", "nicholas": "nick", "peter": "pete", "philip": "phil", "rebecca": "becky", "ronald": "ron", "stephen": "steve", "theodore": "theo",
-        "timothy": "tim", "walter": "walt", "zachary": "zach",
+        "timothy": "tim", "walter": "walt", "zachary": "zach", "jesus": "chus chuy", "monica": "moni", "nicolas": "nico", "sofia": "sofi", "lucia": "luci", "ramon": "moncho", "begona": "bego", "angel": "angelito",
+        "malgorzata": "gosia malgosia", "stanislaw": "staszek stas", "elzbieta": "ela elka", "bozena": "bozenka", "danuta": "danka danusia", "jedrzej": "jedrek", "pawel": "pawelek", "grazyna": "grazynka", "lukasz": "lukaszek",
+        "miroslaw": "mirek", "wojciech": "wojtek", "katarzyna": "kasia", "barbara": "basia", "krzysztof": "krzysiek", "tomasz": "tomek", "ursula": "uschi ulla", "jurgen": "jogi", "annegret": "anne", "gerard": "gege", "etienne": "tienne",
+        "benoit": "benny", "francoise": "fanfan", "natalya": "natasha nata", "fedor": "fedya", "anna": "anya", "olga": "olya", "sergei": "seryozha serezha", "petr": "petya", "dmitrii": "dima mitya", "yurii": "yura", "galina": "galya",
+        "irina": "ira", "lev": "leva lyova",
     }.items()
     for w in words.split()
 }
@@ -242,9 +246,10 @@ def _acronym(text: str) -> str:
 
 
 def institution_words(text: str) -> list[str]:
-    """Words of an institution's name, short forms in full; a part after a spaced dash is a department."""
+    """Words of an institution's name, short forms in full, acronyms with a tilde; a part after a spaced dash is a department."""
     t = re.sub(r" - .*$", "", text)
-    return [SHORT.get(w, w) for w in re.findall(r"[a-z?]+", re.sub(r"['’]", "", fold(t)).replace("dayclinic", "day clinic"))]
+    acronyms = {fold(a) for a in re.findall(r"(?<!\w)[^\W\d_]{3,8}(?!\w)", t) if a.isupper()} if any(c.islower() for c in t) else set()
+    return [w + "~" if w in acronyms else SHORT.get(w, w) for w in re.findall(r"[a-z?]+", re.sub(r"['’]", "", fold(t)).replace("dayclinic", "day clinic"))]
 
 
 def _words(names: DataFrame) -> DataFrame:
@@ -274,7 +279,7 @@ def link_institutions(words: DataFrame, near: DataFrame) -> DataFrame:
 
     def one_slip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            ok = [slips(x, y, 1) <= 1 and (min(len(x), len(y)) > 3 or (y in SHORT and len(x) > 1)) for x, y in zip(b.key_a, b.key_b, strict=True)]
+            ok = ["~" not in x + y and slips(x, y, 1) <= 1 and (min(len(x), len(y)) > 3 or (len(x) > 1 and (y in SHORT or len(y) == 3))) for x, y in zip(b.key_a, b.key_b, strict=True)]
             yield b[ok]
 
     near = near.where(F.col("block") == WORD)
@@ -295,7 +300,7 @@ def link_institutions(words: DataFrame, near: DataFrame) -> DataFrame:
     mixed = F.col("id").rlike(r"\p{Ll}")
     # words of an acronym are left by the correction; the commonest key by initials and town wins
     by_letters = sets.where(mixed & (acro == "")).mapInPandas(initials, "key string, letters string").groupBy("key", "letters").count()
-    short_names = sets.where(mixed & (acro != "")).select("id", F.lower(acro).alias("letters"), "key").withColumn("town", F.array_remove(F.split("key", " "), F.col("letters")))
+    short_names = sets.where(mixed & (acro != "")).select("id", F.lower(acro).alias("letters"), "key").withColumn("town", F.array_remove(F.split("key", " "), F.concat("letters", F.lit("~"))))
     hit = short_names.alias("s").join(by_letters.alias("k").hint("merge"), "letters").where(F.size(F.array_except(F.col("s.town"), F.split(F.col("k.key"), " "))) == 0)
     chosen = hit.groupBy("id").agg(F.max(F.struct("count", F.col("k.key").alias("key")))["key"].alias("named"))
     return sets.join(chosen.hint("merge"), "id", "left").select("id", F.coalesce("named", "key").alias("entity"))
