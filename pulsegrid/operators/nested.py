@@ -244,8 +244,8 @@ def children(text: str | None) -> list[tuple[str, str, str]]:
 def flatten_payloads(payloads: DataFrame) -> DataFrame:
     """(record_id, child, parent_key, child_key): the children of all readable payloads, distinct.
 
-    One narrow pass; the only shuffles remove repeated payload rows (by a 128-bit digest, so texts move once) and
-    the repeats that different payloads of one record share.
+    One narrow pass over the payloads, whose texts are never shuffled; the distinct at the end takes out what re-sent
+    payloads repeat, after a partial one in each task.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

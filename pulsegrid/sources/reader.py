@@ -7,7 +7,8 @@ are projections of it. Big files are one row each, so a task holds one file at a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
+from typing import Any, NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,9 +29,19 @@ def files(spark: SparkSession, *paths: str, glob: str | None = None) -> DataFram
     return reader.load(list(paths)).select("path", "content")
 
 
-def detect(found: DataFrame) -> DataFrame:
-    """(path, content, source_format)"""
-    return found.withColumn("source_format", source_format(F.col("content"), F.col("path")))
+class Plugin(NamedTuple):
+    """A further format: its name, a test over the columns content and path, and a decoder of its bytes."""
+
+    name: str
+    test: Callable[[Column, Column], Column]
+    decode: Callable[[bytes], dict[str, Any]]
+
+
+def detect(found: DataFrame, plugins: Sequence[Plugin] = ()) -> DataFrame:
+    """(path, content, source_format); further formats come after the built-in ones."""
+    content, path = F.col("content"), F.col("path")
+    more = [F.when(p.test(content, path), F.lit(p.name)) for p in plugins]
+    return found.withColumn("source_format", F.coalesce(source_format(content, path), *more))
 
 
 def _with_signal_files(found: DataFrame) -> DataFrame:
@@ -43,14 +54,15 @@ def _with_signal_files(found: DataFrame) -> DataFrame:
     return found.join(parts, "path", "left")
 
 
-def decode(found: DataFrame, mode: str = "FAILFAST", include_samples: bool = True, formats: list[str] | None = None) -> DataFrame:
+def decode(found: DataFrame, mode: str = "FAILFAST", include_samples: bool = True, formats: list[str] | None = None, plugins: Sequence[Plugin] = ()) -> DataFrame:
     """Nested rows of :data:`schema.DECODED` from (path, content).
 
     FAILFAST raises at the first file that has no known format or is corrupt, PERMISSIVE keeps it as a row with an ``error``.
     """
     if mode not in ("FAILFAST", "PERMISSIVE"):
         raise ValueError(f"unknown mode {mode!r}")
-    known = _with_signal_files(detect(found))
+    known = _with_signal_files(detect(found, plugins))
+    decoders = {**DECODERS, **{p.name: p.decode for p in plugins}}
     known = known.where("source_format IS NOT NULL" if mode == "PERMISSIVE" or formats else "source_format IS NOT NULL OR NOT lower(path) LIKE '%.dat'")
     if formats:
         known = known.where(F.col("source_format").isin(formats))
@@ -62,7 +74,7 @@ def decode(found: DataFrame, mode: str = "FAILFAST", include_samples: bool = Tru
                 try:
                     if form is None:
                         raise ValueError(f"no known format: {path}")
-                    result = binary.decode_wfdb(content, {p["name"]: p["part"] for p in parts} if parts is not None else {}) if form == "wfdb" else DECODERS[form](content)
+                    result = binary.decode_wfdb(content, {p["name"]: p["part"] for p in parts} if parts is not None else {}) if form == "wfdb" else decoders[form](content)
                     result.setdefault("raw_metadata", {})["filepath"] = path
                     row = schema.to_row(record_id, path, result, include_samples)
                 except Exception as e:

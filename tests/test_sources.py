@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pulsegrid.sources import binary as b
 from pulsegrid.sources import dicom, reader, xmltree
 from pulsegrid.sources import xmlformats as x
-from pulsegrid.sources.schema import CorruptFile, Unsupported
+from pulsegrid.sources.schema import CorruptFile, Unsupported, lead
 
 
 def test_edf():
@@ -136,6 +136,13 @@ def test_list_keeps_order(spark, tmp_path):
     assert [r.record_id for r in out.collect()] == names
 
 
+def test_plugin(spark, tmp_path):
+    (tmp_path / "x.own").write_bytes(b"OWN1 2 3")
+    own = reader.Plugin("own", lambda content, path: F.decode(F.substring(content, 1, 3), "US-ASCII") == "OWN", lambda data: {"source_format": "own", "leads": [lead([float(v) for v in data[3:].split()], "I", 100)]})
+    d = reader.decode(reader.files(spark, str(tmp_path)), plugins=[own])
+    assert reader.leads_of(d).first().samples == [1.0, 2.0, 3.0] and d.first().source_format == "own"
+
+
 def test_stream(spark, tmp_path):
     from pulsegrid.streaming.ingest import arriving_files, heart_rate_windows
 
