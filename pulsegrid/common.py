@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,33 +25,27 @@ def need(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for cut lineage: the session's, or one of our own where it is unset (tests)."""
+    """The shared folder for cut lineage: the one the session names in ``spark.checkpoint.dir``.
+
+    Where none is named, a session on this one machine (tests) gets a folder of its own; on a cluster that is an error, since
+    a folder of one machine is lost with it.
+    """
     context = spark.sparkContext
-    found = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", "") or context.getConf().get("spark.checkpoint.dir", "")
+    if context.getCheckpointDir():
+        return context.getCheckpointDir()
+    found = spark.conf.get("spark.checkpoint.dir", "") or context.getConf().get("spark.checkpoint.dir", "")
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir names no folder that all machines of the cluster share")
         found = tempfile.mkdtemp(prefix="pulsegrid-ck-")
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(found)
+    context.setCheckpointDir(found)
     return found
 
 
-_cuts = 0
-
-
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from what was written.
-
-    Spark drops shuffle files, checkpoints and plans of earlier steps only when the driver collects its garbage, which a
-    chain of small steps may not bring about for long; so every second cut asks for it.
-    """
-    global _cuts
-    spark = df.sparkSession
-    checkpoint_dir(spark)
-    out = df.checkpoint()
-    _cuts += 1
-    if _cuts % 2 == 0:
-        spark.sparkContext._jvm.System.gc()
-    return out
+    """Write ``df`` to the shared checkpoint folder and go on from what was written."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
 
 
 def blank(c: Column) -> Column:
