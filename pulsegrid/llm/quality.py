@@ -2,8 +2,9 @@
 
 A text falls into blocks: what stands between blank lines. Each block is judged by combined rules on its lines: layout of
 cells, list marks, lengths, shares of letters, digits and symbols, repeated lines, and how much of it its commonest
-character sequences cover. Repetition separates boilerplate and debris from prose; list marks, short entries and cells
-separate lists and tables. Characters are summed over the blocks of a kind; a document is ``list``, ``table`` or ``junk``
+character sequences cover. Repetition over the whole document (:class:`Repetition`: shares of duplicate lines and paragraphs, and the
+cover of its dominant sequence of words) separates boilerplate and debris from prose and listings; list marks, short entries
+and cells separate lists and tables. Lines and blocks are read to their ends, and no rule depends on their number. Characters are summed over the blocks of a kind; a document is ``list``, ``table`` or ``junk``
 where more than half of its characters are.
 
 Defined results: a null text has null statistics and no form; an empty text has zeros; texts are read whole, however long;
@@ -33,10 +34,11 @@ _LOG = re.compile(
     r"\s*(?:\[?\d{4}-\d\d-\d\d[T ]\d\d:\d\d|\[?\d\d:\d\d:\d\d|\[?(?:WARN(?:ING)?|INFO|DEBUG|ERROR|TRACE|FATAL|NOTICE|CRITICAL)\b|(?:Epoch|Step|Iter(?:ation)?|Batch|Fold)\b.{0,3}\d+"
     r"|(?:Downloading|Collecting|Installing|Requirement already|Using cached|Building wheel|Fetching|Extracting|Loading)\b)"
 )
-_PROGRESS = re.compile(r"\d{1,3}(?:\.\d+)?\s?%\s*\||[█▉▊▋▌▍▎▏▓▒░]{2,}|\[[=>#.\-\s]{8,}\]|\d+/\d+ \[|\bETA\b|it/s\b|\r")
+_PROGRESS = re.compile(r"\d{1,3}(?:\.\d+)?\s?%\s*\||[█▉▊▋▌▍▎▏▓▒░]{2,}|\[[=>#.\-\s]{8,}\]|\d/\d+ \[|\bETA\b|it/s\b|\r")
 _CODE = re.compile(
-    r"(?:^\s*(?:def|class|for|while|if|elif|else|try|except|finally|with|import|from|return|assert|print|raise|lambda|yield|plt|np|pd|@|#|%|!|//|/\*|\}|\{)\b)|^\s*[#@%!]|[\w\])'\"]\s*(?:=|\+=|-=|\*=|/=|:=)\s*[\w('\"\[{-]|\w+\(.*\)|^\s*[}\])]+[;,]?$|:$"
+    r"(?:^\s*(?:def|class|for|while|if|elif|else|try|except|finally|with|import|from|return|assert|print|raise|lambda|yield|plt|np|pd|@|#|%|!|//|/\*|\}|\{)\b)|^\s*[#@%!]|[\w\])'\"]\s*(?:=|\+=|-=|\*=|/=|:=)\s*[\w('\"\[{-]|^\s*[}\])]+[;,]?$|:$"
 )
+_CALL = re.compile(r"\w\(")
 _TRACE = re.compile(r"Traceback|^\s*File \"|^-{3,}>|^\s*\w*(?:Error|Exception)\b|^<ipython|^\s*-*> ?\d+ ")
 _NUMBER = re.compile(r"[-+]?\d[\d_]*(?:[.,]\d+)?(?:[eE][-+]?\d+)?")
 _BASE64 = re.compile(r"[A-Za-z0-9+/=_-]{40,}")
@@ -44,6 +46,13 @@ _SENTENCE_END = re.compile(r"[.!?…:][\"'”’)\]]*\s*$")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 _MARKUP = re.compile(r"\s*(?:```\w*|In ?\[[\d ]*\]:?|Out ?(?:\[[\d ]*\])?:?|# ?%%.*|<!--.*-->|-{3,}|={3,})\s*$")
 
+_PARAGRAPH = re.compile(r"\n[ \t]*\n")
+
+#: A line stands often in a document from so many times on; a sequence of words dominates what it covers more than this share of.
+OFTEN, COVER = 5, 0.3
+#: Common words up to which their list is sent to the executors; more is an error.
+COMMON_BOUND = 100_000
+
 KINDS = ("prose", "code", "list", "table", "junk", "other")
 
 
@@ -89,7 +98,7 @@ def _cells_share(lines: list[str]) -> bool:
 
 def _encoded(text: str) -> bool:
     """Encoded data, or a dump of numbers or bytes."""
-    if "base64," in text[:200]:
+    if "base64," in text:
         return True
     size = len(text)
     squeezed = sum(len(m) for m in _BASE64.findall(text) if not m.isalpha() or len(m) > 60)
@@ -124,17 +133,67 @@ def _noise(text: str) -> bool:
 
 
 def top_cover(text: str, n: int = 4) -> float:
-    """Share of the characters that the commonest sequence of n words covers."""
+    """Share of the characters that the commonest sequence of n words covers; where it overlaps itself, each word counts once."""
     words = text.split()
     if len(words) < 2 * n:
         return 0.0
-    counts = Counter(tuple(words[k : k + n]) for k in range(len(words) - n + 1))
-    gram, times = counts.most_common(1)[0]
-    return min(1.0, times * sum(len(w) for w in gram) / sum(len(w) for w in words)) if times > 1 else 0.0
+    runs = list(zip(*[words[k:] for k in range(n)], strict=False))
+    gram, times = Counter(runs).most_common(1)[0]
+    if times < 2:
+        return 0.0
+    covered, upto = 0, 0
+    for k, run in enumerate(runs):
+        if run == gram:
+            covered += sum(len(w) for w in words[max(k, upto) : k + n])
+            upto = k + n
+    return covered / sum(map(len, words))
+
+
+class Repetition:
+    """How a document repeats itself: line and paragraph counts, their duplicate shares, and whether one sequence dominates."""
+
+    def __init__(self, text: str) -> None:
+        self.lines = Counter(x for line in text.split("\n") if (x := line.strip()))
+        self.paragraphs = Counter(x for p in _PARAGRAPH.split(text) if (x := p.strip()))
+        n, m = self.lines.total(), self.paragraphs.total()
+        self.duplicate_lines = 1 - len(self.lines) / n if n else 0.0
+        self.duplicate_paragraphs = 1 - len(self.paragraphs) / m if m else 0.0
+        self._text, self._cover = text, None
+
+    @property
+    def cover(self) -> float:
+        """:func:`top_cover` of the whole text, taken when first asked for."""
+        if self._cover is None:
+            self._cover = top_cover(self._text)
+        return self._cover
+
+    def debris(self, lines: list[str]) -> bool:
+        """Whether a block is what the document says over and over.
+
+        That is so where a third of the document's lines or paragraphs are duplicates, one sequence of words dominates it, and
+        most of the block's lines stand in it OFTEN times or more.
+        """
+        if max(self.duplicate_lines, self.duplicate_paragraphs) < 1 / 3:
+            return False
+        often = sum(1 for x in lines if self.lines[x.strip()] >= OFTEN)
+        return 2 * often > len(lines) and self.cover > COVER
+
+
+def _looks_coded(line: str) -> bool:
+    """A line of program text: indented, or with marks of code and no sentence's end."""
+    if line.startswith("    "):
+        return True
+    call = _CALL.search(line)
+    return (_CODE.search(line) is not None or (call is not None and line.rfind(")") >= call.end())) and not line.rstrip().endswith((".", "?", ";"))
+
 
+def _logged(line: str) -> bool:
+    """A line of a dump, a log or a progress display."""
+    return _HEX.match(line) is not None or _LOG.match(line) is not None or _PROGRESS.search(line) is not None
 
-def block_kind(block: str) -> str:
-    """What a block is: prose, code, list, table, junk or other.
+
+def block_kind(block: str, repeats: Repetition | None = None) -> str:
+    """What a block is: prose, code, list, table, junk or other; ``repeats`` are those of its document.
 
     The rules that settle most blocks come first; those that read a block several times only meet what is left.
     """
@@ -146,25 +205,24 @@ def block_kind(block: str) -> str:
     ended = sum(1 for x in lines if _SENTENCE_END.search(x, max(0, len(x) - 8)))
     if ended >= 0.7 * n and words >= 7 * n and "|" not in first and not _LOG.match(first):
         return "prose"
-    if n <= 60 and _TRACE.search(first):
-        return "code"
     body = "\n".join(lines)
-    suspect = _HEX.match(first) or _LOG.match(first) or _PROGRESS.search(first, 0, 300) or len(first) > 150 or "base64," in body[:200]
-    if suspect:
-        logged = sum(1 for x in lines if _HEX.match(x) or _LOG.match(x) or _PROGRESS.search(x, 0, 300))
-        if _encoded(body) or (logged >= 0.6 * n and (n >= 2 or len(body) > 60)):
-            return "junk"
-    coded = sum(1 for x in lines if x.startswith("    ") or (_CODE.search(x, 0, 300) and not x.rstrip().endswith((".", "?", ";"))))
+    trace = _TRACE.search(first) is not None
+    logged = sum(map(_logged, lines))
+    if (logged >= 0.6 * n and (n >= 2 or len(body) > 60) and not trace) or (len(first) > 150 or logged or "base64," in body) and _encoded(body):
+        return "junk"
+    if trace:
+        return "code"
+    coded = sum(map(_looks_coded, lines))
     if coded >= 0.45 * n and (coded >= 0.8 * n and "|" not in first and "\t" not in first.strip() or not _cells_share(lines)):
         return "code"
-    if not suspect and _encoded(body):
+    if _encoded(body):
         return "junk"
     if _cells_share(lines):
         return "table"
     distinct = len({x.strip() for x in lines})
-    if n >= 5 and (distinct <= 0.35 * n or top_cover(body) > 0.3):
+    if n >= 5 and (distinct <= 0.35 * n or top_cover(body) > COVER):
         return "junk"
-    if _noise(body):
+    if _noise(body) or (repeats is not None and repeats.debris(lines)):
         return "junk"
     marked = sum(1 for x in lines if _LIST_MARK.match(x))
     if marked >= 0.6 * n and n >= 2 and words <= 14 * n and not (words > 8 * n and ended >= 0.7 * n):
@@ -176,12 +234,13 @@ def block_kind(block: str) -> str:
     return "prose" if words >= 4 else "other"
 
 
-def kind_sizes(text: str) -> dict[str, int]:
+def kind_sizes(text: str, repeats: Repetition | None = None) -> dict[str, int]:
     """Characters of the text by kind; the blank lines after a block count with it, headings with what they head."""
     sizes = dict.fromkeys(KINDS, 0)
+    repeats = Repetition(text) if repeats is None else repeats
     for block in re.split(r"(?<=\n)(?=[ \t]*\n)", text):
         for piece in _split_mixed(block):
-            sizes[block_kind(piece)] += len(piece)
+            sizes[block_kind(piece, repeats)] += len(piece)
     return sizes
 
 
@@ -205,16 +264,15 @@ def statistics(text: str, common: set[str]) -> dict[str, float]:
     """The statistics of one text."""
     words = _WORD.findall(text)
     lines = [x for x in text.split("\n") if x.strip()]
-    paragraphs = [x.strip() for x in re.split(r"\n[ \t]*\n", text) if x.strip()]
     size = max(1, len(text))
-    sizes = kind_sizes(text)
+    repeats = Repetition(text)
+    sizes = kind_sizes(text, repeats)
     return {
         "n_chars": len(text), "n_words": len(words), "mean_word_length": sum(map(len, words)) / max(1, len(words)),
         "symbol_ratio": sum(not c.isalnum() and not c.isspace() for c in text) / size, "digit_ratio": sum(c.isdigit() for c in text) / size,
         "ended_lines": sum(1 for x in lines if _SENTENCE_END.search(x)) / max(1, len(lines)),
         "common_words": sum(w.lower() in common for w in words) / max(1, len(words)),
-        "duplicate_lines": 1 - len({x.strip() for x in lines}) / max(1, len(lines)), "duplicate_paragraphs": 1 - len(set(paragraphs)) / max(1, len(paragraphs)),
-        "top_ngram_cover": top_cover(text), **{f"{k}_share": v / size for k, v in sizes.items()},
+        "duplicate_lines": repeats.duplicate_lines, "duplicate_paragraphs": repeats.duplicate_paragraphs, "top_ngram_cover": repeats.cover, **{f"{k}_share": v / size for k, v in sizes.items()},
     }
 
 
@@ -224,7 +282,10 @@ STAT_SCHEMA = "doc_id long, " + ", ".join(f"{c} {'long' if c in ('n_chars', 'n_w
 
 def document_statistics(documents: DataFrame, common_words: DataFrame) -> DataFrame:
     """One row of statistics for each document; one narrow pass, the common words being a short fixed list."""
-    common = {r[0].lower() for r in need(common_words, "word").where("word IS NOT NULL").distinct().limit(100_000).collect()}
+    rows = need(common_words, "word").where("word IS NOT NULL").distinct().limit(COMMON_BOUND + 1).collect()
+    if len(rows) > COMMON_BOUND:
+        raise ValueError(f"more than {COMMON_BOUND} common words; raise COMMON_BOUND with the memory of the executors")
+    common = {r[0].lower() for r in rows}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

@@ -291,3 +291,35 @@ def test_queries_are_registered():
     from pulsegrid.llm import queries
 
     assert {"p3_found", "p4_found", "p5_found", "p8_found", "p9_mix", "p9_shares", "p10_found", "p10_stats"} == set(queries.QUERIES) and dt.date(2024, 1, 1)
+
+
+def test_block_kinds_do_not_depend_on_place_or_number_of_lines():
+    bars = [f"{k * 5}%|████      | {k}/20 [00:0{k % 10}<00:10, 3.1it/s]" for k in range(20)]
+    for before in ("", "words of a caption " * 30):
+        assert quality.block_kind("\n".join(before + x for x in bars)) == "junk"
+    for frames in (10, 60, 600):
+        assert quality.block_kind("Traceback (most recent call last):\n" + "\n".join(f"  frame number {k} of something" for k in range(frames))) == "code"
+    for before in ("", "image shown as text: " + "word " * 200):
+        assert quality.block_kind(before + "\ndata:image/png;base64," + "iVBORw0KGgo" * 200) == "junk"
+    code = [f"result_{k} = compute(value_{k}, {k})" for k in range(10)]
+    assert quality.block_kind("\n".join(code)) == quality.block_kind("\n".join("[first, " + "second, " * 80 + x for x in code)) == "code"
+
+
+def test_repetition_counts_each_word_once():
+    assert quality.top_cover("a b " * 50) == pytest.approx(1.0)
+    assert quality.top_cover("x1 x2 x3 x4 " * 2 + " ".join(f"w{k}" for k in range(92))) == pytest.approx(16 / (16 + sum(len(f"w{k}") for k in range(92))))
+    assert quality.top_cover("") == 0.0
+    boiler = "\n\n".join(["loading the shared module now\nplease wait for it\nthen go on"] * 30)
+    r = quality.Repetition(boiler)
+    assert r.duplicate_lines > 0.9 and r.duplicate_paragraphs > 0.9 and r.cover > 0.3
+    sizes = quality.kind_sizes(boiler)
+    assert 2 * sizes["junk"] > len(boiler)
+    for hostile in ("1" * 200_000, "a(" * 100_000, "[" * 200_000, " " * 200_000 + "x", "=" * 200_000):
+        assert sum(quality.kind_sizes(hostile).values()) == len(hostile)
+
+
+def test_common_words_beyond_the_bound_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(quality, "COMMON_BOUND", 2)
+    docs = spark.createDataFrame([(1, "one two")], "doc_id long, text string")
+    with pytest.raises(ValueError, match="common words"):
+        quality.document_statistics(docs, spark.createDataFrame([(w,) for w in "abc"], "word string"))
