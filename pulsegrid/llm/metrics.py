@@ -1,14 +1,18 @@
-"""Edit metrics and the exact radius join in metric space."""
+"""Edit metrics, the exact radius join in metric space, and connected components."""
 
 from __future__ import annotations
 
-import math
+import itertools
+from collections import Counter
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from pulsegrid.common import cut
+from pulsegrid.common import Memo, cut
 
 
 def damerau(a: str, b: str) -> int:
@@ -34,46 +38,161 @@ def damerau(a: str, b: str) -> int:
     return d[-1][-1]
 
 
-#: Pivots of a radius join; each block is split into so many cells at most.
-PIVOTS = 32
-#: Points up to which a block is joined as a whole.
-WHOLE = 64
+@Memo
+def levenshtein(a: str, b: str) -> int:
+    """Insertions, deletions and replacements that turn one text into the other."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        left, row[0], diagonal = i, i, i - 1
+        for j, y in enumerate(b, 1):
+            left = min(left + 1, row[j] + 1, diagonal + (x != y))
+            diagonal, row[j] = row[j], left
+    return row[-1]
+
+
+def unmatched(a: list[str], b: list[str]) -> tuple[list[str], list[str]]:
+    """What is left of two bags of words when equal words are taken off both."""
+    p, q = Counter(a), Counter(b)
+    return list((p - q).elements()), list((q - p).elements())
+
+
+def assignment(cost: list[list[int]]) -> int:
+    """Least total cost of a square matrix with one entry in each row and column, by shortest augmenting paths."""
+    n = len(cost)
+    if n <= 3:
+        return min((sum(cost[k][c] for k, c in enumerate(order)) for order in itertools.permutations(range(n))), default=0)
+    inf = float("inf")
+    of_row, of_column, holder = [0.0] * n, [0.0] * n, [-1] * n
+    for start in range(n):
+        slack, before, seen = [inf] * n, [-1] * n, [False] * n
+        row, column = start, -1
+        while True:
+            best, following = inf, -1
+            for c in range(n):
+                if not seen[c]:
+                    reduced = cost[row][c] - of_row[row] - of_column[c]
+                    if reduced < slack[c]:
+                        slack[c], before[c] = reduced, column
+                    if slack[c] < best:
+                        best, following = slack[c], c
+            of_row[start] += best
+            for c in range(n):
+                if seen[c]:
+                    of_row[holder[c]] += best
+                    of_column[c] -= best
+                else:
+                    slack[c] -= best
+            column = following
+            seen[column] = True
+            if holder[column] < 0:
+                break
+            row = holder[column]
+        while before[column] >= 0:
+            holder[column] = holder[before[column]]
+            column = before[column]
+        holder[column] = start
+    return sum(cost[holder[c]][c] for c in range(n))
+
+
+def bag_distance(a: str, b: str) -> int:
+    """Least edits that turn the words of one text into those of the other, in any order; a word may come or go whole.
+
+    This is the assignment distance over the Levenshtein distance, with the empty word as the partner of what is left over,
+    and so a true metric. Equal words may be paired first: by the triangle inequality that is among the best pairings.
+    """
+    x, y = unmatched(a.split(), b.split())
+    size = max(len(x), len(y))
+    x += [""] * (size - len(x))
+    y += [""] * (size - len(y))
+    return assignment([[levenshtein(v, w) for w in y] for v in x])
+
+
+@F.pandas_udf(T.IntegerType())
+def _bag_pair(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([bag_distance(x, y) for x, y in zip(a, b, strict=True)], dtype="int32")
+
+
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _bag_each(a: pd.Series, pivots: pd.Series) -> pd.Series:
+    return pd.Series([[bag_distance(x, p) for p in ps] for x, ps in zip(a, pivots, strict=True)], dtype=object)
+
+
+class Metric(NamedTuple):
+    """A metric on points: of two, of one with each of an array, and a cheap lower bound of the first."""
+
+    pair: Callable[[Column, Column], Column]
+    each: Callable[[Column, Column], Column]
+    bound: Callable[[Column, Column], Column]
+
+
+def _words_and_number(a: Column, b: Column) -> Column:
+    w = lambda x, y: F.levenshtein(a[x], b[y])
+    return F.least(w("p1", "p1") + w("p2", "p2"), w("p1", "p2") + w("p2", "p1")) + F.abs(a["num"] - b["num"]).cast("int")
+
 
+def _letters(x: Column) -> Column:
+    return F.length(x["p1"]) + F.length(x["p2"])
 
-def radius_join(points: DataFrame) -> DataFrame:
-    """(block, key_a, key_b): all pairs of different points of a block within its radius in Levenshtein distance, both ways round.
 
-    ``points`` has distinct (block, key) and a radius of 2 or 4, the same throughout a block. Pivots are a few keys in order
-    of a hash. Every point has a home cell, that of its nearest pivot; it is also copied into each cell whose pivot is at most
-    twice the radius farther than its home: by the triangle inequality no pair is lost, since a partner y of x has
-    d(y, pivot of x) <= d(x, its pivot) + r <= d(y, home) + 2r. Copies are joined with the home points of their cell by
-    (block, cell, length): lengths of partners differ by r at most. Before the distance is taken, the distances to the pivot
-    must differ by r at most. A block of up to WHOLE points is one cell, without copies by length. Nothing is capped: a hot
-    block is split by its cells and lengths, and only pairs within the radius come out.
+#: Points struct<p1, p2, num>: the bag distance of two words (either may be empty) plus the difference of the numbers.
+WORDS_AND_NUMBER = Metric(
+    _words_and_number, lambda a, pivots: F.transform(pivots, lambda p: _words_and_number(a, p)), lambda a, b: F.abs(_letters(a) - _letters(b)) + F.abs(a["num"] - b["num"])
+)
+#: Points string: :func:`bag_distance`.
+BAGS = Metric(_bag_pair, _bag_each, lambda a, b: F.abs(F.length(F.replace(a, F.lit(" "), F.lit(""))) - F.length(F.replace(b, F.lit(" "), F.lit("")))))
+
+
+#: Comparisons up to which a cell is one task's work, and pivots of a cell at most.
+WORK, PIVOTS = 1 << 20, 64
+
+
+def radius_join(points: DataFrame, metric: Metric = WORDS_AND_NUMBER) -> DataFrame:
+    """(space, a, b, who_a, who_b): all pairs of a home point a and a point b of one space within its radius.
+
+    ``points``: space, radius (the same throughout a space), point (of the type the metric takes), home (whether pairs of
+    this point are asked for) and who (any payload). A point is never paired with one of the same payload.
+
+    A cell holds the points near one pivot. Each point has its home in the cell of its nearest pivot; it is also copied into
+    every cell whose pivot is at most twice the radius farther: by the triangle inequality no pair is lost, since a partner
+    y of x has d(y, pivot of x) <= d(y, pivot of y) + 2r. Each space begins as one cell; a cell of more than WORK comparisons is
+    split by as many pivots as its size asks for, and its cells again, so pivots grow with the data. Where the points lie so
+    evenly far apart that most would be copied into most cells, pivots cannot part them; such a cell stays whole, its home
+    points are dealt out to as many tasks as its comparisons need, and each task meets all points of the cell. Which points
+    are pivots, and how far cells are split, changes the speed and never the result. Within a cell, only pairs whose
+    distances to its pivot differ by the radius at most are compared further. Nothing is capped.
     """
-    points = cut(points.select("block", "key", "radius"))
-    # a fixed number of keys for pivots, whatever the data; which they are changes the speed and never the result
-    chosen = [r.key for r in points.select("key").distinct().orderBy(F.xxhash64("key")).limit(PIVOTS).collect()] or [""]
-    to = F.array(*[F.struct(F.levenshtein(F.col("key"), F.lit(p)).alias("d"), F.lit(k).alias("cell")) for k, p in enumerate(chosen)])
-    sizes = points.groupBy("block").agg(F.count("*").alias("size"))
-    near = cut(points.join(sizes.hint("merge"), "block").select("block", "key", "radius", F.when(F.col("size") > WHOLE, to).otherwise(F.slice(to, 1, 1)).alias("to"), (F.col("size") > WHOLE).alias("split")))
-    near = near.withColumn("home", F.array_min("to"))
-    length = F.when(F.col("split"), F.length("key")).otherwise(0)
-    home = near.select("block", F.col("home.cell").alias("cell"), length.alias("len"), F.col("key").alias("key_a"), F.col("home.d").alias("d_a"))
-    copies = near.select("block", F.col("key").alias("key_b"), "radius", "split", F.inline(F.filter("to", lambda t: t["d"] <= F.col("home.d") + 2 * F.col("radius"))).alias("d_b", "cell"))
-    spans = F.when(F.col("split"), F.sequence(F.length("key_b") - F.col("radius"), F.length("key_b") + F.col("radius"))).otherwise(F.array(F.lit(0)))
-    copies = copies.select("block", "cell", "key_b", "d_b", "radius", F.explode(spans).alias("len"))
-    pairs = home.join(copies.hint("merge"), ["block", "cell", "len"]).where((F.abs(F.col("d_a") - F.col("d_b")) <= F.col("radius")) & (F.col("key_a") != F.col("key_b")))
-    within = F.when(F.col("radius") == 2, F.levenshtein("key_a", "key_b", 2)).otherwise(F.levenshtein("key_a", "key_b", 4))
-    return pairs.where(within >= 0).select("block", "key_a", "key_b").distinct()
-
-
-#: Edges up to which a block's components are found in one task.
-BLOCK_EDGES = 200_000
-
-
-def _local_components(edges: pd.DataFrame) -> pd.DataFrame:
-    """(node, component) of (a, b) held in memory; a component is named after its smallest node."""
+    cells = points.select("space", "radius", "point", "home", "who", F.lit("").alias("cell"), F.lit(0).alias("d"))
+    cells, key = cut(cells), ["space", "cell"]
+    while True:
+        sizes = cells.groupBy(*key).agg(F.count("*").alias("n"), F.count_if("home").alias("h"))
+        sizes = cut(sizes.where("h > 0").withColumn("tasks", F.ceil(F.col("n") * F.col("h") / WORK).cast("int")))
+        big = sizes.where("tasks > 1").withColumn("k", F.least(F.lit(PIVOTS), F.ceil(2 * F.sqrt("tasks"))).cast("int"))
+        if big.isEmpty():
+            break
+        # the points first in order of a hash: the pivots, and others on which the copies of a split are counted beforehand
+        unit = F.pmod(F.xxhash64("space", "point"), F.lit(1 << 30)) / float(1 << 30)
+        some = cells.join(big, key).where(unit * F.col("n") <= 4 * F.col("k")).groupBy(*key).agg(F.first("radius").alias("radius"), F.first("k").alias("k"), F.array_sort(F.collect_set(F.struct(unit.alias("u"), "point"))).alias("some"))
+        some = some.select(*key, "radius", "k", F.transform("some", lambda s: s["point"]).alias("some")).withColumn("pivots", F.slice("some", 1, F.col("k")))
+        tried = some.select(*key, "radius", "pivots", F.explode("some").alias("x")).withColumn("to", metric.each(F.col("x"), F.col("pivots")))
+        tried = tried.groupBy(*key).agg(F.avg(F.size(F.filter("to", lambda d: d <= F.array_min("to") + 2 * F.col("radius")))).alias("copies"))
+        pivots = cut(some.join(tried, key).where((F.size("pivots") > 1) & (2 * F.col("copies") <= F.size("pivots"))).select(*key, "pivots"))
+        if pivots.isEmpty():
+            break
+        to = F.transform(F.col("to"), lambda d, k: F.struct(d.alias("d"), k.alias("to")))
+        split = cells.join(pivots, key).withColumn("to", metric.each(F.col("point"), F.col("pivots"))).withColumn("to", to).withColumn("own", F.array_min("to"))
+        split = split.select("space", "radius", "point", "home", "who", "cell", "own", F.inline(F.filter("to", lambda t: t["d"] <= F.col("own.d") + 2 * F.col("radius"))).alias("d", "to"))
+        split = split.select("space", "radius", "point", (F.col("home") & (F.col("to") == F.col("own.to"))).alias("home"), "who", F.concat_ws(".", "cell", F.col("to").cast("string")).alias("cell"), "d")
+        cells = cut(cells.join(pivots.select(*key), key, "left_anti").unionByName(split))
+    dealt = cells.join(sizes.select(*key, "tasks"), key)
+    a = dealt.where("home").select(*key, F.pmod(F.xxhash64("point"), F.col("tasks").cast("long")).alias("task"), F.col("point").alias("a"), F.col("who").alias("who_a"), F.col("d").alias("d_a"), "radius")
+    b = dealt.select(*key, F.explode(F.sequence(F.lit(0).cast("long"), F.col("tasks").cast("long") - 1)).alias("task"), F.col("point").alias("b"), F.col("who").alias("who_b"), F.col("d").alias("d_b"))
+    pairs = a.join(b, [*key, "task"]).where((F.abs(F.col("d_a") - F.col("d_b")) <= F.col("radius")) & (F.col("who_a") != F.col("who_b")))
+    near = (metric.bound(F.col("a"), F.col("b")) <= F.col("radius")) & (metric.pair(F.col("a"), F.col("b")) <= F.col("radius"))
+    return pairs.where(near).select("space", "a", "b", "who_a", "who_b")
+
+
+def _forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The edges (a, b) of one partition as stars with the same components: every node with the smallest of its component."""
     parent: dict[str, str] = {}
 
     def root(x: str) -> str:
@@ -83,41 +202,31 @@ def _local_components(edges: pd.DataFrame) -> pd.DataFrame:
             x = parent[x]
         return x
 
-    for a, b in zip(edges.a, edges.b, strict=True):
-        p, q = root(a), root(b)
-        if p != q:
-            parent[max(p, q)] = min(p, q)
-    return pd.DataFrame([(x, root(x)) for x in list(parent)], columns=["node", "component"])
-
-
-def block_components(edges: DataFrame) -> DataFrame:
-    """(node, component) of (block, a, b) whose edges stay inside their blocks.
-
-    Blocks of up to BLOCK_EDGES edges are solved one a task, all others together by :func:`components`.
-    """
-    edges = cut(edges.select("block", "a", "b").distinct())
-    big = [r.block for r in edges.groupBy("block").count().where(F.col("count") > BLOCK_EDGES).limit(1001).collect()]
-    if len(big) > 1000:
-        return components(edges)
-    small = edges.where(~F.col("block").isin(big)) if big else edges
-    solved = small.groupBy("block").applyInPandas(lambda g: _local_components(g), "node string, component string")
-    return solved.union(components(edges.where(F.col("block").isin(big)))) if big else solved
+    for edges in batches:
+        for a, b in zip(edges.a, edges.b, strict=True):
+            p, q = root(a), root(b)
+            if p != q:
+                parent[max(p, q)] = min(p, q)
+    yield pd.DataFrame([(x, root(x)) for x in list(parent)], columns=["a", "b"])
 
 
-def components(edges: DataFrame, rounds: int = 30) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """(node, component): connected components of (a, b), by the smallest label of the neighbourhood and of its label.
 
-    Each round also follows labels of labels, so the number of rounds grows as the logarithm of a component's diameter.
-    Labels are written to the shared checkpoint folder each round and never collected.
+    Each partition first replaces its edges by stars, which leaves fewer edges and short ways. Each round then takes the
+    smallest label around and follows labels of labels, so the number of rounds grows as the logarithm of a component's
+    diameter. Labels are written to the shared checkpoint folder each round and never collected. Nodes that have no edge but
+    to themselves are their own component; null ends make no edge.
     """
-    both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
-    label = cut(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("component")).withColumnRenamed("a", "node"))
+    stars = edges.select("a", "b").where("a IS NOT NULL AND b IS NOT NULL").mapInPandas(_forest, "a string, b string")
+    both = cut(stars.union(stars.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    label = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component")))
     for _ in range(rounds):
-        seen = both.join(label.hint("merge"), both.b == label.node).groupBy("a").agg(F.min("component").alias("m"))
-        jump = label.select(F.col("node").alias("n2"), F.col("component").alias("c2"))
-        new = label.join(seen.hint("merge"), label.node == seen.a, "left").join(jump.hint("merge"), label.component == jump.n2, "left")
-        new = cut(new.select("node", F.least("component", F.coalesce("m", "component"), F.coalesce("c2", "component")).alias("component"), F.col("component").alias("old")))
-        if new.where("component <> old").limit(1).count() == 0:
+        seen = both.join(label.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("m"))
+        jump = label.select(F.col("node").alias("component"), F.col("component").alias("c2"))
+        new = label.join(seen, "node").join(jump, "component", "left")
+        new = cut(new.select("node", F.least("component", "m", "c2").alias("component"), F.col("component").alias("old")))
+        if new.where("component <> old").isEmpty():
             return new.select("node", "component")
         label = new.select("node", "component")
-    raise RuntimeError(f"no end after {rounds} rounds: a component is longer than 2^{int(math.log2(rounds)) + rounds}")
+    raise RuntimeError(f"no end after {rounds} rounds")

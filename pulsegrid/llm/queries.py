@@ -16,10 +16,13 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical.match_values(canonical.typed_values(table(spark, sf_dir, "records"), table(spark, sf_dir, "leads")), table(spark, sf_dir, "ref_terms"))
 
 
-def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+def p4_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = table(spark, sf_dir, "records")
-    births = timestamps.moments(records, table(spark, sf_dir, "sites")).where("field_name = 'birth_date'")
-    return variants.variant_pairs(records, births.select("record_id", F.expr("epoch_s div 86400").alias("day")))
+    return variants.variant_classes(records, timestamps.moments(records, table(spark, sf_dir, "sites")))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variant_pairs(p4_classes(spark, sf_dir))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,6 +50,6 @@ def p10_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p3_found, p4_found, p5_found, p8_found, p9_mix, p9_shares, p10_found, p10_stats)
+    f.__name__: f for f in (p3_found, p4_found, p4_classes, p5_found, p8_found, p9_mix, p9_shares, p10_found, p10_stats)
 }
 ORACLES: dict[str, str] = {}

@@ -1,30 +1,37 @@
 """Variant spellings of one person or institution (problem 4).
 
-Names become points of a metric space: folded strings under the Levenshtein distance. Pivots split the space into cells,
-names near a border are copied into the neighbouring cells by the triangle inequality, and an exact radius join runs inside
-each cell (:func:`pulsegrid.llm.metrics.radius_join`). What lies within the radius is then checked exactly: swapped
-neighbours count as one slip, parts may stand in either order, nicknames equal their full names, an initial equals a name
-it begins. Only distinct names are points, so a hot name costs one; persons with a known birth date are joined inside
-that day.
-
-Entities are the connected components over full names. A partial name (an initial or a surname alone) never joins two
-entities: it goes to the one it fits, to the one met at most of its sites if several fit, and to none if that is a tie.
+Names become points of a metric space, and one exact radius join in it (:func:`pulsegrid.llm.metrics.radius_join`: pivots,
+border names copied by the triangle inequality, cells split by size) finds what may belong together; then the pairs are
+checked exactly and entities are connected components.
+
+A person's point is the bag of the name's two words as they sound, with a number: D = edits between the words in either order
++ days between the birth dates. So a birth date is evidence within the metric, not a key: a patient lies near those of like
+name born about the same day. A patient without one has a second kind of point, the name at each site it was met at, and is
+joined there with all patients of the site, dated or not; ages at recording then take the part of the birth date. Of a name
+that is not whole (an initial, a part missing) the one whole part is the point. An institution's point is the bag of all its
+words, in several forms: as written, with short forms in full, shortened, with two words run together, and as an acronym
+with its town.
+
+Checks: swapped neighbours count as one slip, a lost letter (``?``) as any, nicknames equal their full names, an initial
+equals a name it begins. A partial name never joins two entities: it goes to the one it fits, to the one met at most of its
+sites if several fit, and to none if that is a tie; partial names that fit none but each other form an entity.
 
 Defined results: null and blank names are no keys; one key is linked at most to one entity; an entity of one key gives no
-pair; a patient without any readable birth date is linked to no other, since names alone recur; repeated rows count once.
+pair; a patient without a birth date is linked only within a site, by an age that agrees, and by a name of two parts; one
+without either is linked to none; repeated rows count once.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.common import blank, cut, need, plain_letters
-from pulsegrid.llm.metrics import block_components, radius_join
+from pulsegrid.llm.metrics import BAGS, Memo, components, radius_join, unmatched
 
 # Nicknames and the names they stand for.
 NICKNAMES = {
@@ -58,13 +65,24 @@ SHORT = {
     }.items()
     for w in words.split()
 }
+SHORTENED: dict[str, list[str]] = {}
+for _short, _full in SHORT.items():
+    SHORTENED.setdefault(_full, []).append(_short)
+#: Words of an institution's name that do not tell it from others.
 DROPPED = set("the of and de la le du del der die das for at in saint laboratory ecg ekg".split())
 
+PATIENT, INTERPRETER, INSTITUTION = "patient", "interpreter", "institution"
+#: Edits within which points are compared. A slip may be a swap of neighbours, which is two edits; both spellings may have one.
+RADIUS = {PATIENT: 4, INTERPRETER: 2, INSTITUTION: 2}
+#: Years by which the time of birth taken from an age in whole years may be off.
+AGE_YEARS = 0.6
+SEP = "\u0001"
+
 
 def repaired(text: str) -> str:
     """The text with a plain wrong decoding undone, so that spoilt names still meet their own kind."""
     for _ in range(2):
-        for wrong in ("cp1252", "latin-1", "mac_roman"):
+        for wrong in ("cp1252", "latin-1", "mac_roman", "cp437"):
             try:
                 better = text.encode(wrong).decode("utf-8")
             except UnicodeError:
@@ -78,24 +96,40 @@ def repaired(text: str) -> str:
 
 
 def fold(text: str) -> str:
-    """Lower-case plain letters; Cyrillic becomes Latin."""
-    t = plain_letters(" ".join(repaired(w) for w in text.split(" "))).lower()
+    """Lower-case plain letters; Cyrillic becomes Latin, lost letters question marks."""
+    t = plain_letters(" ".join(repaired(w) for w in text.split(" "))).lower().replace("\ufffd", "?")
     return "".join(CYRILLIC.get(c, c) for c in t)
 
 
-def forms(key: str) -> list[str]:
-    """The key itself, and with the two-letter spellings of umlauts shortened, as ``ue`` and a plain ``u`` stand for one letter."""
-    return list(dict.fromkeys((key, re.sub(r"([aou])e", r"\1", key))))
+# Spellings that sound alike, in order of replacement.
+SOUNDS = [(re.compile(a), b) for a, b in (("ck|c", "k"), ("ph", "f"), ("th", "t"), ("w", "v"), ("y", "i"), (r"([a-z])\1+", r"\1"))]
+
+
+@Memo
+def forms(part: str) -> tuple[str, str, str]:
+    """A part as it stands; with the two-letter spellings of umlauts shortened; and as it sounds."""
+    short = heard = re.sub(r"([aou])e", r"\1", part)
+    for pattern, by in SOUNDS:
+        heard = pattern.sub(by, heard)
+    return part, short, heard
 
 
+@Memo
 def person_parts(text: str) -> list[str]:
-    """Name parts without titles, nicknames in full; a hyphenated name is one part."""
+    """Folded name parts without titles, nicknames in full; a hyphenated name is one part. Of three parts or more the ends."""
     parts = [re.sub(r"[^a-z?]", "", p) for p in re.split(r"[\s,.;/]+", fold(text))]
-    return [NICKNAMES.get(p, p) for p in parts if p and p not in TITLES]
+    parts = [NICKNAMES.get(p, p) for p in parts if p and p not in TITLES]
+    return parts if len(parts) < 3 else [parts[0], parts[-1]]
 
 
+def whole(part: str) -> bool:
+    """More than an initial, and not mostly lost."""
+    return len(part) > 2 and 2 * part.count("?") < len(part)
+
+
+@Memo
 def slips(a: str, b: str, most: int) -> int:
-    """Edits between two parts, swapped neighbours as one; beyond ``most`` any larger number."""
+    """Edits between two parts, swapped neighbours as one, lost letters as none; beyond ``most`` any larger number."""
     if a == b:
         return 0
     if abs(len(a) - len(b)) > most:
@@ -104,7 +138,7 @@ def slips(a: str, b: str, most: int) -> int:
     for i, x in enumerate(a, 1):
         row = [i]
         for j, y in enumerate(b, 1):
-            v = min(prev[j] + 1, row[j - 1] + 1, prev[j - 1] + (x != y))
+            v = min(prev[j] + 1, row[j - 1] + 1, prev[j - 1] + (x != y and "?" not in (x, y)))
             if prev2 is not None and j > 1 and x == b[j - 2] and a[i - 2] == y:
                 v = min(v, prev2[j - 2] + 1)
             row.append(v)
@@ -114,224 +148,265 @@ def slips(a: str, b: str, most: int) -> int:
     return prev[-1]
 
 
-def same_full(a: str, b: str, each: int) -> bool:
-    """Two full names (two parts, in any order) of one person: so many slips at most in each part."""
-    p, q = a.split(" "), b.split(" ")
-    if len(p) != 2 or len(q) != 2:
-        return a == b
-    limit = lambda x, y: min(each, 1 if min(len(x), len(y)) <= 4 else each)
-    fits = lambda x, y: slips(x, y, limit(x, y)) <= limit(x, y)
-    return (fits(p[0], q[0]) and fits(p[1], q[1])) or (fits(p[0], q[1]) and fits(p[1], q[0]))
-
-
-def fits_partial(partial: str, full: str, each: int) -> bool:
-    """Whether a partial name (a surname, with an initial or nothing) fits a full one."""
-    p, q = partial.split(" "), full.split(" ")
-    long = [x for x in p if len(x) > 2]
-    initial = [x for x in p if len(x) <= 2]
-    if len(long) != 1 or len(q) != 2:
-        return False
-    return any(slips(long[0], s, each) <= each and (not initial or g.startswith(initial[0][0])) for s, g in ((q[0], q[1]), (q[1], q[0])))
+@Memo
+def near(a: str, b: str, each: int) -> bool:
+    """Whether two parts are one in one of their forms: so many slips at most, and one where a part is short."""
+    most = min(each, 1 if min(len(a), len(b)) <= 6 else each)
+    return any(slips(x, y, most) <= most for x, y in zip(forms(a), forms(b), strict=True))
 
 
-#: Slips allowed in each part of a name: among all persons, and among persons born on one day.
-OPEN_SLIPS, DAY_SLIPS = 1, 2
-#: Blocks: patients by birth date, interpreters, parts of the names of either, and words of institutions.
-PATIENT, INTERPRETER, PART, WORD = "p|", "i|", "t|", "w|"
+def same_full(p: list[str], q: list[str], each: int) -> bool:
+    """Two whole names (two parts, in any order) of one person."""
+    return (near(p[0], q[0], each) and near(p[1], q[1], each)) or (near(p[0], q[1], each) and near(p[1], q[0], each))
 
 
-def _slips_in(block: str) -> int:
-    return DAY_SLIPS if block.removeprefix(PART).startswith(PATIENT) else OPEN_SLIPS
+def fits_partial(partial: list[str], full: list[str], each: int) -> bool:
+    """Whether a partial name (one whole part, with an initial or nothing) fits one of two parts."""
+    long, rest = [x for x in partial if whole(x)], [x for x in partial if not whole(x)]
+    if len(long) != 1 or len(full) != 2:
+        return False
+    starts = lambda x: not rest or "?" in rest[0] or x[:1] == rest[0][0] or forms(x)[2][:1] == forms(rest[0])[2][:1]
+    return any(near(long[0], s, each) and starts(g) for s, g in ((full[0], full[1]), (full[1], full[0])))
 
 
-def _radius() -> Column:
-    """A slip may be a swap of neighbours, which is two edits."""
-    return F.when(F.col("block").startswith(PATIENT) | F.col("block").startswith(PART + PATIENT), 2 * DAY_SLIPS).otherwise(2 * OPEN_SLIPS)
+def same_partial(p: list[str], q: list[str], each: int) -> bool:
+    """Two partial names that may stand for one: their whole parts are one, and no initials contradict each other."""
+    (x, i), (y, j) = (([w for w in n if whole(w)], [w for w in n if not whole(w)]) for n in (p, q))
+    return len(x) == len(y) == 1 and near(x[0], y[0], each) and (not i or not j or "?" in i[0] + j[0] or i[0][0] == j[0][0])
 
 
 def _keyed(names: DataFrame) -> DataFrame:
-    """(block, id, key, form, full) of (block, id, text): the name's two parts in order, each of its forms, and whether both are whole."""
+    """(field, id, parts, full, day, born, sites, names) of (field, id, text, ..) whose names have a whole part; ``names`` are its forms."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
-            for block, i, text in zip(b.block, b.id, b.text, strict=True):
-                parts = person_parts(text)
-                if len(parts) > 2:  # further given names: the ends are what all spellings have
-                    parts = [parts[0], parts[-1]]
-                long = [p for p in parts if len(p) > 2]
-                if long:
-                    key = " ".join(sorted(parts))
-                    rows += [(block, i, key, f, len(long) == 2) for f in forms(key)]
-            yield pd.DataFrame(rows, columns=["block", "id", "key", "form", "full"])
+            parts = [person_parts(t) for t in b.text]
+            full = [len(p) == 2 and whole(p[0]) and whole(p[1]) for p in parts]
+            names = [[list(x) for x in dict.fromkeys(zip(*map(forms, p), strict=True))] for p in parts]
+            b = b.drop(columns="text").assign(parts=parts, full=full, names=names)
+            yield b[[any(map(whole, p)) for p in parts]]
 
-    return names.mapInPandas(run, "block string, id string, key string, form string, full boolean")
+    return names.mapInPandas(run, "field string, id string, day int, born double, sites array<struct<site:string,n:long>>, parts array<string>, full boolean, names array<array<string>>")
 
 
-def _checked(test: Callable[[str, str, int], bool], pairs: DataFrame) -> DataFrame:
-    """The rows (block, x, y, ..) that pass a test of x and y with the slips of their block."""
+def person_points(keyed: DataFrame) -> DataFrame:
+    """Points of the radius join, and with each the person as payload.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield b[[test(x, y, _slips_in(block)) for block, x, y in zip(b.block, b.x, b.y, strict=True)]]
+    Spaces: whole names, and parts of names, each among the dated patients, at one site, and among the interpreters. Whole
+    names ask for whole names; partial ones ask for parts.
+    """
+    who = F.struct("field", "id", "parts", "full", "day", "born", "sites").alias("who")
+    k = keyed.withColumn("who", who)
+    dated = F.col("day").isNotNull()
+    at_site = F.transform("sites", lambda s: F.struct(F.concat(F.lit("site" + SEP), s["site"]).alias("space"), F.lit(0).alias("num"), (~dated).alias("asks")))
+    spaces = (
+        F.when(F.col("field") == INTERPRETER, F.array(F.struct(F.lit("readers").alias("space"), F.lit(0).alias("num"), F.lit(True).alias("asks"))))
+        .when(dated, F.concat(F.array(F.struct(F.lit("born").alias("space"), F.col("day").alias("num"), F.lit(True).alias("asks"))), at_site))
+        .otherwise(at_site)
+    )
+    k = k.select("field", "names", "full", "who", F.inline(spaces))
+    point = lambda a, b: F.struct(a.alias("p1"), b.alias("p2"), F.col("num").alias("num"))
+    names = k.where("full").select(F.concat(F.lit("name" + SEP), "space").alias("space"), "field", "num", F.explode("names").alias("w"), "asks", "who")
+    names = names.select("space", "field", point(F.col("w")[0], F.col("w")[1]).alias("point"), "asks", "who")
+    parts = k.select(F.concat(F.lit("part" + SEP), "space").alias("space"), "field", "num", F.explode(F.array_distinct(F.flatten("names"))).alias("part"), (F.col("asks") & ~F.col("full")).alias("asks"), "who")
+    parts = parts.where("length(part) > 2").select("space", "field", point(F.col("part"), F.lit("")).alias("point"), "asks", "who")
+    radius = F.when(F.col("field") == INTERPRETER, RADIUS[INTERPRETER]).otherwise(RADIUS[PATIENT])
+    return names.union(parts).select("space", radius.alias("radius"), "point", F.col("asks").alias("home"), "who")
+
+
+def checked_edges(pairs: DataFrame) -> DataFrame:
+    """(kind, a, b, weight) of the pairs of persons that pass the exact test; kind is ``same`` or ``part`` (a is partial or undated, and b is not).
+
+    ``weight`` counts how often both were met at the same sites.
+    """
 
-    return pairs.mapInPandas(run, pairs.schema)
+    def edge(x: dict, y: dict) -> str | None:
+        each, less = 1, False
+        if x["field"] == PATIENT:
+            less = x["day"] is None and y["day"] is not None
+            if not less and x["day"] != y["day"]:
+                return None
+            if x["day"] is not None:
+                each = 2
+            elif x["born"] is None or y["born"] is None or abs(x["born"] - y["born"]) > AGE_YEARS * (1 if less else 2) or len(x["parts"]) < 2 or len(y["parts"]) < 2:
+                return None
+        p, q = x["parts"], y["parts"]
+        if x["full"] and y["full"]:
+            return ("part" if less else "same") if same_full(p, q, each) else None
+        if not x["full"] and not y["full"]:
+            return "same" if not less and same_partial(p, q, each) else None
+        return "part" if not x["full"] and fits_partial(p, q, each) else None
+
+    def met(x: dict, y: dict) -> int:
+        there = {s["site"]: s["n"] for s in y["sites"]}
+        return int(sum(s["n"] * there.get(s["site"], 0) for s in x["sites"]))
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for x, y in zip(b.who_a, b.who_b, strict=True):
+                x, y = ({**w, "day": None if pd.isna(w["day"]) else w["day"], "born": None if pd.isna(w["born"]) else w["born"], "parts": list(w["parts"])} for w in (x, y))
+                weight = met(x, y)
+                # a given name alone, even with a birth date, is shared by many
+                if x["field"] == PATIENT and not weight and len(x["parts"]) + len(y["parts"]) < 4:
+                    continue
+                if kind := edge(x, y):
+                    rows.append((kind, x["field"] + SEP + x["id"], y["field"] + SEP + y["id"], weight))
+            yield pd.DataFrame(rows, columns=["kind", "a", "b", "weight"]).drop_duplicates()
 
-SEP = "\u0001"
+    return pairs.select("who_a", "who_b").mapInPandas(run, "kind string, a string, b string, weight long")
 
 
-def _node(c: str) -> Column:
-    return F.concat_ws(SEP, "block", c)
+def _bare(text: str) -> str:
+    """An institution's name without what follows a spaced dash (a department)."""
+    return re.sub(r" [-\u2013] .*$", "", text)
 
 
-def _sorted_parts(c: str) -> Column:
-    return F.array_join(F.array_sort(F.split(c, " ")), " ")
+def _raw_words(text: str) -> list[str]:
+    """Words of an institution's name as typed, folded; acronyms with a tilde."""
+    t = _bare(text)
+    acronyms = {fold(a) for a in re.findall(r"(?<!\w)[^\W\d_]{3,8}(?!\w)", t) if a.isupper()} if any(c.islower() for c in t) else set()
+    return [w + "~" if w in acronyms else w for w in re.findall(r"[a-z?]+", re.sub(r"['\u2019]", "", fold(t)))]
 
 
-def name_points(keyed: DataFrame) -> DataFrame:
-    """(block, key) of the names and of their parts.
+def institution_forms(text: str) -> tuple[list[str], list[str], bool]:
+    """(forms it asks with, forms it answers to, whether it holds an acronym), each a bag of words in one text.
 
-    Both orders of a name are points, so it meets its reordered spelling.
+    It asks as typed and in full; it also answers to each way of shortening its words, to two words run together and to its
+    acronym with the one or two words that may be its town.
     """
-    turned = keyed.where("full").select("block", F.explode(F.array("form", F.concat_ws(" ", F.reverse(F.split("form", " "))))).alias("key"))
-    return turned.union(_parts(keyed).select(F.concat(F.lit(PART), "block"), "part"))
-
-
-def _parts(keyed: DataFrame) -> DataFrame:
-    return keyed.select("block", "key", "form", "full", F.explode(F.split("form", " ")).alias("part")).where("length(part) > 2").distinct()
-
-
-def link_persons(keyed: DataFrame, near: DataFrame, sites: DataFrame) -> DataFrame:
-    """(block, id, entity) of the persons in ``keyed``; ``near`` are the pairs of their points, ``sites`` (id, site, n) where ids were met.
-
-    Entities lie inside a block.
+    raw = _raw_words(text)
+    kept = [w for w in raw if SHORT.get(w, w) not in DROPPED]
+    full = [SHORT.get(w, w) for w in kept]
+    bag = lambda ws: " ".join(sorted(ws))
+    if any("~" in w for w in raw):
+        return [bag(kept)], [bag(kept)], True
+    asks = {bag(kept), bag(full)}
+    ways = [[""]]
+    for w in full:
+        ways = [[*way, x] for way in ways for x in (w, *SHORTENED.get(w, ()))]
+    answers = asks | {bag(way) for way in ways}
+    for words in {tuple(kept), tuple(full)}:
+        answers |= {bag((*words[:k], words[k] + words[k + 1], *words[k + 2 :])) for k in range(len(words) - 1)}
+    letters = "".join(w[0] for w in raw if w not in {"the", "of"})
+    if len(letters) > 2:
+        towns = {tuple(full[:1]), tuple(full[:2]), tuple(full[-1:]), tuple(full[-2:])}
+        answers |= {bag((letters + "~", *town)) for town in towns}
+    return sorted(x.strip() for x in asks), sorted(x.strip() for x in answers), False
+
+
+def one_word_off(a: str, b: str) -> bool:
+    """Two bags of words that are equal but for one slip in one word; acronyms must be equal."""
+    x, y = unmatched(a.split(), b.split())
+    if not x and not y:
+        return True
+    return len(x) == len(y) == 1 and "~" not in x[0] + y[0] and slips(x[0], y[0], 1) <= 1 and max(len(x[0]), len(y[0])) > 2
+
+
+def institution_edges(spellings: DataFrame) -> DataFrame:
+    """(kind, a, b, weight) of the institutions' spellings (id, sites), as :func:`checked_edges` gives them for persons.
+
+    The points are the distinct forms, so one shared by many spellings is one point.
     """
-    pairs = near.where(~F.col("block").startswith(PART)).select("block", _sorted_parts("key_a").alias("x"), _sorted_parts("key_b").alias("y")).where("x < y").distinct()
-    # a graph of keys and forms: a key holds its forms, and forms that fit hold each other
-    form = lambda c: F.concat(_node(c), F.lit(SEP))
-    held = keyed.where("full").select("block", _node("key").alias("a"), F.concat(F.concat_ws(SEP, "block", _sorted_parts("form")), F.lit(SEP)).alias("b"))
-    fits = _checked(same_full, pairs).select("block", form("x").alias("a"), form("y").alias("b"))
-    entity = keyed.where("full").select(_node("key").alias("node"), "block", "key").distinct().join(block_components(held.union(fits)).hint("merge"), "node").select("block", "key", F.col("component").alias("entity"))
-    entity = cut(entity)
-    placed = keyed.where("full").select("block", "id", "key").distinct().join(entity.hint("merge"), ["block", "key"]).select("block", "id", "entity")
-
-    parts = cut(_parts(keyed))
-    own, whole = parts.where("NOT full"), parts.where("full")
-    close = near.where(F.col("block").startswith(PART)).select(F.substring("block", len(PART) + 1, 1 << 30).alias("block"), "key_a", "key_b")
-    close = close.union(own.select("block", "part", F.col("part").alias("same")).distinct())
-    cand = (
-        own.select("block", F.col("part").alias("key_a"), F.col("form").alias("x"), "key")
-        .join(close.hint("merge"), ["block", "key_a"])
-        .join(whole.select("block", F.col("part").alias("key_b"), F.col("form").alias("y"), F.col("key").alias("of")).hint("merge"), ["block", "key_b"])
-        .select("block", "x", "y", "key", "of").distinct()
-    )
-    options = _checked(fits_partial, cand).join(entity.withColumnRenamed("key", "of").hint("merge"), ["block", "of"]).select("block", "key", "entity").distinct()
-    partial = keyed.where("NOT full").select("block", "id", "key").distinct()
-    options = cut(partial.join(options.hint("merge"), ["block", "key"]))
-    there = placed.join(sites.hint("merge"), "id").groupBy("entity", "site").agg(F.sum("n").alias("n_entity"))
-    met = options.join(sites.hint("merge"), "id", "left").join(there.hint("merge"), ["entity", "site"], "left")
-    weight = met.groupBy("block", "id", "key", "entity").agg(F.sum(F.coalesce(F.col("n") * F.col("n_entity"), F.lit(0))).alias("w"))
-    # the most weighty option, unless another has the same weight
-    ranked = weight.groupBy("block", "id", "key").agg(F.array_sort(F.collect_list(F.struct("w", "entity"))).alias("o"))
-    best, second = F.get("o", F.size("o") - 1), F.get("o", F.size("o") - 2)
-    chosen = ranked.where((F.size("o") == 1) | (best["w"] > second["w"])).select("block", "id", best["entity"].alias("entity"))
-    # partial names that fit no full one are an entity of their own where surname and initial are equal
-    alone = partial.join(options.select("block", "id").distinct().hint("merge"), ["block", "id"], "left_anti").select("block", "id", F.concat(_node("key"), F.lit(SEP + SEP)).alias("entity"))
-    return placed.union(chosen).union(alone).distinct()
-
-
-def _acronym(text: str) -> str:
-    return "".join(w[0] for w in re.findall(r"[a-z]+", re.sub(r"['’]", "", fold(text))) if w not in {"the", "of"})
-
-
-def institution_words(text: str) -> list[str]:
-    """Words of an institution's name, short forms in full, acronyms with a tilde; a part after a spaced dash is a department."""
-    t = re.sub(r" - .*$", "", text)
-    acronyms = {fold(a) for a in re.findall(r"(?<!\w)[^\W\d_]{3,8}(?!\w)", t) if a.isupper()} if any(c.islower() for c in t) else set()
-    return [w + "~" if w in acronyms else SHORT.get(w, w) for w in re.findall(r"[a-z?]+", re.sub(r"['’]", "", fold(t)).replace("dayclinic", "day clinic"))]
-
-
-def _words(names: DataFrame) -> DataFrame:
-    """(id, n, word) of the institutions' spellings (id, n)."""
 
-    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(i, n, w) for i, n in zip(b.id, b.n, strict=True) for w in institution_words(i)]
-            yield pd.DataFrame(rows, columns=["id", "n", "word"])
+            rows = []
+            for i in b.id:
+                asks, answers, acronym = institution_forms(i)
+                rows += [(i, f, True, acronym) for f in asks] + [(i, f, False, acronym) for f in answers if f not in asks]
+            yield pd.DataFrame(rows, columns=["id", "form", "asks", "acronym"])
 
-    return names.mapInPandas(split, "id string, n long, word string")
+    forms = cut(spellings.select("id").mapInPandas(run, "id string, form string, asks boolean, acronym boolean"))
+    points = forms.groupBy("form").agg(F.max("asks").alias("home")).select(F.lit(INSTITUTION).alias("space"), F.lit(RADIUS[INSTITUTION]).alias("radius"), F.col("form").alias("point"), "home", F.col("form").alias("who"))
 
+    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b[[one_word_off(x, y) for x, y in zip(b.a, b.b, strict=True)]]
 
-def word_points(words: DataFrame) -> DataFrame:
-    """(block, key) of the words and of all short forms."""
-    shorts = words.sparkSession.createDataFrame(pd.DataFrame({"word": list(SHORT)}))
-    return words.select(F.lit(WORD).alias("block"), F.col("word").alias("key")).union(shorts.select(F.lit(WORD), "word"))
+    close = radius_join(points, BAGS).select("a", "b").mapInPandas(check, "a string, b string")
+    close = close.union(points.where("home").select(F.col("point").alias("a"), F.col("point").alias("b")))
+    own = forms.join(spellings, "id")
+    a = own.where("asks").select(F.col("form").alias("a"), F.col("id").alias("id_a"), F.col("acronym").alias("short_a"), F.col("sites").alias("sites_a"))
+    b = own.select(F.col("form").alias("b"), F.col("id").alias("id_b"), F.col("acronym").alias("short_b"), F.col("sites").alias("sites_b"))
+    met = F.aggregate(
+        F.transform("sites_a", lambda s: F.coalesce(F.filter("sites_b", lambda t: t["site"] == s["site"])[0]["n"] * s["n"], F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda x, y: x + y
+    )
+    pairs = close.join(a, "a").join(b, "b").where("id_a <> id_b AND (short_a OR NOT short_b)")
+    kind = F.when(F.col("short_a") & ~F.col("short_b"), "part").otherwise("same")
+    name = lambda c: F.concat(F.lit(INSTITUTION + SEP), c)
+    return pairs.select(kind.alias("kind"), name(F.col("id_a")).alias("a"), name(F.col("id_b")).alias("b"), met.alias("weight")).groupBy("kind", "a", "b").agg(F.max("weight").alias("weight"))
 
 
-def link_institutions(words: DataFrame, near: DataFrame) -> DataFrame:
-    """(id, entity) of institutions' spellings; ``near`` are the pairs of their words.
+def _sites(df: DataFrame, *keys: str) -> DataFrame:
+    """The keys with the sites they were met at and how often; as many entries as there are such sites."""
+    counts = df.groupBy(*keys, "site").agg(F.count("*").alias("n"))
+    return counts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.when(F.col("site").isNotNull(), F.struct("site", "n")))).alias("sites"))
 
-    A word met seldom is read as the far commoner word within one slip of it. Names are then equal if their sets of words are,
-    and an acronym equals the name whose initials it is where the other words (the town) are in it.
-    """
-    counts = words.groupBy("word").agg(F.sum("n").alias("n"))
 
-    def one_slip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            ok = ["~" not in x + y and slips(x, y, 1) <= 1 and (min(len(x), len(y)) > 3 or (len(x) > 1 and (y in SHORT or len(y) == 3))) for x, y in zip(b.key_a, b.key_b, strict=True)]
-            yield b[ok]
-
-    near = near.where(F.col("block") == WORD)
-    near = near.mapInPandas(one_slip, near.schema).select(F.col("key_a").alias("word"), F.col("key_b").alias("other"))
-    full_form = F.create_map(*[F.lit(x) for kv in SHORT.items() for x in kv])
-    near = near.withColumn("target", F.coalesce(F.try_element_at(full_form, F.col("other")), F.col("other")))
-    near = near.join(counts.withColumnRenamed("n", "n_word").hint("merge"), "word").join(counts.select(F.col("word").alias("target"), F.col("n").alias("n_target")).hint("merge"), "target")
-    fixed = near.where("n_target >= 4 * n_word AND target <> word").groupBy("word").agg(F.max(F.struct("n_target", "target"))["target"].alias("fixed"))
-    corrected = words.join(fixed.hint("merge"), "word", "left").select("id", F.coalesce("fixed", "word").alias("word")).where(~F.col("word").isin(sorted(DROPPED)))
-    sets = cut(corrected.groupBy("id").agg(F.array_join(F.array_sort(F.collect_set("word")), " ").alias("key")))
-    # acronyms: all spellings that consist of a name's words give its initials
-    acro = F.regexp_extract("id", r"(?<!\p{L})(\p{Lu}{3,8})(?!\p{L})", 1)
-
-    def initials(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame([(k, _acronym(re.sub(r" - .*$", "", i))) for i, k in zip(b.id, b.key, strict=True)], columns=["key", "letters"])
+def _tidy(c: str) -> Column:
+    """How little a name looks spoilt: 2 for letters only, 1 for anything else that is not blank, 0."""
+    return F.when(blank(F.col(c)), 0).when(F.col(c).rlike(r"^[\p{L} .'\u2019\-]+$") & ~F.col(c).rlike("[\u00c2\u00c3\u00d0\u00d1][^a-z ]"), 2).otherwise(1)
 
-    mixed = F.col("id").rlike(r"\p{Ll}")
-    # words of an acronym are left by the correction; the commonest key by initials and town wins
-    by_letters = sets.where(mixed & (acro == "")).mapInPandas(initials, "key string, letters string").groupBy("key", "letters").count()
-    short_names = sets.where(mixed & (acro != "")).select("id", F.lower(acro).alias("letters"), "key").withColumn("town", F.array_remove(F.split("key", " "), F.concat("letters", F.lit("~"))))
-    hit = short_names.alias("s").join(by_letters.alias("k").hint("merge"), "letters").where(F.size(F.array_except(F.col("s.town"), F.split(F.col("k.key"), " "))) == 0)
-    chosen = hit.groupBy("id").agg(F.max(F.struct("count", F.col("k.key").alias("key")))["key"].alias("named"))
-    return sets.join(chosen.hint("merge"), "id", "left").select("id", F.coalesce("named", "key").alias("entity"))
 
+def patient_names(records: DataFrame, moments: DataFrame) -> DataFrame:
+    """(field, id, text, day, born, sites) of the patients: what each id is called at its tidiest, and when it was born.
 
-def patient_names(records: DataFrame, births: DataFrame) -> DataFrame:
-    """(block, id, text) of the patients: what each id is mostly called and born on. ``births``: (record_id, day)."""
-    r = need(records, "record_id", "patient").select("record_id", "patient.patient_id", "patient.first_name", "patient.last_name").where(~blank(F.col("patient_id")))
-    r = r.join(births.groupBy("record_id").agg(F.min("day").alias("day")).hint("merge"), "record_id", "left")
-    text = F.when(~blank(F.col("last_name")), F.concat_ws(" ", F.regexp_replace("first_name", r"\s+", "-"), F.regexp_replace("last_name", r"\s+", "-")))
-    own = r.groupBy("patient_id").agg(F.mode("day", True).alias("day"), F.mode(F.when(~blank(F.col("first_name")), text), True).alias("whole"), F.mode(text, True).alias("any"))
-    return own.where("day IS NOT NULL").select(F.concat(F.lit(PATIENT), F.col("day").cast("string")).alias("block"), F.col("patient_id").alias("id"), F.coalesce("whole", "any").alias("text")).where("text IS NOT NULL")
+    ``records``: record_id, patient_id, first_name, last_name, age, site. ``moments``: record_id, field_name, epoch_s. ``born``
+    is the time of birth in years since 1970, by the birth date or else the ages at recording, the median of what its records say.
+    """
+    at = moments.where("field_name IN ('birth_date', 'date')").groupBy("record_id").agg(
+        F.min(F.when(F.col("field_name") == "birth_date", F.expr("epoch_s div 86400"))).cast("int").alias("day"), F.min(F.when(F.col("field_name") == "date", F.col("epoch_s"))).alias("at")
+    )
+    r = records.join(at, "record_id", "left").withColumn("born", F.when(F.col("age").between(0, 130), F.col("at") / 31556952 - F.col("age") - 0.5))
+    # one row for each spelling and site first, so that a patient with very many records is no hot group
+    parts = r.groupBy("patient_id", "first_name", "last_name", "day", "site").agg(F.count("*").alias("n"), F.percentile_approx("born", 0.5).alias("born"))
+    best = lambda c: F.max_by(c, F.struct(_tidy(c).alias("t"), F.col("n"), F.col(c).alias("c")))
+    own = parts.groupBy("patient_id").agg(
+        best("first_name").alias("first"), best("last_name").alias("last"), F.mode("day", True).alias("day"), F.percentile_approx("born", 0.5).alias("born"),
+        F.collect_set("site").alias("at"),
+    )
+    joined = lambda c: F.regexp_replace(F.trim(F.coalesce(F.col(c), F.lit(""))), r"\s+", "-")
+    sites = F.transform(F.array_sort("at"), lambda s: F.struct(s.alias("site"), F.lit(1).cast("long").alias("n")))
+    return own.select(F.lit(PATIENT).alias("field"), F.col("patient_id").alias("id"), "day", F.coalesce(F.col("day") / 365.2425, "born").alias("born"), sites.alias("sites"), F.concat_ws(" ", joined("first"), joined("last")).alias("text"))
 
 
-def variant_pairs(records: DataFrame, births: DataFrame) -> DataFrame:
-    """(field_name, key_a, key_b), key_a < key_b by code point: all pairs of keys of one patient, institution or interpreter.
+def variant_classes(records: DataFrame, moments: DataFrame) -> DataFrame:
+    """(field_name, key, entity, links): the entity of every key that has another, and the number of other keys of it.
 
-    TESTDATA defines the result as all pairs; an entity has as many keys as it has different spellings or identifiers. The
-    three fields share one radius join and one search for components, kept apart by their blocks.
+    ``moments`` (record_id, field_name, epoch_s) are the records' dates, as :func:`pulsegrid.operators.timestamps.moments`
+    gives them. Patients that have neither a birth date nor an age at a recording are linked to none.
+    """
+    r = need(records, "record_id", "site_id", "patient", "recording", "interpretation").select(
+        "record_id", F.col("site_id").alias("site"), F.col("recording.device.institution").alias("institution"), F.col("interpretation.interpreter").alias("interpreter"),
+        "patient.patient_id", "patient.first_name", "patient.last_name", "patient.age",
+    )
+    r = cut(r.dropDuplicates(["record_id"]))
+    readers = _sites(r.where(~blank(F.col("interpreter"))).withColumnRenamed("interpreter", "id"), "id")
+    readers = readers.select(F.lit(INTERPRETER).alias("field"), "id", F.lit(None).cast("int").alias("day"), F.lit(None).cast("double").alias("born"), "sites", F.col("id").alias("text"))
+    keyed = _keyed(patient_names(r.where(~blank(F.col("patient_id"))), moments).unionByName(readers))
+    places = cut(_sites(r.where(~blank(F.col("institution"))).withColumnRenamed("institution", "id"), "id"))
+    edges = cut(checked_edges(radius_join(person_points(keyed))).union(institution_edges(places)))
+
+    entity = cut(components(edges.where("kind = 'same'")))
+    # a partial name takes the most weighty of the entities it fits, unless another has the same weight
+    part = edges.where("kind = 'part'").select("a", "b", "weight").distinct().join(entity, F.col("b") == F.col("node"), "left")
+    options = part.groupBy("a", F.coalesce("component", "b").alias("entity")).agg(F.sum("weight").alias("w"))
+    ranked = options.groupBy("a").agg(F.max(F.struct("w", "entity")).alias("top"), F.count_if(F.lit(True)).alias("n"), F.max_by("entity", "w").alias("e"), F.collect_list("w").alias("ws"))
+    chosen = ranked.where(F.size(F.filter("ws", lambda w: w == F.col("top.w"))) == 1).select(F.col("a").alias("node"), F.col("top.entity").alias("chosen"))
+    member = entity.join(chosen, "node", "full").select("node", F.coalesce("chosen", "component").alias("entity"))
+    # a chosen whole name without variants of its own is an entity too
+    alone = chosen.select(F.col("chosen").alias("node")).distinct().join(entity.select("node"), "node", "left_anti").select("node", F.col("node").alias("entity"))
+    member = cut(member.union(alone).distinct())
+    size = member.groupBy("entity").agg((F.count("*") - 1).alias("links"))
+    name = F.split("node", SEP, 2)
+    return member.join(size.where("links > 0"), "entity").select(name[0].alias("field_name"), name[1].alias("key"), "entity", "links")
+
+
+def variant_pairs(classes: DataFrame) -> DataFrame:
+    """(field_name, key_a, key_b), key_a < key_b by code point: all pairs of keys of one entity, of :func:`variant_classes`.
+
+    TESTDATA defines the result as all pairs; an entity has as many keys as it has different spellings or identifiers.
     """
-    r = need(records, "record_id", "site_id", "recording", "interpretation").dropDuplicates(["record_id"])
-    r = cut(r.select("record_id", F.col("site_id").alias("site"), F.col("recording.device.institution").alias("institution"), F.col("interpretation.interpreter").alias("interpreter")))
-    inst = r.where(~blank(F.col("institution"))).groupBy(F.col("institution").alias("id")).agg(F.count("*").alias("n"))
-    sites = cut(r.where(~blank(F.col("interpreter"))).groupBy(F.col("interpreter").alias("id"), "site").agg(F.count("*").alias("n")))
-    interpreters = sites.select(F.lit(INTERPRETER).alias("block"), "id", F.col("id").alias("text")).distinct()
-    keyed = cut(_keyed(patient_names(records, births).union(interpreters)))
-    words = cut(_words(inst))
-    near = cut(radius_join(name_points(keyed).union(word_points(words)).distinct().withColumn("radius", _radius())))
-    field = F.when(F.col("block") == INTERPRETER, "interpreter").otherwise("patient")
-    members = link_persons(keyed, near, sites).select(field.alias("field_name"), "id", "entity").union(link_institutions(words, near).select(F.lit("institution"), "id", "entity"))
-    members = cut(members.distinct())
-    other = members.withColumnRenamed("id", "key_b")
-    pairs = members.withColumnRenamed("id", "key_a").join(other.hint("merge"), ["field_name", "entity"]).where("key_a < key_b")
-    return pairs.select("field_name", "key_a", "key_b").distinct()
+    a, b = classes.select("field_name", "entity", F.col("key").alias("key_a")), classes.select("field_name", "entity", F.col("key").alias("key_b"))
+    return a.join(b, ["field_name", "entity"]).where("key_a < key_b").select("field_name", "key_a", "key_b").distinct()
