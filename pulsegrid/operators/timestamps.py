@@ -1,14 +1,16 @@
 """Mixed timestamp notations into one UTC moment (problem 1).
 
-Every value is split by a closed set of layouts. A layout whose parts can be read in more
-than one way (``03/04/2021``, ``05/06/07``, ``10122011``) has several candidate formats; a value supports each
-format under which it is a real day. Per source (site and device) and layout, expectation maximisation over the mixture of
-formats turns these supports into posteriors, with the site's own day and month order as the prior. Only counts by
-(source, layout, set of valid formats) enter the EM, so its input is as small as the number of sources, whatever the
-number of rows. The winning format and whether it was ambiguous come back by a join on the same three columns.
+Every value is split by a closed set of layouts. A layout whose parts can be read in more than one way (``03/04/2021``,
+``05/06/07``) has several candidate formats, and so has a zone word that stands for several zones (``IST``, ``CST``); a value
+supports each reading under which it is a real day. Per source (site and device) and question, expectation maximisation over
+the mixture of readings turns these supports into posteriors. What is stated about the site, its day and month order and its
+zone, is a prior worth STATED values, so the values decide where they say otherwise. Only counts by (source, question, set of
+valid readings) enter the EM, so its input is as small as the number of sources, whatever the number of rows. The winning
+reading comes back by a join on the same columns, with its posterior and a mark where that is no better than SURE.
 
 Defined results: null, blank, wordy and impossible values give no moment; two values of one row are independent; repeated
-rows count once in :func:`moments`; a row without a known site has no zone, so a local time there is unresolved.
+rows count once in :func:`moments`; a row without a known site has no zone, so a local time there is unresolved; an ambiguous
+value gives its likeliest moment, and :func:`readings` marks it.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.common import Memo, blank, local_if_small, need, settle
+from pulsegrid.common import Memo, blank, cut, local_if_small, need, settle
 
 # Month names by language, in order.
 MONTHS = [
@@ -47,7 +49,11 @@ ZONES = {
 }
 #: Candidate formats of each layout that can be read in several ways. Bit k of a mask stands for the k-th format.
 FORMATS = {"sep_y4": ["DMY", "MDY"], "sep_y2": ["DMY", "MDY", "YMD"]}
-#: Sources times layouts up to which the posteriors are broadcast.
+# Zone words that stand for several zones, each in minutes east of UTC, the commonest first.
+ZONE_READINGS = {"ist": [330, 120, 60], "cst": [-360, 480], "bst": [60, 360], "ast": [-240, 180], "mst": [-420, 480], "pst": [-480, 480]}
+#: Values that a statement about the site is worth, and the posterior from which a reading is no longer ambiguous.
+STATED, SURE = 25.0, 0.95
+#: Sources times questions up to which the posteriors are broadcast.
 POSTERIOR_BOUND = 50_000
 
 
@@ -89,9 +95,9 @@ _RUN_ON = re.compile(r"t?(\d{2})(\d{2})(\d{2})?(?=\D|$)")
 
 #: What :func:`read_notation` finds: the layout; its three numbers, being year, month and day except in the layouts of
 #: FORMATS, where they stand as written; whether the year has two digits; seconds of the day; minutes east; a named region;
-#: whether a zone that stands there is known; an epoch number.
-NOTATION = "layout string, n1 int, n2 int, n3 int, short boolean, sec int, off int, region string, zone_ok boolean, number bigint"
-_NOTHING = (None, None, None, None, False, None, None, None, True, None)
+#: whether a zone that stands there is known; an epoch number; a zone word of several zones.
+NOTATION = "layout string, n1 int, n2 int, n3 int, short boolean, sec int, off int, region string, zone_ok boolean, number bigint, word string"
+_NOTHING = (None, None, None, None, False, None, None, None, True, None, None)
 
 
 @Memo
@@ -111,7 +117,7 @@ def read_notation(raw: str) -> tuple:
     else:
         return _NOTHING
     if layout.startswith("epoch"):
-        return (layout, None, None, None, False, None, None, None, True, int(m[1]))
+        return (layout, None, None, None, False, None, None, None, True, int(m[1]), None)
     if layout == "dmon":
         numbers = (int(m[3]), _MONTH.get(m[2]), int(m[1]))
     elif layout == "mond":
@@ -132,17 +138,17 @@ def read_notation(raw: str) -> tuple:
         zone = c.groups()[4:]
     elif c := _NO_CLOCK.match(rest):
         sec, zone = 0, c.groups()
-    off, region, ok = None, None, True
+    off, region, ok, word = None, None, True, None
     if zone:
         if zone[0]:
             off = (abs(int(zone[0])) * 60 + int(zone[1] or 0)) * (-1 if zone[0][0] == "-" else 1)
         elif zone[2]:
             off = ZONES.get(zone[2])
-            ok = off is not None
+            ok, word = off is not None, zone[2] if zone[2] in ZONE_READINGS else None
         elif zone[3]:
             region = _regions().get(zone[3])
             ok = region is not None
-    return (layout, *numbers, short, sec, off, region, ok, None)
+    return (layout, *numbers, short, sec, off, region, ok, None, word)
 
 
 def split_notation(df: DataFrame, raw: str) -> DataFrame:
@@ -180,52 +186,73 @@ def with_valid_formats(df: DataFrame) -> DataFrame:
     return settle(settle(df).withColumn("mask", mask.otherwise(F.col("_ok_YMD"))).drop("_ok_DMY", "_ok_MDY", "_ok_YMD"))
 
 
-def mixture_posteriors(counts: pd.DataFrame, steps: int = 50, sure: float = 0.95) -> pd.DataFrame:
-    """EM over the format mixture of one source and layout.
+def mixture_posteriors(counts: pd.DataFrame, steps: int = 50) -> pd.DataFrame:
+    """EM over the mixture of readings of one source and question.
 
-    ``counts`` has site_id, serial, layout, date_order, mask, n. Each value contributes its likelihood, one over the
-    formats under which it is valid; the site's order is the prior, worth more than all values together, because the
-    order is a stated fact about the site; without a stated order the values alone decide.
+    ``counts`` has site_id, serial, question (a layout or a zone word), stated, mask, n. Each value contributes its
+    likelihood, one over the readings under which it is valid; a reading that is stated about the site is worth STATED
+    values beforehand, and every reading half a value.
     """
     counts = counts.reset_index(drop=True)
-    layout, order = counts.layout[0], counts.date_order[0]
-    formats = FORMATS.get(layout, ["only"])
+    question, stated = counts.question[0], str(counts.stated[0]).split(",")
+    readings = [str(z) for z in ZONE_READINGS[question]] if question in ZONE_READINGS else FORMATS.get(question, ["only"])
     masks, n = counts["mask"].to_numpy(), counts.n.to_numpy(float)
-    valid = (masks[:, None] >> np.arange(len(formats))) & 1
-    prior = np.full(len(formats), 0.5)
-    if layout == "sep_y4" and order == "YMD":
-        prior[0] += 1  # the year stands last against the site's order: day first is the commoner reading
-    elif order in formats:
-        prior[formats.index(order)] += 10 * n.sum() + 1
+    valid = (masks[:, None] >> np.arange(len(readings))) & 1
+    prior = np.full(len(readings), 0.5)
+    told = [r in stated for r in readings]
+    if any(told):
+        prior[told] += STATED
+    else:
+        prior[0] += 1  # nothing fits what is stated: the commoner reading (day first where the year stands last)
     share = prior / prior.sum()
-    for _ in range(steps):
+
+    def responsibilities() -> np.ndarray:
         support = valid * share
         total = support.sum(1, keepdims=True)
-        resp = np.divide(support, total, out=np.zeros_like(support), where=total > 0)
-        new = prior + (resp * n[:, None]).sum(0)
+        return np.divide(support, total, out=np.zeros_like(support), where=total > 0)
+
+    for _ in range(steps):
+        new = prior + (responsibilities() * n[:, None]).sum(0)
         new /= new.sum()
-        if np.abs(new - share).max() < 1e-12:
+        moved, share = np.abs(new - share).max(), new
+        if moved < 1e-12:
             break
-        share = new
-    support = valid * share
-    total = support.sum(1, keepdims=True)
-    resp = np.divide(support, total, out=np.zeros_like(support), where=total > 0)
-    best = resp.argmax(1)
-    out = counts[["site_id", "serial", "layout", "mask"]].copy()
-    out["format"] = [formats[k] if t > 0 else None for k, t in zip(best, total[:, 0], strict=True)]
+    resp = responsibilities()
+    out = counts[["site_id", "serial", "question", "mask"]].copy()
+    out["reading"] = [readings[k] if r[k] > 0 else None for k, r in zip(resp.argmax(1), resp, strict=True)]
     out["posterior"] = resp.max(1)
-    out["ambiguous"] = (valid.sum(1) > 1) & (resp.max(1) < sure)
     return out
 
 
+def _posteriors(df: DataFrame, question: str, mask: Column, stated: Column) -> DataFrame:
+    """(s_, d_, q_, m_, reading, posterior) of the values that pose a question."""
+    counts = df.where(f"{question} IS NOT NULL").groupBy("site_id", "serial", F.col(question).alias("question"), mask.alias("mask")).agg(F.max(stated).alias("stated"), F.count("*").alias("n"))
+    out = counts.groupBy("site_id", "serial", "question").applyInPandas(lambda g: mixture_posteriors(g), "site_id string, serial string, question string, mask int, reading string, posterior double")
+    return local_if_small(out, POSTERIOR_BOUND).withColumnsRenamed({"site_id": "s_", "serial": "d_", "question": "q_", "mask": "m_"})
+
+
+def _answered(df: DataFrame, posterior: DataFrame, question: str, mask: Column, reading: str, share: str) -> DataFrame:
+    """Adds the winning reading of a question and its posterior."""
+    on = F.col("site_id").eqNullSafe(F.col("s_")) & F.col("serial").eqNullSafe(F.col("d_")) & (F.col(question) == F.col("q_")) & (mask == F.col("m_"))
+    return df.join(posterior.withColumnsRenamed({"reading": reading, "posterior": share}), on, "left").drop("s_", "d_", "q_", "m_")
+
+
+def _own_offset(tz: Column, month: int) -> Column:
+    """Minutes east of UTC of a zone at the first of a month."""
+    seconds = 1_577_836_800 + (month - 1) * 2_629_746
+    return ((F.unix_seconds(F.from_utc_timestamp(F.timestamp_seconds(F.lit(seconds)), tz)) - seconds) / 60).cast("int")
+
+
 def normalise(values: DataFrame, sites: DataFrame) -> DataFrame:
     """UTC moments of timestamp texts.
 
     ``values``: record_id, site_id, serial, field_name, raw, rec_raw (the recording's own date text), ingested_at.
-    Returns these and ``layout``, ``format``, ``posterior``, ``ambiguous``, ``epoch_s`` (null where unresolved).
+    Returns these and ``layout``, ``format``, ``zone`` (minutes east read from an ambiguous zone word), ``posterior`` (of
+    both), ``ambiguous``, ``epoch_s`` (null where unresolved). The texts are parsed once and the parse is kept.
     """
     values = need(values, "record_id", "site_id", "serial", "field_name", "raw", "rec_raw", "ingested_at").where(~blank(F.col("raw")))
     s = need(sites, "site_id", "tz", "date_order").dropDuplicates(["site_id"])
+    s = s.withColumn("own_zone", F.concat_ws(",", _own_offset(F.col("tz"), 1), _own_offset(F.col("tz"), 7)))
     df = values.join(local_if_small(s, 100_000), "site_id", "left")
     rec = F.coalesce(F.trim("rec_raw"), F.lit(""))
     rec_year = F.coalesce(
@@ -234,12 +261,16 @@ def normalise(values: DataFrame, sites: DataFrame) -> DataFrame:
         _int(F.regexp_extract(rec, r"(?<!\d)((?:19|20)\d\d)(?:(?!\d)|(?=\d{4}))", 1)),
         F.year("ingested_at"),
     )
-    df = split_notation(df.withColumn("late_year", F.when(F.col("field_name") == "birth_date", rec_year).otherwise(F.coalesce(F.year("ingested_at"), rec_year))), "raw")
-    df = with_valid_formats(df)
-    counts = df.where("layout IS NOT NULL").groupBy("site_id", "serial", "layout", "mask").agg(F.max("date_order").alias("date_order"), F.count("*").alias("n"))
-    posterior = counts.groupBy("site_id", "serial", "layout").applyInPandas(lambda g: mixture_posteriors(g), "site_id string, serial string, layout string, mask int, format string, posterior double, ambiguous boolean")
-    posterior = local_if_small(posterior, POSTERIOR_BOUND).withColumnsRenamed({"site_id": "s_", "serial": "d_", "layout": "l_", "mask": "m_"})
-    df = df.join(posterior, F.col("site_id").eqNullSafe(F.col("s_")) & F.col("serial").eqNullSafe(F.col("d_")) & (F.col("layout") == F.col("l_")) & (F.col("mask") == F.col("m_")), "left").drop("s_", "d_", "l_", "m_")
+    df = df.withColumn("late_year", F.when(F.col("field_name") == "birth_date", rec_year).otherwise(F.coalesce(F.year("ingested_at"), rec_year)))
+    df = cut(with_valid_formats(split_notation(df.drop("rec_raw", "ingested_at"), "raw")))
+    every = F.lit(1)
+    for word, zones in ZONE_READINGS.items():
+        every = F.when(F.col("word") == word, (1 << len(zones)) - 1).otherwise(every)
+    df = _answered(df, _posteriors(df, "layout", F.col("mask"), F.col("date_order")), "layout", F.col("mask"), "format", "p_format")
+    df = _answered(df, _posteriors(df, "word", every, F.col("own_zone")), "word", every, "_zone", "p_zone")
+    df = df.withColumns({"zone": F.col("_zone").cast("int"), "posterior": F.col("p_format") * F.coalesce("p_zone", F.lit(1.0))}).withColumn("off", F.coalesce("zone", "off"))
+    several = (F.col("mask").bitwiseAND(F.col("mask") - 1) != 0) | F.col("word").isNotNull()
+    df = df.withColumn("ambiguous", F.coalesce(several & (F.col("posterior") < SURE), F.lit(False)))
 
     civil = {fmt: _civil(fmt) for fmt in ("DMY", "MDY", "YMD")}
     pick = lambda k: F.when(F.col("format") == "DMY", civil["DMY"][k]).when(F.col("format") == "MDY", civil["MDY"][k]).otherwise(civil["YMD"][k])
@@ -262,7 +293,7 @@ def normalise(values: DataFrame, sites: DataFrame) -> DataFrame:
         .when(F.col("layout") == "epoch16", F.floor(number / 1_000_000))
         .otherwise(moment)
     )
-    return df.select("record_id", "field_name", "raw", "site_id", "serial", "layout", "format", "posterior", "ambiguous", epoch.cast("long").alias("epoch_s"))
+    return df.select("record_id", "field_name", "raw", "site_id", "serial", "layout", "format", "zone", "posterior", "ambiguous", epoch.cast("long").alias("epoch_s"))
 
 
 def record_timestamps(records: DataFrame) -> DataFrame:
@@ -278,3 +309,8 @@ def record_timestamps(records: DataFrame) -> DataFrame:
 def moments(records: DataFrame, sites: DataFrame) -> DataFrame:
     """(record_id, field_name, epoch_s) of every readable timestamp; repeated rows once."""
     return normalise(record_timestamps(records), sites).where("epoch_s IS NOT NULL").select("record_id", "field_name", "epoch_s").distinct()
+
+
+def readings(records: DataFrame, sites: DataFrame) -> DataFrame:
+    """(record_id, field_name, raw, format, zone, posterior, ambiguous, epoch_s) of every value that has a layout, distinct."""
+    return normalise(record_timestamps(records), sites).where("layout IS NOT NULL").select("record_id", "field_name", "raw", "format", "zone", "posterior", "ambiguous", "epoch_s").distinct()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pulsegrid.common import table
 from pulsegrid.operators import faults, nested, timestamps, units
@@ -16,6 +17,11 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timestamps.moments(table(spark, sf_dir, "records"), table(spark, sf_dir, "sites"))
 
 
+def p1_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = timestamps.readings(table(spark, sf_dir, "records"), table(spark, sf_dir, "sites"))
+    return df.withColumn("posterior", F.round("posterior", 6))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return units.common_units(table(spark, sf_dir, "records"), table(spark, sf_dir, "leads"), table(spark, sf_dir, "sites"))
 
@@ -28,7 +34,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested.flatten_payloads(table(spark, sf_dir, "raw_payloads"))
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p2_found": p2_found, "p6_found": p6_found, "p7_found": p7_found}
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_readings": p1_readings, "p2_found": p2_found, "p6_found": p6_found, "p7_found": p7_found}
 
 
 def _units_sql() -> str:

@@ -62,11 +62,25 @@ def test_mixture_learns_an_unknown_site():
     import pandas as pd
 
     # most values of this source can only be month first, so the doubtful ones are read so
-    g = pd.DataFrame({"site_id": "q", "serial": "s", "layout": "sep_y4", "mask": [3, 2, 1], "date_order": None, "n": [40, 60, 1]})
+    g = pd.DataFrame({"site_id": "q", "serial": "s", "question": "sep_y4", "mask": [3, 2, 1], "stated": None, "n": [40, 60, 1]})
     out = timestamps.mixture_posteriors(g).set_index("mask")
-    assert out.loc[3, "format"] == "MDY" and out.loc[1, "format"] == "DMY" and not out.loc[3, "ambiguous"]
-    alone = timestamps.mixture_posteriors(g.iloc[:1])
-    assert alone.ambiguous[0]
+    assert out.loc[3, "reading"] == "MDY" and out.loc[1, "reading"] == "DMY" and out.loc[3, "posterior"] > timestamps.SURE
+    assert timestamps.mixture_posteriors(g.iloc[:1]).posterior[0] < timestamps.SURE
+    # a stated order decides where values are silent, and is outvoted by many that contradict it
+    few = timestamps.mixture_posteriors(g.iloc[:1].assign(stated="DMY"))
+    assert few.reading[0] == "DMY" and few.posterior[0] > timestamps.SURE
+    many = timestamps.mixture_posteriors(g.assign(stated="DMY", n=[10, 1000, 0])).set_index("mask")
+    assert many.loc[3, "reading"] == "MDY" and many.loc[3, "posterior"] > timestamps.SURE
+    zone = pd.DataFrame({"site_id": "q", "serial": "s", "question": "cst", "mask": [3], "stated": "480,480", "n": [4]})
+    assert timestamps.mixture_posteriors(zone).reading[0] == "480" and timestamps.mixture_posteriors(zone.assign(stated="60,120")).reading[0] == "-360"
+
+
+def test_readings_mark_ambiguity(spark):
+    sites = spark.createDataFrame([("C", "Asia/Shanghai", "DMY", "metric", "x"), ("I", "Asia/Jerusalem", "DMY", "metric", "x"), ("B", "Europe/Berlin", None, "metric", "x")], SITES)
+    rows = [("C", "date", "2021-06-01 12:00 CST", None), ("I", "date", "2021-01-01 12:00 IST", None), ("B", "date", "2021-01-01 12:00 IST", None), ("B", "date", "03/04/2021 10:00", None), ("C", "date", "03/04/2021 10:00", None)]
+    got = {r.record_id: r for r in timestamps.normalise(values(spark, rows), sites).collect()}
+    assert [got[f"r{k}"].epoch_s for k in range(3)] == [utc(2021, 6, 1, 4), utc(2021, 1, 1, 10), utc(2021, 1, 1, 6, 30)]
+    assert [got[f"r{k}"].ambiguous for k in range(5)] == [False, False, True, True, False]
 
 
 def records(spark, rows):
