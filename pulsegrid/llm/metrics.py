@@ -118,10 +118,10 @@ def _bag_each(a: pd.Series, pivots: pd.Series) -> pd.Series:
 
 
 class Metric(NamedTuple):
-    """A metric on points: of two, of one with each of an array, and a cheap lower bound of the first."""
+    """A metric on points: of two; of one with each of an array, where a null stands for more than the least plus a slack; a cheap lower bound of the first."""
 
     pair: Callable[[Column, Column], Column]
-    each: Callable[[Column, Column], Column]
+    each: Callable[[Column, Column, Column], Column]
     bound: Callable[[Column, Column], Column]
 
 
@@ -134,16 +134,21 @@ def _letters(x: Column) -> Column:
     return F.length(x["p1"]) + F.length(x["p2"])
 
 
+def _words_and_number_each(a: Column, pivots: Column, slack: Column) -> Column:
+    """Only pivots whose number lets them be nearest, or nearest plus the slack, have their words compared."""
+    apart = lambda p: F.abs(a["num"] - p["num"])
+    reach = F.array_min(F.transform(pivots, lambda p: apart(p) + _letters(a) + _letters(p))) + slack
+    return F.get(F.transform(F.array(reach), lambda most: F.transform(pivots, lambda p: F.when(apart(p) <= most, _words_and_number(a, p)))), F.lit(0))
+
+
 #: Points struct<p1, p2, num>: the bag distance of two words (either may be empty) plus the difference of the numbers.
-WORDS_AND_NUMBER = Metric(
-    _words_and_number, lambda a, pivots: F.transform(pivots, lambda p: _words_and_number(a, p)), lambda a, b: F.abs(_letters(a) - _letters(b)) + F.abs(a["num"] - b["num"])
-)
+WORDS_AND_NUMBER = Metric(_words_and_number, _words_and_number_each, lambda a, b: F.abs(_letters(a) - _letters(b)) + F.abs(a["num"] - b["num"]))
 #: Points string: :func:`bag_distance`.
-BAGS = Metric(_bag_pair, _bag_each, lambda a, b: F.abs(F.length(F.replace(a, F.lit(" "), F.lit(""))) - F.length(F.replace(b, F.lit(" "), F.lit("")))))
+BAGS = Metric(_bag_pair, lambda a, pivots, slack: _bag_each(a, pivots), lambda a, b: F.abs(F.length(F.replace(a, F.lit(" "), F.lit(""))) - F.length(F.replace(b, F.lit(" "), F.lit("")))))
 
 
 #: Comparisons up to which a cell is one task's work, and pivots of a cell at most.
-WORK, PIVOTS = 1 << 20, 64
+WORK, PIVOTS = 1 << 18, 128
 
 
 def radius_join(points: DataFrame, metric: Metric = WORDS_AND_NUMBER) -> DataFrame:
@@ -161,8 +166,9 @@ def radius_join(points: DataFrame, metric: Metric = WORDS_AND_NUMBER) -> DataFra
     are pivots, and how far cells are split, changes the speed and never the result. Within a cell, only pairs whose
     distances to its pivot differ by the radius at most are compared further. Nothing is capped.
     """
+    tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cells = points.select("space", "radius", "point", "home", "who", F.lit("").alias("cell"), F.lit(0).alias("d"))
-    cells, key = cut(cells), ["space", "cell"]
+    cells, key = cut(cells.repartition(tasks, "point")), ["space", "cell"]
     while True:
         sizes = cells.groupBy(*key).agg(F.count("*").alias("n"), F.count_if("home").alias("h"))
         sizes = cut(sizes.where("h > 0").withColumn("tasks", F.ceil(F.col("n") * F.col("h") / WORK).cast("int")))
@@ -173,13 +179,13 @@ def radius_join(points: DataFrame, metric: Metric = WORDS_AND_NUMBER) -> DataFra
         unit = F.pmod(F.xxhash64("space", "point"), F.lit(1 << 30)) / float(1 << 30)
         some = cells.join(big, key).where(unit * F.col("n") <= 4 * F.col("k")).groupBy(*key).agg(F.first("radius").alias("radius"), F.first("k").alias("k"), F.array_sort(F.collect_set(F.struct(unit.alias("u"), "point"))).alias("some"))
         some = some.select(*key, "radius", "k", F.transform("some", lambda s: s["point"]).alias("some")).withColumn("pivots", F.slice("some", 1, F.col("k")))
-        tried = some.select(*key, "radius", "pivots", F.explode("some").alias("x")).withColumn("to", metric.each(F.col("x"), F.col("pivots")))
+        tried = some.select(*key, "radius", "pivots", F.explode("some").alias("x")).withColumn("to", metric.each(F.col("x"), F.col("pivots"), 2 * F.col("radius")))
         tried = tried.groupBy(*key).agg(F.avg(F.size(F.filter("to", lambda d: d <= F.array_min("to") + 2 * F.col("radius")))).alias("copies"))
         pivots = cut(some.join(tried, key).where((F.size("pivots") > 1) & (2 * F.col("copies") <= F.size("pivots"))).select(*key, "pivots"))
         if pivots.isEmpty():
             break
-        to = F.transform(F.col("to"), lambda d, k: F.struct(d.alias("d"), k.alias("to")))
-        split = cells.join(pivots, key).withColumn("to", metric.each(F.col("point"), F.col("pivots"))).withColumn("to", to).withColumn("own", F.array_min("to"))
+        to = F.filter(F.transform(F.col("to"), lambda d, k: F.struct(d.alias("d"), k.alias("to"))), lambda t: t["d"].isNotNull())
+        split = cells.join(pivots, key).withColumn("to", metric.each(F.col("point"), F.col("pivots"), 2 * F.col("radius"))).withColumn("to", to).withColumn("own", F.array_min("to"))
         split = split.select("space", "radius", "point", "home", "who", "cell", "own", F.inline(F.filter("to", lambda t: t["d"] <= F.col("own.d") + 2 * F.col("radius"))).alias("d", "to"))
         split = split.select("space", "radius", "point", (F.col("home") & (F.col("to") == F.col("own.to"))).alias("home"), "who", F.concat_ws(".", "cell", F.col("to").cast("string")).alias("cell"), "d")
         cells = cut(cells.join(pivots.select(*key), key, "left_anti").unionByName(split))

@@ -190,13 +190,12 @@ def _keyed(names: DataFrame) -> DataFrame:
 
 
 def person_points(keyed: DataFrame) -> DataFrame:
-    """Points of the radius join, and with each the person as payload.
+    """Points of the radius join, and with each the person (field and id) as payload.
 
     Spaces: whole names, and parts of names, each among the dated patients, at one site, and among the interpreters. Whole
     names ask for whole names; partial ones ask for parts.
     """
-    who = F.struct("field", "id", "parts", "full", "day", "born", "sites").alias("who")
-    k = keyed.withColumn("who", who)
+    k = keyed.withColumn("who", F.concat_ws(SEP, "field", "id"))
     dated = F.col("day").isNotNull()
     at_site = F.transform("sites", lambda s: F.struct(F.concat(F.lit("site" + SEP), s["site"]).alias("space"), F.lit(0).alias("num"), (~dated).alias("asks")))
     spaces = (
@@ -214,8 +213,8 @@ def person_points(keyed: DataFrame) -> DataFrame:
     return names.union(parts).select("space", radius.alias("radius"), "point", F.col("asks").alias("home"), "who")
 
 
-def checked_edges(pairs: DataFrame) -> DataFrame:
-    """(kind, a, b, weight) of the pairs of persons that pass the exact test; kind is ``same`` or ``part`` (a is partial or undated, and b is not).
+def checked_edges(pairs: DataFrame, keyed: DataFrame) -> DataFrame:
+    """(kind, a, b, weight) of the pairs (who_a, who_b) of the persons in ``keyed`` that pass the exact test; kind is ``same`` or ``part`` (a is partial or undated, and b is not).
 
     ``weight`` counts how often both were met at the same sites.
     """
@@ -252,9 +251,12 @@ def checked_edges(pairs: DataFrame) -> DataFrame:
                     continue
                 if kind := edge(x, y):
                     rows.append((kind, x["field"] + SEP + x["id"], y["field"] + SEP + y["id"], weight))
-            yield pd.DataFrame(rows, columns=["kind", "a", "b", "weight"]).drop_duplicates()
+            yield pd.DataFrame(rows, columns=["kind", "a", "b", "weight"])
 
-    return pairs.select("who_a", "who_b").mapInPandas(run, "kind string, a string, b string, weight long")
+    person = keyed.select(F.concat_ws(SEP, "field", "id").alias("who"), F.struct("field", "id", "parts", "full", "day", "born", "sites").alias("p"))
+    pairs = pairs.select("who_a", "who_b").distinct()
+    pairs = pairs.join(person.select(F.col("who").alias("who_a"), F.col("p").alias("a")), "who_a").join(person.select(F.col("who").alias("who_b"), F.col("p").alias("b")), "who_b")
+    return pairs.select(F.col("a").alias("who_a"), F.col("b").alias("who_b")).mapInPandas(run, "kind string, a string, b string, weight long")
 
 
 def _bare(text: str) -> str:
@@ -384,9 +386,9 @@ def variant_classes(records: DataFrame, moments: DataFrame) -> DataFrame:
     r = cut(r.dropDuplicates(["record_id"]))
     readers = _sites(r.where(~blank(F.col("interpreter"))).withColumnRenamed("interpreter", "id"), "id")
     readers = readers.select(F.lit(INTERPRETER).alias("field"), "id", F.lit(None).cast("int").alias("day"), F.lit(None).cast("double").alias("born"), "sites", F.col("id").alias("text"))
-    keyed = _keyed(patient_names(r.where(~blank(F.col("patient_id"))), moments).unionByName(readers))
+    keyed = cut(_keyed(patient_names(r.where(~blank(F.col("patient_id"))), moments).unionByName(readers)))
     places = cut(_sites(r.where(~blank(F.col("institution"))).withColumnRenamed("institution", "id"), "id"))
-    edges = cut(checked_edges(radius_join(person_points(keyed))).union(institution_edges(places)))
+    edges = cut(checked_edges(radius_join(person_points(keyed)), keyed).union(institution_edges(places)))
 
     entity = cut(components(edges.where("kind = 'same'")))
     # a partial name takes the most weighty of the entities it fits, unless another has the same weight
