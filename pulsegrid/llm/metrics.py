@@ -147,8 +147,8 @@ WORDS_AND_NUMBER = Metric(_words_and_number, _words_and_number_each, lambda a, b
 BAGS = Metric(_bag_pair, lambda a, pivots, slack: _bag_each(a, pivots), lambda a, b: F.abs(F.length(F.replace(a, F.lit(" "), F.lit(""))) - F.length(F.replace(b, F.lit(" "), F.lit("")))))
 
 
-#: Comparisons up to which a cell is one task's work, and pivots of a cell at most.
-WORK, PIVOTS = 1 << 18, 128
+#: Comparisons that are one task's work, tasks from which a cell is split, and pivots of a cell at most.
+WORK, SPLIT, PIVOTS = 1 << 18, 8, 128
 
 
 def radius_join(points: DataFrame, metric: Metric = WORDS_AND_NUMBER) -> DataFrame:
@@ -159,8 +159,8 @@ def radius_join(points: DataFrame, metric: Metric = WORDS_AND_NUMBER) -> DataFra
 
     A cell holds the points near one pivot. Each point has its home in the cell of its nearest pivot; it is also copied into
     every cell whose pivot is at most twice the radius farther: by the triangle inequality no pair is lost, since a partner
-    y of x has d(y, pivot of x) <= d(y, pivot of y) + 2r. Each space begins as one cell; a cell of more than WORK comparisons is
-    split by as many pivots as its size asks for, and its cells again, so pivots grow with the data. Where the points lie so
+    y of x has d(y, pivot of x) <= d(y, pivot of y) + 2r. Each space begins as one cell; a cell of more than SPLIT
+    times WORK comparisons is split by as many pivots as its size asks for, and its cells again, so pivots grow with the data. Where the points lie so
     evenly far apart that most would be copied into most cells, pivots cannot part them; such a cell stays whole, its home
     points are dealt out to as many tasks as its comparisons need, and each task meets all points of the cell. Which points
     are pivots, and how far cells are split, changes the speed and never the result. Within a cell, only pairs whose
@@ -172,7 +172,7 @@ def radius_join(points: DataFrame, metric: Metric = WORDS_AND_NUMBER) -> DataFra
     while True:
         sizes = cells.groupBy(*key).agg(F.count("*").alias("n"), F.count_if("home").alias("h"))
         sizes = cut(sizes.where("h > 0").withColumn("tasks", F.ceil(F.col("n") * F.col("h") / WORK).cast("int")))
-        big = sizes.where("tasks > 1").withColumn("k", F.least(F.lit(PIVOTS), F.ceil(2 * F.sqrt("tasks"))).cast("int"))
+        big = sizes.where(F.col("tasks") > SPLIT).withColumn("k", F.least(F.lit(PIVOTS), F.ceil(2 * F.sqrt("tasks"))).cast("int"))
         if big.isEmpty():
             break
         # the points first in order of a hash: the pivots, and others on which the copies of a split are counted beforehand

@@ -6,8 +6,8 @@ checked exactly and entities are connected components.
 
 A person's point is the bag of the name's two words as they sound, with a number: D = edits between the words in either order
 + days between the birth dates. So a birth date is evidence within the metric, not a key: a patient lies near those of like
-name born about the same day. A patient without one has a second kind of point, the name at each site it was met at, and is
-joined there with all patients of the site, dated or not; ages at recording then take the part of the birth date. Of a name
+name born about the same day. A patient without one has a second kind of point, the name at each site it was met at, with
+the year of birth by the age at recording as its number, and is joined there with all patients of the site, dated or not. Of a name
 that is not whole (an initial, a part missing) the one whole part is the point. An institution's point is the bag of all its
 words, in several forms: as written, with short forms in full, shortened, with two words run together, and as an acronym
 with its town.
@@ -77,6 +77,7 @@ RADIUS = {PATIENT: 4, INTERPRETER: 2, INSTITUTION: 2}
 #: Years by which the time of birth taken from an age in whole years may be off.
 AGE_YEARS = 0.6
 SEP = "\u0001"
+SITE = "site" + SEP
 
 
 def repaired(text: str) -> str:
@@ -197,7 +198,8 @@ def person_points(keyed: DataFrame) -> DataFrame:
     """
     k = keyed.withColumn("who", F.concat_ws(SEP, "field", "id"))
     dated = F.col("day").isNotNull()
-    at_site = F.transform("sites", lambda s: F.struct(F.concat(F.lit("site" + SEP), s["site"]).alias("space"), F.lit(0).alias("num"), (~dated).alias("asks")))
+    at_site = F.transform("sites", lambda s: F.struct(F.concat(F.lit(SITE), s["site"]).alias("space"), F.round("born").cast("int").alias("num"), (~dated).alias("asks")))
+    at_site = F.when(F.col("born").isNotNull(), at_site).otherwise(F.array())
     spaces = (
         F.when(F.col("field") == INTERPRETER, F.array(F.struct(F.lit("readers").alias("space"), F.lit(0).alias("num"), F.lit(True).alias("asks"))))
         .when(dated, F.concat(F.array(F.struct(F.lit("born").alias("space"), F.col("day").alias("num"), F.lit(True).alias("asks"))), at_site))
@@ -209,7 +211,8 @@ def person_points(keyed: DataFrame) -> DataFrame:
     names = names.select("space", "field", point(F.col("w")[0], F.col("w")[1]).alias("point"), "asks", "who")
     parts = k.select(F.concat(F.lit("part" + SEP), "space").alias("space"), "field", "num", F.explode(F.array_distinct(F.flatten("names"))).alias("part"), (F.col("asks") & ~F.col("full")).alias("asks"), "who")
     parts = parts.where("length(part) > 2").select("space", "field", point(F.col("part"), F.lit("")).alias("point"), "asks", "who")
-    radius = F.when(F.col("field") == INTERPRETER, RADIUS[INTERPRETER]).otherwise(RADIUS[PATIENT])
+    # two ages in whole years that agree give years of birth at most two apart
+    radius = F.when(F.col("field") == INTERPRETER, RADIUS[INTERPRETER]).otherwise(RADIUS[PATIENT] + F.when(F.col("space").contains(SITE), 2).otherwise(0))
     return names.union(parts).select("space", radius.alias("radius"), "point", F.col("asks").alias("home"), "who")
 
 
