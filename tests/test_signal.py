@@ -4,7 +4,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from pulsegrid.functions import arrow
+from pulsegrid.functions import arrow, denoise
 from pulsegrid.functions import kernels as k
 from pulsegrid.operators import plotdata
 from pulsegrid.operators import signal as sg
@@ -185,7 +185,7 @@ def test_udfs(spark):
     assert "ecg_r_peaks" in arrow.register(spark)
     df.createOrReplaceTempView("leads_v")
     assert spark.sql("SELECT size(ecg_r_peaks(samples, fs)) AS n FROM leads_v WHERE id = 1").first().n == len(got[1])
-    with pytest.raises(NotImplementedError):
+    with pytest.raises(ValueError, match="weights"):
         arrow.clean(F.col("samples"), F.col("fs"), "deepfade")
     with pytest.raises(ValueError, match="unknown"):
         arrow.r_peaks(F.col("samples"), F.col("fs"), "x")
@@ -203,3 +203,47 @@ def test_leads_from_arrays(spark):
     assert sg.leads_from_arrays(spark, np.ones((2, 3, 4)), 500).select("record_id").distinct().count() == 2
     with pytest.raises(TypeError):
         sg.leads_from_arrays(spark, np.ones(3), None)
+
+
+def test_bad_leads_give_null_and_a_reason(spark):
+    df = spark.createDataFrame([(1, [1.0] * 5, 500), (2, [float(k % 7) for k in range(400)], 500), (3, [1.0] * 400, 60), (4, [], 500), (5, None, 500)], "id int, samples array<double>, fs int")
+    got = {r.id: r.o for r in df.select("id", arrow.outcome(lambda m, f: k.lowpass(m, f, 40.0))("samples", "fs").alias("o")).collect()}
+    assert got[1].samples is None and "more than 15 samples" in got[1].error and got[3].samples is None and "cut-off" in got[3].error and "no samples" in got[4].error
+    assert len(got[2].samples) == 400 and got[2].error is None and got[5].samples is None
+    assert [r.n for r in df.select("id", F.size(arrow.lowpass(F.col("samples"), F.col("fs"), 40.0)).alias("n")).orderBy("id").collect()][1] == 400
+    # cleaners of absent libraries leave the lead as it is
+    assert df.where("id = 2").select(arrow.clean(F.col("samples"), F.col("fs"), "combined").alias("c"), "samples").where("c = samples").count() == 1
+
+
+def test_kernels_from_sql(spark):
+    names = arrow.register(spark)
+    spark.createDataFrame([([float(k % 9) for k in range(600)], 500, 20.0), ([float(k % 5) for k in range(600)], 500, 45.0)], "s array<double>, fs int, c double").createOrReplaceTempView("sql_leads")
+    got = spark.sql("SELECT ecg_lowpass(s, fs, c) AS a, ecg_bandpass(s, fs, 5.0, 40.0, 2) AS b, ecg_resample(s, fs, 250) AS r, ecg_quality(s, fs).sqi AS q, ecg_notch(s, fs) AS n, ecg_power_spectrum(s, fs).psd AS p, s FROM sql_leads ORDER BY c").collect()
+    for row, c in zip(got, (20.0, 45.0), strict=True):
+        x = np.array([row.s])
+        assert np.allclose(row.a, k.lowpass(x, 500, c)[0]) and np.allclose(row.b, k.bandpass(x, 500, 5.0, 40.0, 2)[0]) and len(row.r) == 300 and 0 <= row.q <= 1 and len(row.p) == 129
+    assert len(names) == 16
+
+
+def test_denoiser(tmp_path, spark):
+    rng = np.random.default_rng(1)
+    x, w, b = rng.normal(size=(2, 3, 20)), rng.normal(size=(4, 3, 3)), rng.normal(size=4)
+    pad = np.pad(x, ((0, 0), (0, 0), (1, 1)))
+    naive = np.array([[[(pad[i, :, t : t + 3] * w[o]).sum() + b[o] for t in range(0, 20, 2)] for o in range(4)] for i in range(2)])
+    assert np.allclose(denoise.convolve(x, w, b, 2), naive)
+    v = rng.normal(size=(3, 2, 3))
+    full = np.zeros((2, 2, 20 * 5 + 3))
+    for t in range(20):
+        for q in range(3):
+            full[:, :, t * 5 + q] += np.einsum("bi,io->bo", x[:, :, t], v[:, :, q])
+    assert np.allclose(denoise.spread(x, v, b[:2], 5), full[:, :, 1:101] + b[:2, None])
+    weights = {k.replace("_blocks.0.", "DenseBlock_0.").replace("_trunk.", "_dense_trunk."): a for k, a in denoise.random_weights().items()}
+    np.savez(tmp_path / "w.npz", **{f"module.{k}": a for k, a in weights.items()})
+    net = denoise.load(str(tmp_path / "w.npz"))
+    leads = rng.normal(size=(1, 6000))
+    out = denoise.denoised(leads, 500, net)
+    assert out.shape == (1, 6000) and np.allclose(out[0, 5000:], net(np.pad(leads[:, 5000:], ((0, 0), (0, 4000))))[0][0, :1000])
+    signal, baseline = net(leads[:, :5000])
+    assert signal.shape == baseline.shape == (1, 5000) and np.allclose(signal[0], out[0, :5000])
+    with pytest.raises(ValueError, match="lack"):
+        denoise.Network({})

@@ -41,6 +41,19 @@ def test_wfdb(form):
     assert b.decode_wfdb(hea, {})["leads"] == []
 
 
+def test_wfdb_header_lines():
+    text = "r/1 2 360.5/10(3) 7200 1:02:03.5 01/02/1999\nx.dat 212 1e2(-5)/uV 11 1024 3 -4 0 MLII lead\nx.dat 16 bad\n#Patient ID: P7\n# medications: a\n# Drugs: b\n# height: 170.5\n# weight: x\n# Equipment: one\n# device: two\n# nonsense\n"
+    h = b.wfdb_header(text)
+    assert h["rate"] == 360 and h["recording"]["date"].isoformat() == "1999-02-01T01:02:03" and h["recording"]["duration_seconds"] == 20
+    one, two = h["specs"]
+    assert (one["gain"], one["baseline"], one["units"], one["adc_zero"], one["description"], one["checksum"]) == (100, -5, "uV", 1024, "MLII lead", -4)
+    assert (two["format"], two["gain"], two["units"]) == (16, 200, "mV")
+    assert h["patient"] == {"patient_id": "P7", "height": 170.5, "medications": ["a", "b"]} and h["recording"]["device"] == {"model": "one"}
+    assert b.edf_filters("HP: 0.05 Hz, lp:100HZ N60Hz") == {"highpass": 0.05, "lowpass": 100.0, "notch": 60.0, "notch_active": True} and b.edf_filters("HP:DC") == {}
+    with pytest.raises(CorruptFile):
+        b.wfdb_header("# only a note")
+
+
 def test_mfer():
     r = b.decode_mfer(mk.mfer())
     assert [v["label"] for v in r["leads"]] == ["I", "II"] and r["leads"][0]["sampling_rate"] == 500 and r["leads"][1]["samples"][1] == 201
@@ -113,27 +126,41 @@ def test_read_folder(spark, tmp_path):
     got = {r.path.rpartition("/")[2]: r.source_format for r in reader.detect(found).select("path", "source_format").collect()}
     assert {k: got.get(k) for k in ALL} == {k: v[0] for k, v in ALL.items()}  # an empty file may be left out of the scan
     d = reader.decode(found, "PERMISSIVE").cache()
-    rows = {r.record_id: r for r in reader.records_of(d).collect()}
+    plain = F.regexp_extract("record_id", r"([^/]*)$", 1).alias("record_id")
+    rows = {r.record_id.rpartition("/")[2]: r for r in reader.records_of(d).collect()}
     assert rows["bad.edf"].error and not rows["a.edf"].error and rows["a.edf"].source_format == "edf_plus" and len(rows) == 13
     leads = reader.leads_of(d, "uV")
-    n = {r.record_id: r["count"] for r in leads.groupBy("record_id").count().collect()}
+    n = {r.record_id: r["count"] for r in leads.groupBy(plain).count().collect()}
     assert n["c.hea"] == 2 and n["h.xml"] == 4 and "bad.edf" not in n
-    first = leads.where("record_id = 'g.xml' AND lead_no = 0").first()
+    first = leads.where("record_id LIKE '%/g.xml' AND lead_no = 0").first()
     assert first.units == "uV" and first.samples == [500.0, 250.0]
-    text = d.where("record_id = 'a.edf'").select(reader.to_json(d, False).alias("j")).first().j
+    text = d.where("record_id LIKE '%/a.edf'").select(reader.to_json(d, False).alias("j")).first().j
     assert '"sample_count":1000' in text and '"samples"' not in text
-    assert "patient: P001" in reader.describe(d).where("record_id = 'a.edf'").first().text
+    text = reader.describe(d).where("record_id LIKE '%/a.edf'").first().text
+    assert "patient:\n  patient_id: P001\n" in text and "duration_seconds: 0:00:02" in text and "leads: EDF ECG I (1000), EDF ECG II (1000)" in text and "\n  race" not in text
     with pytest.raises(Exception, match="bad.edf|EDF data"):
         reader.decode(found.where("path LIKE '%.edf'")).collect()
     assert reader.decode(found, formats=["edf"], mode="PERMISSIVE", include_samples=False).where(F.size("leads") > 0).count() == 1
 
 
+def test_same_names_in_two_folders(spark, tmp_path):
+    for k, form in enumerate((16, 212)):
+        (tmp_path / f"d{k}").mkdir()
+        hea, dat, _ = mk.wfdb(form)
+        (tmp_path / f"d{k}" / "rec.hea").write_bytes(hea)
+        (tmp_path / f"d{k}" / "rec.dat").write_bytes(dat if k else dat[:8])
+    d = reader.decode(reader.files(spark, str(tmp_path)))
+    assert sorted((r.record_id, r.n) for r in d.select("record_id", F.size(d.leads[0].samples).alias("n")).collect()) == [(f"{tmp_path}/d0/rec.hea", 2), (f"{tmp_path}/d1/rec.hea", 4)]
+    plan = reader.decode(reader.files(spark, str(tmp_path), glob="*.edf"))._jdf.queryExecution().toString()
+    assert "Exchange" not in plan  # without headers no join, and no byte is shuffled
+
+
 def test_list_keeps_order(spark, tmp_path):
     names = ["b.ecg", "a.edf", "d.mfer"]
     for n in names:
         (tmp_path / n).write_bytes(ALL[n][1])
     out = reader.decode_list(spark, [str(tmp_path / n) for n in names])
-    assert [r.record_id for r in out.collect()] == names
+    assert [r.record_id for r in out.collect()] == [str(tmp_path / n) for n in names]
 
 
 def test_plugin(spark, tmp_path):
