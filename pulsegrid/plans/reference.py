@@ -16,7 +16,8 @@ from pulsegrid.common import table
 from pulsegrid.functions import arrow
 from pulsegrid.operators import plotdata
 from pulsegrid.operators import signal as sg
-from pulsegrid.sources.detect import FORMATS, source_format
+from pulsegrid.plans import filter_sql
+from pulsegrid.sources.detect import FORMATS
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -334,26 +335,39 @@ def snr_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sg.band_scores(spectra(spark, sf_dir), "vec_id").select("vec_id", _r("snr_db", 4).alias("snr_db"))
 
 
-# --- recursive filters, peaks, combined quality: no SQL can say these on whole tables; tested against brute force ------------
+# --- recursive filters: in SQL as recursions over time, their sections by closed formulas ------------------------------------
 
 
-def _filtered(name: str, f: Callable[[Column, Column], Column]) -> None:
+def _filtered(name: str, f: Callable[[Column, Column], Column], steps: list[filter_sql.Step], digits: int = 4) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return _exploded(leads64(spark, sf_dir).withColumn("samples", f(F.col("samples"), F.col("sampling_rate"))), "vec_id")
+        return _exploded(leads64(spark, sf_dir).withColumn("samples", f(F.col("samples"), F.col("sampling_rate"))), "vec_id", digits=digits)
 
     run.__name__ = name
-    query()(run)
+    query(filter_sql.zero_phase_sql(steps, 500, digits))(run)
+
+
+_NOTCH = ("notch", 50.0, 30.0)
+_filtered("lowpass", lambda s, fs: arrow.lowpass(s, fs, 40.0), [("low", 40.0, 4)])
+_filtered("highpass", lambda s, fs: arrow.highpass(s, fs, 5.0), [("high", 5.0, 4)])
+_filtered("bandpass", lambda s, fs: arrow.bandpass(s, fs, 5.0, 100.0), [("band", 5.0, 100.0, 4)])
+_filtered("notch", arrow.notch, [_NOTCH])
+_filtered("remove_baseline", arrow.remove_baseline, [("high", 0.5, 2)])
+_filtered("diagnostic_filter", arrow.diagnostic_filter, [("band", 0.05, 150.0, 4), _NOTCH], 3)
+_filtered("monitoring_filter", arrow.monitoring_filter, [("band", 0.67, 40.0, 4), _NOTCH])
+_filtered("clean_default", arrow.clean, [("band", 0.5, 40.0, 4), _NOTCH])
+
+
+@query(filter_sql.resample_sql(500, 250, 64))
+def resample_250(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _exploded(leads64(spark, sf_dir).withColumn("samples", arrow.resample(F.col("samples"), F.col("sampling_rate"), 250)), "vec_id")
+
 
+@query(filter_sql.resample_sql(500, 360, 64))
+def resample_360(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _exploded(leads64(spark, sf_dir).withColumn("samples", arrow.resample(F.col("samples"), F.col("sampling_rate"), 360)), "vec_id")
 
-_filtered("lowpass", lambda s, fs: arrow.lowpass(s, fs, 40.0))
-_filtered("highpass", lambda s, fs: arrow.highpass(s, fs, 5.0))
-_filtered("bandpass", lambda s, fs: arrow.bandpass(s, fs, 5.0, 100.0))
-_filtered("notch", arrow.notch)
-_filtered("remove_baseline", arrow.remove_baseline)
-_filtered("diagnostic_filter", arrow.diagnostic_filter)
-_filtered("monitoring_filter", arrow.monitoring_filter)
-_filtered("clean_default", arrow.clean)
-_filtered("resample_250", lambda s, fs: arrow.resample(s, fs, 250))
+
+# --- peaks and combined quality ----------------------------------------------------------------------------------------------
 
 
 def strips(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -388,11 +402,20 @@ def hrv_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arrays.select("user_id", arrow.hrv_frequency(F.col("rr")).alias("h")).select("user_id", "h.*")
 
 
-@query()
+@query(filter_sql.segments_sql(16, 14, "tukey") + " SELECT vec_id, round((g * 14 + 8) / 500.0, 6) AS t, round(k * 500.0 / 16, 6) AS freq, round(10 * log10(greatest(psd, 1e-20)), 3) + 0.0 AS db FROM d WHERE k > 0")
 def spectrogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = leads64(spark, sf_dir).select("vec_id", arrow.spectrogram(F.col("samples"), F.col("sampling_rate")).alias("s"))
+    # segments of 16 samples, so that leads of 64 have several; the bin at 0 Hz is rounding noise once the mean is taken off
+    df = leads64(spark, sf_dir).select("vec_id", arrow.spectrogram(F.col("samples"), F.col("sampling_rate"), 16).alias("s"))
     df = df.select("vec_id", "s.freqs", F.inline(F.arrays_zip("s.times", "s.db")).alias("t", "db"))
-    return df.select("vec_id", "t", F.inline(F.arrays_zip("freqs", "db")).alias("freq", "db"))
+    df = df.select("vec_id", "t", F.inline(F.arrays_zip("freqs", "db")).alias("freq", "db")).where("freq > 0")
+    return df.select("vec_id", F.round("t", 6).alias("t"), F.round("freq", 6).alias("freq"), _r("db", 3).alias("db"))
+
+
+@query(filter_sql.segments_sql(24, 12, "hann") + " SELECT vec_id, round(k * 500.0 / 24, 6) AS freq, round(1000 * avg(psd), 6) + 0.0 AS psd_milli FROM d GROUP BY vec_id, k")
+def welch_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spectra over half-overlapping segments of 24 samples; the tail of the lead is dropped."""
+    df = leads64(spark, sf_dir).select("vec_id", arrow.power_spectrum(F.col("samples"), F.col("sampling_rate"), 24).alias("s"))
+    return df.select("vec_id", F.inline(F.arrays_zip("s.freqs", "s.psd")).alias("freq", "psd")).select("vec_id", F.round("freq", 6).alias("freq"), _r(F.col("psd") * 1000).alias("psd_milli"))
 
 
 # --- plots as rows, detection ---------------------------------------------------------------------------------------------
@@ -439,21 +462,63 @@ def peak_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("user_id", F.col("beat_no").cast("long").alias("beat_no"), *[F.round(c, 6).alias(c) for c in ("t", "v", "rr_ms", "hr")])
 
 
-# marks by which a text names its format; a payload is given that of its source
-_MARKS = {"beneheart_r12": "<BeneHeartR12>", "ge_mac2000": "<MAC2000>", "ge_muse_xml": "<RestingECG>", "hl7_aecg": "<AnnotatedECG>", "mortara_el250": "<ECG><CHANNEL/>", "sierra_xml": "<restingecgdata>"}
-_MARKED = "CASE source_format " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _MARKS.items()) + " ELSE '' END || coalesce(payload, '')"
+# --- decoders: the tables written as files of each format, detected and decoded again -------------------------------------------
 
 
-@query(
-    f"WITH t AS (SELECT DISTINCT record_id, substr({_MARKED}, 1, 4096) AS x FROM raw_payloads) SELECT record_id, CASE "
-    "WHEN contains(lower(x), '<beneheartr12') OR contains(lower(x), '<mindrayecg') OR (contains(lower(x), '<ecgdata') AND contains(lower(x), 'mindray')) THEN 'beneheart_r12' "
-    "WHEN contains(lower(x), '<mac2000') OR contains(lower(x), '<mac_2000') OR contains(lower(x), '<ge_mac') OR contains(lower(x), '<macexport') THEN 'ge_mac2000' "
-    "WHEN ((contains(lower(x), '<restingecg>') OR contains(lower(x), '<restingecg ')) AND NOT contains(lower(x), '<restingecgdata')) OR contains(lower(x), '<museinfo') THEN 'ge_muse_xml' "
-    "WHEN contains(x, '<AnnotatedECG') THEN 'hl7_aecg' WHEN contains(x, '<ECG') AND (contains(lower(x), 'mortara') OR contains(x, '<CHANNEL')) THEN 'mortara_el250' WHEN contains(lower(x), '<restingecgdata') THEN 'sierra_xml' END AS detected FROM t"
+_FILES = (
+    "WITH e AS (SELECT vec_id, [greatest(-2000, least(2000, CAST(round(CAST(x AS DOUBLE) * 200) AS BIGINT))) FOR x IN embedding] AS v FROM embeddings), "
+    "w AS (SELECT vec_id // {n} AS rec, vec_id % {n} AS k, v, count(*) OVER (PARTITION BY vec_id // {n}) AS m FROM e), p AS (SELECT rec, k, unnest(range(0, len(v))) AS i, unnest(v) AS x FROM w WHERE m = {n}) "
+)
+# steps to values, by what each format says of its own
+_SCALED = {
+    "beneheart_r12": "x * 1.0", "dicom_waveform": "x * 2.0 - 6.0", "edf": "x * 0.1 + 1.0", "ge_mac2000": "x * 2.5", "ge_muse_xml": "x * 4.88", "hl7_aecg": "x * 2.5 + 4.0", "ishne_holter": "x * 2.5", "mfer": "x * 0.5",
+    "mortara_el250": "x / 200.0", "scp_ecg": "x * 1.0", "wfdb": "x / 500.0 - 10 / 500.0",
+}
+# the limb leads of one format follow from the first two and what is stored
+_LIMBS = (
+    ", q AS (SELECT rec, i, max(x) FILTER (k = 0) AS a, max(x) FILTER (k = 1) AS b, max(x) FILTER (k = 2) AS c, max(x) FILTER (k = 3) AS r, max(x) FILTER (k = 4) AS l, max(x) FILTER (k = 5) AS f FROM p GROUP BY rec, i), "
+    "t AS (SELECT *, b - a - c AS three FROM q), u AS (SELECT rec, i, unnest(range(0, 6)) AS k, unnest([CAST(a AS DOUBLE), b, three, -r - floor((a + b) / 2), floor((a - three) / 2) - l, floor((b + three) / 2) - f]) AS x FROM t) "
 )
+
+
+def _decoder(form: str) -> None:
+    from pulsegrid.plans import carriers
+    from pulsegrid.sources import reader
+
+    count = carriers.WRITERS[form][1]
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        decoded = reader.decode(carriers.files(spark, sf_dir, form))
+        leads = sg.to_physical(reader.leads_of(decoded))
+        return leads.select(
+            F.regexp_extract("record_id", r"r(\d+)\.", 1).cast("long").alias("rec"), F.regexp_replace("label", "^EDF ", "").alias("label"), "units", F.col("sampling_rate").cast("long").alias("rate"), F.posexplode("samples").alias("i", "v")
+        ).select("rec", "label", "units", "rate", F.col("i").cast("long").alias("i"), _r("v").alias("v"))
+
+    unit = "mV" if form in ("mortara_el250", "wfdb") else "uV"
+    label = "['I', 'II', 'III', 'aVR', 'aVL', 'aVF'][CAST(k + 1 AS BIGINT)]"
+    rows, value = (_LIMBS, "x * 5.0") if form == "sierra_xml" else ("", _SCALED[form])
+    run.__name__ = f"decode_{form}"
+    query(_FILES.format(n=count) + f"{rows}SELECT CAST(rec AS BIGINT) AS rec, {label} AS label, '{unit}' AS units, CAST(500 AS BIGINT) AS rate, CAST(i AS BIGINT) AS i, round({value}, 6) + 0.0 AS v FROM {'u' if rows else 'p'}")(run)
+
+
+for _form, *_ in FORMATS:
+    _decoder(_form)
+
+
+@query(
+    "WITH n AS (SELECT " + ", ".join(f"count(*) // {n} AS n{n}" for n in (2, 6)) + " FROM embeddings), f AS (SELECT unnest(["
+    + ", ".join(f"'{f}'" for f, *_ in FORMATS) + "]) AS form) SELECT form AS written, form AS detected, CAST(CASE form WHEN 'sierra_xml' THEN n6 ELSE n2 END AS BIGINT) AS files FROM f, n"
+)
 def detect_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = table(spark, sf_dir, "raw_payloads").select("record_id", F.expr(_MARKED).alias("x")).distinct()
-    return t.select("record_id", source_format(F.encode("x", "UTF-8"), F.lit("payload.json")).alias("detected"))
+    """The files of all formats, by the format they were written in and the one that is detected; WFDB data files are left out."""
+    from pulsegrid.plans import carriers
+    from pulsegrid.sources import reader
+
+    every = None
+    for form in carriers.WRITERS:
+        df = carriers.files(spark, sf_dir, form).where("path NOT LIKE '%.dat'").withColumn("written", F.lit(form))
+        every = df if every is None else every.unionByName(df)
+    return reader.detect(every).groupBy("written", F.col("source_format").alias("detected")).agg(F.count("*").alias("files"))
 
 
 @query("SELECT * FROM (VALUES " + ", ".join(f"('{f}', '{n}', '{d}', {len(e)})" for f, n, d, e in FORMATS) + ") AS v(source_format, name, description, n_extensions)")

@@ -1,4 +1,4 @@
-"""DICOM waveforms: explicit-VR little-endian files, read without a DICOM library."""
+"""DICOM waveforms, read without a DICOM library: explicit types in either byte order, and implicit ones."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from pulsegrid.sources.schema import CorruptFile, Unsupported, lead, signal, wit
 from pulsegrid.sources.xmlformats import MDC_MEASUREMENTS, number
 
 _LONG = {b"OB", b"OW", b"OF", b"OD", b"OL", b"SQ", b"UC", b"UN", b"UR", b"UT"}
-_NUMBERS = {b"US": "H", b"SS": "h", b"UL": "I", b"SL": "i", b"FL": "f", b"FD": "d"}
+_NUMBERS = {b"US": "u2", b"SS": "i2", b"UL": "u4", b"SL": "i4", b"FL": "f4", b"FD": "f8"}
 _ITEM, _ITEM_END, _LIST_END = 0xFFFEE000, 0xFFFEE00D, 0xFFFEE0DD
 # Tags in use, and codes of measurements beside those all formats share.
 TAGS = {
@@ -25,40 +25,71 @@ TAGS = {
 CODES = MDC_MEASUREMENTS | {
     "MDC_ECG_TIME_PD_QTcB": "qtc_bazett", "MDC_ECG_TIME_PD_QTcF": "qtc_fridericia", "5.10.2.1-1": "heart_rate", "5.10.3-1": "rr_interval", "5.10.3-2": "pr_interval", "5.10.3-3": "qrs_duration", "5.10.3-4": "qt_interval", "5.10.3-5": "qtc_bazett",
 }
-EXPLICIT_LITTLE = "1.2.840.10008.1.2.1"
-
-
-def elements(data: bytes, at: int, end: int, until: int | None = None) -> tuple[dict[int, Any], int]:
-    """Elements up to ``end`` or a closing tag: sequences as lists of such tables, numbers as lists, the rest as bytes."""
-    out: dict[int, Any] = {}
-    while at + 8 <= end:
-        group, element = struct.unpack_from("<HH", data, at)
-        tag = group << 16 | element
-        if tag in (_ITEM_END, _LIST_END):
-            return out, at + 8
-        vr = data[at + 4 : at + 6]
-        size, at = (struct.unpack_from("<I", data, at + 8)[0], at + 12) if vr in _LONG else (struct.unpack_from("<H", data, at + 6)[0], at + 8)
-        if vr == b"SQ" or (size == 0xFFFFFFFF and vr == b"UN"):
-            stop = end if size == 0xFFFFFFFF else at + size
-            items = []
-            while at + 8 <= stop:
-                mark, length = struct.unpack_from("<HHI", data, at)[0] << 16 | struct.unpack_from("<H", data, at + 2)[0], struct.unpack_from("<I", data, at + 4)[0]
-                at += 8
-                if mark != _ITEM:
-                    break
-                inner, after = elements(data, at, stop if length == 0xFFFFFFFF else at + length)
-                at = after if length == 0xFFFFFFFF else at + length
-                items.append(inner)
-            at = at if size == 0xFFFFFFFF else stop
-            out[tag] = items
-            continue
-        if at + size > end:
-            raise CorruptFile("a DICOM element is cut off")
-        raw = data[at : at + size]
-        at += size
-        form = _NUMBERS.get(vr)
-        out[tag] = list(struct.unpack(f"<{size // struct.calcsize(form)}{form}", raw[: size // struct.calcsize(form) * struct.calcsize(form)])) if form else raw
-    return out, at
+# Transfer syntaxes with their byte order and whether types are spelled out.
+SYNTAXES = {"1.2.840.10008.1.2": ("<", False), "1.2.840.10008.1.2.1": ("<", True), "1.2.840.10008.1.2.2": (">", True)}
+#: Types of the tags in use that are no text, for files that do not spell types out.
+_KNOWN = {
+    **{TAGS[n]: b"SQ" for n in ("channel_defs", "source", "sensitivity_units", "concept", "annotations", "waveforms")},
+    **{TAGS[n]: t for n, t in (("channels", b"US"), ("samples", b"UL"), ("bits", b"US"), ("data", b"OW"))},
+}
+_OPEN = 0xFFFFFFFF
+
+
+class Reader:
+    """Elements of one transfer syntax."""
+
+    def __init__(self, data: bytes, order: str, explicit: bool) -> None:
+        self.data, self.order, self.explicit = data, order, explicit
+
+    def _tag(self, at: int) -> int:
+        group, element = struct.unpack_from(f"{self.order}HH", self.data, at)
+        return group << 16 | element
+
+    def _size(self, at: int, wide: bool = True) -> int:
+        return struct.unpack_from(self.order + ("I" if wide else "H"), self.data, at)[0]
+
+    def _head(self, at: int, tag: int) -> tuple[bytes, int, int]:
+        """(type, size, place of the value) of the element at a place."""
+        if not self.explicit:
+            size = self._size(at + 4)
+            return _KNOWN.get(tag, b"SQ" if size == _OPEN else b"UN"), size, at + 8
+        vr = self.data[at + 4 : at + 6]
+        return (vr, self._size(at + 8), at + 12) if vr in _LONG else (vr, self._size(at + 6, False), at + 8)
+
+    def _items(self, at: int, end: int) -> tuple[list[dict[int, Any]], int]:
+        """The items of a sequence up to ``end`` or its closing tag."""
+        items = []
+        while at + 8 <= end:
+            mark, size = self._tag(at), self._size(at + 4)
+            at += 8
+            if mark != _ITEM:
+                break
+            inner, after = self.elements(at, end if size == _OPEN else at + size)
+            at = after if size == _OPEN else at + size
+            items.append(inner)
+        return items, at
+
+    def elements(self, at: int, end: int, group: int | None = None) -> tuple[dict[int, Any], int]:
+        """Elements up to ``end``, a closing tag or another group: sequences as lists of such tables, numbers as lists, the rest as bytes."""
+        out: dict[int, Any] = {}
+        while at + 8 <= end:
+            tag = self._tag(at)
+            if tag in (_ITEM_END, _LIST_END):
+                return out, at + 8
+            if group is not None and tag >> 16 != group:
+                break
+            vr, size, at = self._head(at, tag)
+            if vr == b"SQ" or (size == _OPEN and vr == b"UN"):
+                stop = end if size == _OPEN else at + size
+                out[tag], after = self._items(at, stop)
+                at = after if size == _OPEN else stop
+                continue
+            if at + size > end:
+                raise CorruptFile("a DICOM element is cut off")
+            raw, at = self.data[at : at + size], at + size
+            form = _NUMBERS.get(vr)
+            out[tag] = np.frombuffer(raw, self.order + form, size // np.dtype(form).itemsize).tolist() if form else raw
+        return out, at
 
 
 def _text(table: dict[int, Any], name: str) -> str:
@@ -82,10 +113,12 @@ def decode_dicom(data: bytes) -> Record:
     """The first waveform group that has leads."""
     if len(data) < 132 or data[128:132] != b"DICM":
         raise CorruptFile("no DICOM preamble")
-    table, _ = elements(data, 132, len(data))
-    syntax = table.get(0x00020010, b"").decode("ascii", "replace").strip("\0 ") if isinstance(table.get(0x00020010, b""), bytes) else ""
-    if syntax and syntax != EXPLICIT_LITTLE:
+    about, at = Reader(data, "<", True).elements(132, len(data), 2)
+    syntax = about.get(0x00020010, b"").decode("ascii", "replace").strip("\0 ") or "1.2.840.10008.1.2.1"
+    if syntax not in SYNTAXES:
         raise Unsupported(f"transfer syntax {syntax}")
+    order, explicit = SYNTAXES[syntax]
+    table, _ = Reader(data, order, explicit).elements(at, len(data))
     leads: list[Record] = []
     cut: dict[str, float] = {}
     sig = signal(0, None, "pcm", 0, 0, signed=None)
@@ -97,7 +130,7 @@ def decode_dicom(data: bytes) -> Record:
         raw = wave.get(TAGS["data"], b"")
         if not raw or not count:
             continue
-        flat = np.frombuffer(raw, "<i4" if bits == 32 else "<i2", len(raw) // (4 if bits == 32 else 2))
+        flat = np.frombuffer(raw, order + ("i4" if bits == 32 else "i2"), len(raw) // (4 if bits == 32 else 2))
         n = min(n, len(flat) // count) if len(flat) < count * n else n
         frames = flat[: n * count].reshape(n, count).astype(float)
         defs = wave.get(TAGS["channel_defs"], [])

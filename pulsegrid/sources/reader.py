@@ -74,7 +74,10 @@ def decode(found: DataFrame, mode: str = "FAILFAST", include_samples: bool = Tru
         raise ValueError(f"unknown mode {mode!r}")
     known = detect(found, plugins)
     decoders = {**DECODERS, **{p.name: p.decode for p in plugins}}
-    known = known.where("source_format IS NOT NULL" if mode == "PERMISSIVE" or formats else "source_format IS NOT NULL OR NOT lower(path) LIKE '%.dat'")
+    # data files are read through the headers that name them, whatever their first bytes look like
+    known = known.where("NOT lower(path) LIKE '%.dat'")
+    if mode == "PERMISSIVE" or formats:
+        known = known.where("source_format IS NOT NULL")
     if formats:
         known = known.where(F.col("source_format").isin(formats))
 
