@@ -281,19 +281,29 @@ def quality_class(sqi: Column) -> Column:
     return F.when(sqi > 0.8, "excellent").when(sqi >= 0.5, "acceptable").otherwise("unacceptable")
 
 
-def band_scores(spectra: DataFrame, key: str) -> DataFrame:
-    """(key, power_ratio_sqi, baseline_sqi, snr_db) from rows (key, freq, psd)."""
-    step = F.min(F.when(F.col("freq") > 0, F.col("freq")))
-    power = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("psd"))), F.lit(0.0)) * step
-    f = F.col("freq")
-    df = spectra.groupBy(key).agg(power(f.between(1, 40)).alias("_e"), (F.sum("psd") * step).alias("_t"), power(f < 1).alias("_b"), power(f >= 100).alias("_n"))
+def kurtosis_of(samples: Column) -> Column:
+    """The population excess kurtosis of an array, within its row; null where it is constant or empty."""
+    total = lambda a, f: F.aggregate(a, F.lit(0.0), lambda acc, x: acc + f(x))
+    mean = F.struct(samples.alias("a"), (total(samples, lambda x: x) / F.nullif(F.size(samples), F.lit(0))).alias("m"))
+    power = lambda s, k: total(s["a"], lambda x: F.pow(x - s["m"], F.lit(k)))
+    return _let(mean, lambda s: _let(F.struct(power(s, 2).alias("two"), power(s, 4).alias("four"), F.size(s["a"]).alias("n")), lambda q: F.when(q["two"] > 0, q["n"] * q["four"] / (q["two"] * q["two"]) - 3)))
+
+
+def band_scores(spectrum: Column) -> Column:
+    """struct<power_ratio_sqi, baseline_sqi, snr_db> of a spectrum struct<freqs, psd>, within its row: no sample is exploded or shuffled."""
+    bins = F.arrays_zip(spectrum["freqs"].alias("f"), spectrum["psd"].alias("p"))
+    step = F.get(spectrum["freqs"], F.lit(1))
+    power = lambda keep: F.aggregate(bins, F.lit(0.0), lambda acc, x: acc + F.when(keep(x["f"]), x["p"]).otherwise(0.0)) * step
     clip = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
-    return df.select(
-        key,
-        F.when(F.col("_t") > 0, clip(F.try_divide("_e", "_t") / 0.7)).otherwise(0.0).alias("power_ratio_sqi"),
-        F.when(F.col("_e") > 0, clip(1 - F.try_divide("_b", "_e"))).otherwise(0.0).alias("baseline_sqi"),
-        F.when(F.col("_n") > 0, F.when(F.col("_e") > 0, 10 * F.log10(F.try_divide("_e", "_n"))).otherwise(float("-inf"))).otherwise(60.0).alias("snr_db"),
+    sums = F.struct(
+        power(lambda f: f.between(1, 40)).alias("heart"), power(lambda f: F.lit(True)).alias("all"), power(lambda f: f < 1).alias("slow"), power(lambda f: f >= 100).alias("noise"),
+    )
+    scores = lambda s: F.struct(
+        F.when(s["all"] > 0, clip(F.try_divide(s["heart"], s["all"]) / 0.7)).otherwise(0.0).alias("power_ratio_sqi"),
+        F.when(s["heart"] > 0, clip(1 - F.try_divide(s["slow"], s["heart"]))).otherwise(0.0).alias("baseline_sqi"),
+        F.when(s["noise"] > 0, F.when(s["heart"] > 0, 10 * F.log10(F.try_divide(s["heart"], s["noise"]))).otherwise(float("-inf"))).otherwise(60.0).alias("snr_db"),
     )
+    return F.when(spectrum.isNotNull(), _let(sums, scores))
 
 
 def spectrum_db(psd: Column) -> Column:

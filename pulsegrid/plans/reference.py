@@ -313,8 +313,13 @@ def spectrum_db(spark: SparkSession, sf_dir: str) -> DataFrame:
     _LEADS + ", q AS (SELECT vec_id, kurtosis_pop(x) AS k, count(*) AS n FROM p GROUP BY vec_id) SELECT vec_id, round(CASE WHEN n < 4 OR k IS NULL THEN 0.0 WHEN k < 0 THEN 0.0 WHEN k < 3 THEN k / 3 WHEN k <= 20 THEN 1.0 ELSE greatest(0.0, 1 - (k - 20) / 30) END, 6) AS kurtosis_sqi FROM q"
 )
 def kurtosis_sqi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = leads64(spark, sf_dir).select("vec_id", F.explode("samples").alias("x")).groupBy("vec_id").agg(F.kurtosis("x").alias("k"), F.count("*").alias("n"))
-    return df.select("vec_id", F.round(sg.kurtosis_score(F.col("k"), F.col("n")), 6).alias("kurtosis_sqi"))
+    return leads64(spark, sf_dir).select("vec_id", F.round(sg.kurtosis_score(sg.kurtosis_of(F.col("samples")), F.size("samples")), 6).alias("kurtosis_sqi"))
+
+
+def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(vec_id, power_ratio_sqi, baseline_sqi, snr_db)"""
+    spectrum = leads64(spark, sf_dir).select("vec_id", arrow.power_spectrum(F.col("samples"), F.col("sampling_rate")).alias("s"))
+    return spectrum.select("vec_id", sg.band_scores(F.col("s")).alias("b")).select("vec_id", "b.*")
 
 
 _BANDS = _DFT + ", g AS (SELECT vec_id, coalesce(sum(psd) FILTER (freq BETWEEN 1 AND 40), 0) AS e, sum(psd) AS t, coalesce(sum(psd) FILTER (freq < 1), 0) AS b, coalesce(sum(psd) FILTER (freq >= 100), 0) AS n FROM s GROUP BY vec_id)"
@@ -322,17 +327,17 @@ _BANDS = _DFT + ", g AS (SELECT vec_id, coalesce(sum(psd) FILTER (freq BETWEEN 1
 
 @query(_BANDS + " SELECT vec_id, round(CASE WHEN t > 0 THEN greatest(0.0, least(1.0, e / t / 0.7)) ELSE 0.0 END, 6) + 0.0 AS power_ratio_sqi FROM g")
 def power_ratio_sqi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sg.band_scores(spectra(spark, sf_dir), "vec_id").select("vec_id", _r("power_ratio_sqi").alias("power_ratio_sqi"))
+    return scores(spark, sf_dir).select("vec_id", _r("power_ratio_sqi").alias("power_ratio_sqi"))
 
 
 @query(_BANDS + " SELECT vec_id, round(CASE WHEN e > 0 THEN greatest(0.0, least(1.0, 1 - b / e)) ELSE 0.0 END, 6) + 0.0 AS baseline_sqi FROM g")
 def baseline_sqi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sg.band_scores(spectra(spark, sf_dir), "vec_id").select("vec_id", _r("baseline_sqi").alias("baseline_sqi"))
+    return scores(spark, sf_dir).select("vec_id", _r("baseline_sqi").alias("baseline_sqi"))
 
 
 @query(_BANDS + " SELECT vec_id, round(CASE WHEN n <= 0 THEN 60.0 ELSE 10 * log10(e / n) END, 4) + 0.0 AS snr_db FROM g")
 def snr_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sg.band_scores(spectra(spark, sf_dir), "vec_id").select("vec_id", _r("snr_db", 4).alias("snr_db"))
+    return scores(spark, sf_dir).select("vec_id", _r("snr_db", 4).alias("snr_db"))
 
 
 # --- recursive filters: in SQL as recursions over time, their sections by closed formulas ------------------------------------
@@ -462,6 +467,35 @@ def peak_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("user_id", F.col("beat_no").cast("long").alias("beat_no"), *[F.round(c, 6).alias(c) for c in ("t", "v", "rr_ms", "hr")])
 
 
+_SAID = "list_transform({s}, lambda x: trim(concat_ws(' ', x.left_text, nullif(x.right_text, ''))))"
+_ONCE = "WITH r AS (SELECT DISTINCT ON (record_id) * FROM records ORDER BY record_id, ingested_at)"
+
+
+def _first_sent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each record as it was first sent."""
+    r = table(spark, sf_dir, "records")
+    return r.groupBy("record_id").agg(F.min_by(F.struct(*[c for c in r.columns if c != "record_id"]), "ingested_at").alias("r")).select("record_id", "r.*")
+
+
+@query(
+    _ONCE + " SELECT record_id, coalesce(nullif(concat_ws(chr(10), 'Name: ' || nullif(concat_ws(' ', nullif(trim(patient.first_name), ''), nullif(trim(patient.last_name), '')), ''), 'ID: ' || nullif(trim(patient.patient_id), ''), "
+    "nullif(concat_ws('  ', 'Age: ' || patient.age, 'Sex: ' || nullif(trim(patient.sex), '')), ''), 'Date: ' || nullif(trim(recording.date), ''), CASE WHEN recording.acquisition.signal.sampling_rate <> 0 THEN 'Sample rate: ' || recording.acquisition.signal.sampling_rate || ' Hz' END, "
+    "'Device: ' || nullif(concat_ws(' ', nullif(trim(recording.device.manufacturer), ''), nullif(trim(recording.device.model), '')), ''), nullif(concat_ws('  |  ', 'HR: ' || measurements.heart_rate || ' bpm', 'PR: ' || measurements.pr_interval || ' ms', "
+    "'QRS: ' || measurements.qrs_duration || ' ms', 'QT: ' || measurements.qt_interval || ' ms', 'QTc: ' || measurements.qtc_bazett || ' ms', 'Axis: ' || measurements.qrs_axis || '\u00b0'), ''), "
+    "'Interpretation: ' || CASE WHEN len(interpretation.statements) > 0 THEN array_to_string(" + _SAID.format(s="interpretation.statements[1:3]") + ", '; ') END), ''), 'ECG report') AS header FROM r"
+)
+def record_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plotdata.record_header(_first_sent(spark, sf_dir))
+
+
+@query(
+    _ONCE + ", s AS (SELECT record_id, nullif(trim(interpretation.severity), '') AS severity, nullif(trim(interpretation.source), '') AS source, coalesce(len(interpretation.statements), 0) AS n, " + _SAID.format(s="interpretation.statements") + " AS said FROM r) "
+    "SELECT record_id, concat_ws(chr(10), 'Severity: ' || severity, 'Source: ' || source, CASE WHEN n > 0 THEN array_to_string(list_transform(said, lambda x: '- ' || x), chr(10)) WHEN severity IS NULL THEN 'No interpretation available' END) AS text FROM s"
+)
+def interpretation_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plotdata.interpretation_text(_first_sent(spark, sf_dir))
+
+
 # --- decoders: the tables written as files of each format, detected and decoded again -------------------------------------------
 
 

@@ -51,14 +51,26 @@ DECODED = T.StructType([
 _LEAD_DEFAULTS = {"resolution": 1.0, "offset_value": 0.0, "adc_resolution": 0.0, "is_raw": False, "sampling_rate": 0}
 
 
-class CorruptFile(ValueError):
+class FileError(ValueError):
+    """A file that cannot be read."""
+
+
+class CorruptFile(FileError):
     """The bytes are no complete file of their format."""
 
 
-class Unsupported(ValueError):
+class Unsupported(FileError):
     """A variant of the format that is not read."""
 
 
+class MissingElement(CorruptFile):
+    """An element the format requires is not there."""
+
+
+class ChecksumMismatch(CorruptFile):
+    """The bytes do not have the checksum the file states."""
+
+
 def fill(schema: T.StructType, values: dict[str, Any] | None) -> dict[str, Any]:
     """All fields of a struct: what a decoder found, empty text and empty lists for what it did not, else null."""
     values = values or {}

@@ -12,7 +12,7 @@ from typing import Any
 import numpy as np
 
 from pulsegrid.sources import xmltree as X
-from pulsegrid.sources.schema import CorruptFile, Unsupported, lead, signal, with_duration
+from pulsegrid.sources.schema import CorruptFile, MissingElement, Unsupported, lead, signal, with_duration
 
 Record = dict[str, Any]
 
@@ -193,6 +193,7 @@ MORTARA_MEASURES = {
     "VENT_RATE": "heart_rate", "QRS_DURATION": "qrs_duration", "QT_INT": "qt_interval", "PR_INT": "pr_interval", "P_AXIS": "p_axis", "QRS_AXIS": "qrs_axis", "T_AXIS": "t_axis", "NUM_QRS": "qrs_count",
     "RR_INT": "rr_interval", "RR_INTERVAL": "rr_interval", "QTC_INT": "qtc_bazett", "QT_CORRECTED": "qtc_bazett", "QTC_INTERVAL": "qtc_bazett",
 }
+# Attributes of a cycle that describe its form.
 MORTARA_FORMAL = {"BITS", "FORMAT", "UNITS_PER_MV", "DURATION", "SAMPLE_FREQ", "ENCODING"}
 
 
@@ -447,6 +448,7 @@ def xli(data: bytes) -> list[np.ndarray]:
     return out
 
 
+# Document types and versions, severities by code, and tags of measurements.
 SIERRA_TYPES, SIERRA_VERSIONS = {"SierraECG", "PhilipsECG"}, {"1.03", "1.04", "1.04.01", "1.04.02"}
 SEVERITY = {"NM": "NORMAL", "ON": "OTHERWISE NORMAL", "BL": "BORDERLINE", "AB": "ABNORMAL"}
 SIERRA_MEASURES = {
@@ -506,7 +508,7 @@ def _as_dict(node: ET.Element) -> Any:
 def decode_sierra(data: bytes) -> Record:
     root = X.parse(data)
     if root.tag != "restingecgdata":
-        raise CorruptFile("no restingecgdata root")
+        raise MissingElement("no restingecgdata root")
     info = X.find(root, "documentinfo")
     kind, version = X.text(info, "documenttype"), X.text(info, "documentversion")
     if kind not in SIERRA_TYPES or version not in SIERRA_VERSIONS:
@@ -514,7 +516,7 @@ def decode_sierra(data: bytes) -> Record:
     acquired = X.find(root, "dataacquisition")
     details, wave = X.find(acquired, "signalcharacteristics"), X.find(root, "parsedwaveforms")
     if details is None or wave is None:
-        raise CorruptFile("no signalcharacteristics or parsedwaveforms")
+        raise MissingElement("no signalcharacteristics or parsedwaveforms")
     rate, step = whole(X.text(details, "samplingrate")) or 0, float(whole(X.text(details, "resolution")) or 1)
     labels, samples = _sierra_wave(details, wave)
     leads = [lead(x, name, rate, step, "uV") for name, x in zip(labels, undo_limb_prediction(samples), strict=False)]
@@ -566,7 +568,7 @@ def decode_sierra(data: bytes) -> Record:
         notes |= {f"statement_{X.text(s, 'statementcode')}_left": left, f"statement_{X.text(s, 'statementcode')}_right": right}
         if left or right:
             said.append({"left_text": left, "right_text": right})
-    notes |= {k: v for k, v in (("severity_code", X.attr(severity, "code")), ("severity_text", X.text(severity)), ("interpretation_date", X.attr(read, "date")), ("interpretation_time", X.attr(read, "time"))) if v}
+    notes |= {k: v for k, v in (("severity_code", X.attr(severity, "code")), ("severity_text", X.text(severity)), ("interpretation_date", X.attr(read, "date")), ("interpretation_time", X.attr(read, "time")), ("severity_id", X.attr(severity, "id")), ("criteria_version", X.attr(read, "criteriaversion")), ("criteria_version_date", X.attr(read, "criteriaversiondate"))) if v}
     confirming = X.find(root, "confirmingclinician")
     code = X.attr(severity, "code").strip().upper()
     interpretation = {
@@ -577,6 +579,13 @@ def decode_sierra(data: bytes) -> Record:
     if (count := whole(X.text(X.find(root, "crossleadmeasurements"), "numberofcomplexes"))) is not None:
         measured["qrs_count"] = count
     meta: Record = {}
+    details_of = {
+        "patient_details": take(person, {"pace_status": ("pacestatus",), "unique_patient_id": ("uniquepatientid",), "mrn": ("MRN",)}),
+        "acquirer_details": take(site, {"department_id": ("departmentid",), "institution_id": ("institutionid",), "facility_id": ("facilityid",), "bed": ("bed",), "encounter": ("encounter",)}),
+    }
+    meta |= {name: found for name, values in details_of.items() if (found := {k: v for k, v in values.items() if v})}
+    if X.attr(acquired, "statflag"):
+        meta["stat_flag"] = _flag(X.attr(acquired, "statflag"))
     per_lead = {X.attr(n, "leadname", "label"): {c.tag: X.text(c) for c in n if X.text(c)} for n in X.find_all(root, "leadmeasurement")}
     if per_lead:
         meta["lead_measurements"] = per_lead

@@ -172,8 +172,8 @@ def sierra(leads, packing="Uncompressed", version="1.03"):
     n = len(leads[0])
     return (
         f'<?xml version="1.0"?><restingecgdata status="confirmed"><documentinfo><documenttype>SierraECG</documenttype><documentversion>{version}</documentversion></documentinfo>'
-        f'<patient><generalpatientdata><patientid>S001</patientid><lastname>Doe</lastname><age><years>40</years></age><sex>F</sex><lb>150</lb></generalpatientdata></patient>'
-        f'<dataacquisition date="2023-12-01" time="10:30:00"><machine machineid="M1" detaildescription="Philips:123:1">PageWriter</machine><signalcharacteristics><samplingrate>500</samplingrate><resolution>5</resolution><numberchannelsallocated>{len(leads)}</numberchannelsallocated><acquisitiontype>STD-12</acquisitiontype></signalcharacteristics></dataacquisition>'
+        f'<patient><generalpatientdata><patientid>S001</patientid><MRN>M9</MRN><pacestatus>none</pacestatus><lastname>Doe</lastname><age><years>40</years></age><sex>F</sex><lb>150</lb></generalpatientdata></patient>'
+        f'<dataacquisition date="2023-12-01" time="10:30:00" statflag="true"><machine machineid="M1" detaildescription="Philips:123:1">PageWriter</machine><signalcharacteristics><samplingrate>500</samplingrate><resolution>5</resolution><numberchannelsallocated>{len(leads)}</numberchannelsallocated><acquisitiontype>STD-12</acquisitiontype></signalcharacteristics></dataacquisition>'
         f'<interpretations><interpretation date="2023-12-01" time="10:31:00"><severity code="AB">- ABNORMAL ECG -</severity><statement><statementcode>SR</statementcode><leftstatement>Sinus</leftstatement><rightstatement>rate 70</rightstatement></statement></interpretation></interpretations>'
         f'<waveforms><parsedwaveforms dataencoding="Base64" compression="{packing}" durationperchannel="{n * 2}" numberofleads="{len(leads)}">{base64.b64encode(data).decode()}</parsedwaveforms></waveforms></restingecgdata>'
     ).encode()

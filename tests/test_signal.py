@@ -1,3 +1,5 @@
+import datetime as dt
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -171,8 +173,29 @@ def test_leads_and_beats(spark):
     assert [len(x) for x in s.select(sg.fixed_segments(F.col("samples"), 8)).first()[0]] == [8, 8, 8]
     assert s.select(sg.intervals_of_peaks(F.col("peaks"), F.col("sampling_rate"))).collect()[0][0] == [400, 500, 700]
     assert plotdata.sheet_12(df).where("record_id = 'r'").count() == 13 and plotdata.peak_markers(s, "k").count() == 4
-    h = spark.createDataFrame([("r", ("D", "J", "F", 3), (None,))], "record_id string, patient struct<last_name string, first_name string, sex string, age int>, recording struct<date timestamp>")
-    assert plotdata.record_header(h).first().header == "D, J | F | 3 y"
+
+
+def test_report(spark):
+    fields = (
+        "record_id string, patient struct<patient_id string, last_name string, first_name string, sex string, age int>, recording struct<date timestamp_ntz, device struct<manufacturer string, model string>, acquisition struct<signal struct<sampling_rate int>>>, "
+        "measurements struct<heart_rate int, pr_interval int, qrs_duration int, qt_interval int, qtc_bazett int, qrs_axis int>, interpretation struct<severity string, source string, statements array<struct<left_text string, right_text string>>>"
+    )
+    full = ("r", ("P1", "Doe", "Jane", "F", 40), (dt.datetime(2024, 5, 1, 9, 5), ("Acme", ""), ((500,),)), (72, None, 88, None, None, -10), ("ABNORMAL", "", [("Sinus", "rate 70"), ("b", ""), ("c", ""), ("d", "")]))
+    records = spark.createDataFrame([full, ("e", (None,) * 5, (None, (None, None), ((None,),)), (None,) * 6, (None, None, []))], fields)
+    head = {r.record_id: r.header for r in plotdata.record_header(records).collect()}
+    assert head["r"] == "Name: Jane Doe\nID: P1\nAge: 40  Sex: F\nDate: 2024-05-01 09:05\nSample rate: 500 Hz\nDevice: Acme\nHR: 72 bpm  |  QRS: 88 ms  |  Axis: -10°\nInterpretation: Sinus rate 70; b; c" and head["e"] == "ECG report"
+    x = beats().tolist() * 2
+    leads = spark.createDataFrame([("r", 0, "rhythm", "I", x, 500), ("r", 1, "rhythm", "II", x, 500), ("r", 2, "median", "II", [1.0], 500), ("other", 0, "rhythm", "I", x, 500)], "record_id string, lead_no int, kind string, label string, samples array<double>, sampling_rate int")
+    rows = plotdata.report(records, leads).collect()
+    parts = {(r.record_id, r.part, r.row, r.col): r for r in rows}
+    assert len(rows) == len(parts) and {r.record_id for r in rows} == {"r", "e"} and sum(r.part == "grid" and r.record_id == "r" for r in rows) == 12
+    assert len(parts["r", "grid", 2, 0].samples) == min(len(x), 5000) and len(parts["r", "rhythm", 4, 0].samples) == len(x) and parts["r", "rhythm", 4, 0].colour == "#ff7f0e"
+    assert parts["r", "quality", 5, 0].text.split("\n")[1].startswith("   II: 0.") and parts["r", "interpretation", 5, 2].text.endswith("- c\n- d") and parts["e", "interpretation", 5, 2].text == "No interpretation available"
+    axes = spark.range(1).select(plotdata.paper_steps(F.lit(10.0), "x").alias("x"), plotdata.paper_steps(F.lit(4000.0), "y").alias("y"), plotdata.sample_axis(F.array(F.lit(5.0), F.lit(6.0))).alias("a"), plotdata.lead_colour(F.lit("?")).alias("c")).first()
+    assert tuple(axes.x) == (0.2, 0.04) and tuple(axes.y) == (500.0, 100.0) and axes.a == [1, 2] and axes.c == "#333333"
+    rr = spark.createDataFrame([("k", k, float(800.0 + 40 * np.sin(2 * np.pi * 0.1 * 0.8 * k))) for k in range(300)], "k string, beat_no int, rr_ms double")
+    power = {r.band: r.power for r in plotdata.hrv_bands(rr, "k").collect()}
+    assert power["lf"] > 20 * max(power["vlf"], power["hf"])
 
 
 def test_udfs(spark):

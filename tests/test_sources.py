@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pulsegrid.sources import binary as b
 from pulsegrid.sources import dicom, reader, xmltree
 from pulsegrid.sources import xmlformats as x
-from pulsegrid.sources.schema import CorruptFile, Unsupported, lead
+from pulsegrid.sources.schema import CorruptFile, MissingElement, Unsupported, lead
 
 
 def test_edf():
@@ -96,8 +96,11 @@ def test_sierra(packing):
     assert r["leads"][2]["samples"].tolist() == three.tolist() and r["leads"][5]["samples"].tolist() == (np.floor((two + three) / 2) - stored[5]).tolist()
     assert r["leads"][3]["samples"].tolist() == (-stored[3] - np.floor((one + two) / 2)).tolist() and r["leads"][11]["samples"].tolist() == stored[11].tolist()
     assert r["patient"]["weight"] == 68.0 and r["interpretation"]["severity"] == "ABNORMAL" and r["interpretation"]["source"] == "confirmed"
+    assert r["raw_metadata"]["patient_details"] == {"pace_status": "none", "mrn": "M9"} and r["raw_metadata"]["stat_flag"] is True
     with pytest.raises(Unsupported):
         x.decode_sierra(mk.sierra(stored, packing, "9.9"))
+    with pytest.raises(MissingElement):
+        x.decode_sierra(mk.sierra(stored, packing).replace(b"parsedwaveforms", b"otherwaveforms"))
 
 
 def test_dicom():
