@@ -12,10 +12,14 @@ from pulsegrid.llm import canonical, encoding, leakage, mixing, quality, variant
 from pulsegrid.operators import timestamps
 
 
-def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+def p3_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical.match_values(canonical.typed_values(table(spark, sf_dir, "records"), table(spark, sf_dir, "leads")), table(spark, sf_dir, "ref_terms"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p3_matches(spark, sf_dir).select("field_name", "raw_value", "code")
+
+
 def p4_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = table(spark, sf_dir, "records")
     return variants.variant_classes(records, timestamps.moments(records, table(spark, sf_dir, "sites")))
@@ -50,6 +54,6 @@ def p10_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p3_found, p4_found, p4_classes, p5_found, p8_found, p9_mix, p9_shares, p10_found, p10_stats)
+    f.__name__: f for f in (p3_found, p3_matches, p4_found, p4_classes, p5_found, p8_found, p9_mix, p9_shares, p10_found, p10_stats)
 }
 ORACLES: dict[str, str] = {}
