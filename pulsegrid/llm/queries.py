@@ -37,6 +37,10 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
+def p8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leaked_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
 def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
 
@@ -54,6 +58,6 @@ def p10_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p3_found, p3_matches, p4_found, p4_classes, p5_found, p8_found, p9_mix, p9_shares, p10_found, p10_stats)
+    f.__name__: f for f in (p3_found, p3_matches, p4_found, p4_classes, p5_found, p8_found, p8_passages, p9_mix, p9_shares, p10_found, p10_stats)
 }
 ORACLES: dict[str, str] = {}

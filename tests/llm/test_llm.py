@@ -253,6 +253,8 @@ def test_leakage(spark):
     got = {(r.doc_id, r.item_id) for r in out}
     assert got == {(d, i) for d in (1, 2, 3, 8, 9) for i in (7, 9)} and len(out) == len(got)
     assert leakage.leaked_items(df.drop("cells").where("doc_id = 1"), items).count() == 2
+    spans = {r.doc_id: docs[r.doc_id - 1][1][r.start_char : r.end_char] for r in leakage.leaked_passages(df, items).where("item_id = 7").collect()}
+    assert spans[1] == ITEM.upper().replace(" ", ",\n_ ").rstrip(".,") and spans[2] == " ".join(changed).rstrip(".,") and spans[9] == " ".join(words[20:45]).rstrip(".,") and spans[8].startswith(words[0]) and spans[8].endswith(words[-1].rstrip(".,"))
     assert leakage.leaked_items(df, items.limit(0)).count() == 0 and leakage.leaked_items(df.limit(0), items).count() == 0
 
 
@@ -269,8 +271,9 @@ def test_leakage_seeds_lose_no_passage():
             op = rng.randint(0, 2)
             piece[k : k + (op < 2)] = ["zz"] if op != 1 else []
         text = " ".join(["a"] * 30 + piece + ["b"] * 30)
-        assert leakage.held_items(leakage.document_words(text, []), automaton, parts) == {1}
-    assert leakage.held_items(leakage.document_words(" ".join(item[:15]), []), automaton, parts) == set()
+        held = leakage.held_passages(leakage.document_words(text, []), automaton, parts)
+        assert {i for i, _, _ in held} == {1} and all(a >= 30 and b < 30 + len(piece) for _, a, b in held)
+    assert leakage.held_passages(leakage.document_words(" ".join(item[:15]), []), automaton, parts) == []
 
 
 @pytest.mark.parametrize(("mean", "cap"), [(0.3, 1), (1.7, 4), (3.9, 4), (4.0, 4), (0.01, 6), (2.5, 3)])
@@ -339,7 +342,7 @@ def test_kinds_cover_every_character(text):
 def test_queries_are_registered():
     from pulsegrid.llm import queries
 
-    assert {"p3_found", "p3_matches", "p4_found", "p4_classes", "p5_found", "p8_found", "p9_mix", "p9_shares", "p10_found", "p10_stats"} == set(queries.QUERIES) and dt.date(2024, 1, 1)
+    assert {"p3_found", "p3_matches", "p4_found", "p4_classes", "p5_found", "p8_found", "p8_passages", "p9_mix", "p9_shares", "p10_found", "p10_stats"} == set(queries.QUERIES) and dt.date(2024, 1, 1)
 
 
 def test_block_kinds_do_not_depend_on_place_or_number_of_lines():
