@@ -1,12 +1,15 @@
 """Nested records into linked flat rows (problem 7).
 
-The text of a payload is indexed as whole arrays of bytes: a bitmap of quotes (without escaped ones) gives, by a running
-parity, what lies inside strings; bitmaps of brackets, colons and commas outside strings give, by a running sum of +1 and
--1, the nesting depth of every byte.  Spans of objects, members and elements are then read off the positions, so the
-Python-level work is one step per structural mark and not one per character.
+The text of a payload is indexed as whole arrays of bytes. A bitmap of quotes (without escaped ones) gives, by a running
+parity, what lies inside strings; bitmaps of brackets, colons and commas outside strings give, by a running sum of +1 and -1,
+the nesting depth of every mark. The rest follows from depths: brackets of one depth pair off in their order, so each object
+and array is a span; a token belongs to the span that was last opened one depth above it; and the tokens of a span must
+alternate as values and commas, or as keys, colons, values and commas, which is checked for all spans at once. Python looks
+only at the few members that become rows; what lies in other parts, such as samples, stays a span of bytes.
 
 Defined results: a null, empty, cut-off or otherwise malformed payload gives no rows; a payload whose top is no object
-gives none; repeated rows count once; null and empty parts give no children; extra columns are ignored.
+gives none; repeated rows count once; of a repeated key the last counts; null and empty parts give no children; extra columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -18,239 +21,267 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from pulsegrid.common import need
 
 CHILD_SCHEMA = "record_id string, child string, parent_key string, child_key string"
+CHILDREN = ("lead", "lead_annotation", "measurement", "annotation", "metadata")
 
-_QUOTE, _BACK = 0x22, 0x5C
-_OPEN, _CLOSE = (0x7B, 0x5B), (0x7D, 0x5D)
-_COLON, _COMMA = 0x3A, 0x2C
-_SCALAR = re.compile(r"true|false|null|-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?")
-_WHITE = b" \t\r\n"
+_QUOTE, _BACK, _COLON, _COMMA = 0x22, 0x5C, 0x3A, 0x2C
+_OPEN_OBJECT, _CLOSE_OBJECT, _OPEN_ARRAY, _CLOSE_ARRAY = 0x7B, 0x7D, 0x5B, 0x5D
+_WORD = 0x77  # stands for numbers, true, false and null
+_SCALAR = re.compile(rb"true|false|null|-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?")
+
+# what a byte may be outside of strings: 1 opens, 2 closes, 3 is a colon or comma, 4 is white space, 0 anything else
+_KIND = np.zeros(256, np.int8)
+_KIND[[_OPEN_OBJECT, _OPEN_ARRAY]] = 1
+_KIND[[_CLOSE_OBJECT, _CLOSE_ARRAY]] = 2
+_KIND[[_COLON, _COMMA]] = 3
+_KIND[[0x20, 0x09, 0x0A, 0x0D]] = 4
 
 
 class Unreadable(ValueError):
     """The text is no complete JSON value."""
 
 
-class Scalar:
-    """A leaf; ``text`` is its raw spelling."""
+def _inside_strings(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bitmap of quotes that open or close a string, bitmap of bytes inside strings with their opening quotes)."""
+    quote = b == _QUOTE
+    back = b == _BACK
+    if back.any():
+        # a quote is escaped if the run of backslashes before it is odd
+        at = np.arange(len(b))
+        last = np.maximum.accumulate(np.where(back, -1, at))  # last byte that is no backslash
+        run = np.zeros(len(b), np.int64)
+        run[1:] = at[:-1] - last[:-1]
+        quote &= run % 2 == 0
+    return quote, np.cumsum(quote, dtype=np.int64) % 2 == 1
+
+
+class Index:
+    """The tokens of a JSON text (brackets, strings, words, colons, commas) with their spans, depths and holders."""
+
+    def __init__(self, raw: bytes) -> None:
+        self.raw = raw
+        b = np.frombuffer(raw, np.uint8)
+        if not len(b):
+            raise Unreadable("empty")
+        quote, inside = _inside_strings(b)
+        if inside[-1]:
+            raise Unreadable("an open string")
+        kind = np.where(inside | quote, 5, _KIND[b])
+        bare = kind == 0
+        starts = bare.copy()
+        starts[1:] &= ~bare[:-1]
+        opening = quote & inside
+        token = (kind >= 1) & (kind <= 3) | opening | starts
+        self.at = np.flatnonzero(token)
+        step = (kind == 1).astype(np.int32) - (kind == 2)
+        after = np.cumsum(step)[self.at]
+        self.code = np.where(starts[self.at], _WORD, b[self.at])
+        kinds = kind[self.at]
+        # where each token ends: strings at their closing quotes, words at the last byte of their run
+        self.end = self.at + 1
+        ends = bare.copy()
+        ends[:-1] &= ~bare[1:]
+        self.end[self.code == _WORD] = np.flatnonzero(ends) + 1
+        self.end[self.code == _QUOTE] = np.flatnonzero(quote & ~inside) + 1
+        if after[-1] != 0 or after.min() < 0:
+            raise Unreadable("brackets do not close")
+        self._pair(kinds, after)
+        self._check()
+
+    def _pair(self, kinds: np.ndarray, after: np.ndarray) -> None:
+        """Spans of containers by depth, and the holder of every token: the container last opened above it, -1 at the top."""
+        opens, closes = kinds == 1, kinds == 2
+        level = np.where(opens, after - 1, np.where(closes, after, after))  # the depth a token stands at
+        brackets = np.flatnonzero(opens | closes)
+        inner = np.where(opens, after, after + 1)[brackets]
+        paired = brackets[np.argsort(inner, kind="stable")]
+        first, second = paired[::2], paired[1::2]
+        # a closing bracket has the code of its opening one plus two
+        if not (opens[first].all() and closes[second].all() and (self.code[second] == self.code[first] + 2).all()):
+            raise Unreadable("brackets do not match")
+        self.end[first] = self.end[second]
+        # what may hold: opening brackets, at the depth below them; sorted by depth, the last one before a token is its holder
+        self.kept = np.flatnonzero(~closes)
+        depth = np.concatenate([after[first], level[self.kept]])
+        place = np.concatenate([first, self.kept])
+        holds = np.concatenate([np.ones(len(first), bool), np.zeros(len(self.kept), bool)])
+        order = np.lexsort((~holds, place, depth))
+        last = np.maximum.accumulate(np.where(holds[order], np.arange(len(order)), -1))
+        found = np.where(last >= 0, place[order][last], -1)
+        holder = np.full(len(self.at), -1)
+        holder[place[order][~holds[order]]] = found[~holds[order]]
+        holder[level == 0] = -1
+        self.holder = holder
+
+    def _check(self) -> None:
+        """The order of tokens in all containers at once, the spelling of words and the escapes of strings."""
+        kept = self.kept
+        order = kept[np.argsort(self.holder[kept], kind="stable")]
+        holder, code = self.holder[order], self.code[order]
+        new = np.ones(len(order), bool)
+        new[1:] = holder[1:] != holder[:-1]
+        begin = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+        rank = np.arange(len(order)) - begin
+        last = np.append(new[1:], True)
+        value = (code != _COLON) & (code != _COMMA)
+        within = np.where(holder >= 0, self.code[holder], 0)
+        fits = np.select(
+            [within == _OPEN_OBJECT, within == _OPEN_ARRAY],
+            [
+                np.select([rank % 4 == 0, rank % 4 == 1, rank % 4 == 2], [code == _QUOTE, code == _COLON, value], code == _COMMA) & (~last | (rank % 4 == 2)),
+                np.where(rank % 2 == 0, value, code == _COMMA) & (~last | (rank % 2 == 0)),
+            ],
+            value & (rank == 0),
+        )
+        if not fits.all() or not (holder < 0).any():
+            raise Unreadable("a token out of place")
+        words = self.code == _WORD
+        for a, z in zip(self.at[words].tolist(), self.end[words].tolist(), strict=True):
+            if not _SCALAR.fullmatch(self.raw, a, z):
+                raise Unreadable(f"unexpected {self.raw[a:z][:20]!r}")
+        if b"\\" in self.raw:
+            for t in np.flatnonzero(self.code == _QUOTE).tolist():
+                if b"\\" in self.raw[self.at[t] : self.end[t]]:
+                    self.string(t)
+        # values, and for those of objects their keys
+        self.values = order[value & ~((within == _OPEN_OBJECT) & (rank % 4 == 0))]
+        self._holders = self.holder[self.values]
+
+    def string(self, t: int) -> str:
+        """The text of a string token."""
+        piece = self.raw[self.at[t] : self.end[t]]
+        if b"\\" not in piece:
+            return piece[1:-1].decode("utf-8", "surrogatepass")
+        try:
+            return json.loads(piece.decode("utf-8", "surrogatepass"), strict=False)
+        except ValueError as e:
+            raise Unreadable(str(e)) from e
 
-    __slots__ = ("text",)
+    def text(self, t: int) -> str:
+        """The span of a token as it stands."""
+        return self.raw[self.at[t] : self.end[t]].decode("utf-8", "surrogatepass")
 
-    def __init__(self, text: str) -> None:
-        self.text = text
+    def is_object(self, t: int | None) -> bool:
+        return t is not None and self.code[t] == _OPEN_OBJECT
 
-    @property
-    def null(self) -> bool:
-        return self.text == "null"
+    def is_array(self, t: int | None) -> bool:
+        return t is not None and self.code[t] == _OPEN_ARRAY
 
-    def string(self) -> str | None:
-        """The value where the leaf is a string."""
-        return json.loads(self.text, strict=False) if self.text[:1] == '"' else None
+    def is_null(self, t: int | None) -> bool:
+        return t is None or (self.code[t] == _WORD and self.raw[self.at[t]] == 0x6E)
 
+    def items(self, holder: int) -> list[int]:
+        """The values in a container, in order."""
+        a, z = np.searchsorted(self._holders, [holder, holder + 1])
+        return self.values[a:z].tolist()
 
-class Node:
-    """An object (``keys`` is a list) or an array (``keys`` is None)."""
+    def members(self, holder: int) -> dict[str, int]:
+        """The members of an object; its keys stand two tokens before their values."""
+        return {self.string(self._key(t)): t for t in self.items(holder)}
 
-    __slots__ = ("keys", "items")
+    def _key(self, t: int) -> int:
+        return t - 2  # key and colon are the two tokens before the first token of a value
 
-    def __init__(self, keys: list[str] | None) -> None:
-        self.keys, self.items = keys, []
+    def scalar(self, t: int) -> str | None:
+        """A leaf's value as text; null for null."""
+        return self.string(t) if self.code[t] == _QUOTE else None if self.is_null(t) else self.text(t)
 
 
-def structural_index(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the structural bytes outside strings, and the nesting depth after each.
+def _named(index: Index, t: int | None) -> Iterator[tuple[str, int | None]]:
+    """Names and values of an object, or of a list of objects with a name and a value."""
+    if index.is_object(t):
+        yield from index.members(t).items()
+    elif index.is_array(t):
+        for item in index.items(t):
+            if index.is_object(item):
+                pair = index.members(item)
+                name = pair.get("name")
+                if name is not None and index.code[name] == _QUOTE:
+                    yield index.string(name), pair.get("value")
 
-    The quotes that open or close a string are among them.
-    """
-    b = np.frombuffer(raw, np.uint8)
-    quote = b == _QUOTE
-    back = b == _BACK
-    if back.any():
-        # a quote is escaped if the run of backslashes before it is odd
-        at = np.arange(len(b))
-        last = np.maximum.accumulate(np.where(back, -1, at))  # last byte that is no backslash
-        run = np.zeros(len(b), np.int64)
-        run[1:] = at[:-1] - last[:-1]
-        quote &= run % 2 == 0
-    inside = np.cumsum(quote, dtype=np.int64) % 2 == 1  # an opening quote counts as inside, the closing one as outside
-    outer = ~inside & ~quote
-    up = outer & ((b == _OPEN[0]) | (b == _OPEN[1]))
-    down = outer & ((b == _CLOSE[0]) | (b == _CLOSE[1]))
-    depth = np.cumsum(up.astype(np.int32) - down.astype(np.int32))
-    marks = np.flatnonzero(up | down | quote | (outer & ((b == _COLON) | (b == _COMMA))))
-    if len(b) == 0 or inside[-1] or depth[-1] != 0 or depth.min() < 0:
-        raise Unreadable("brackets or quotes do not close")
-    return marks, depth[marks]
-
-
-def read_tree(text: str) -> Node | Scalar:
-    """The nested value in ``text``, by its structural index; :class:`Unreadable` where the text is malformed."""
-    raw = text.encode("utf-8", "surrogatepass")
-    marks, _ = structural_index(raw)
-    kinds = [raw[p] for p in marks]
-    at = marks.tolist()
-    n = len(at)
-    stack: list[tuple[Node, int]] = []  # a container and whether it opened with { or [
-    top: Node | Scalar | None = None
-    key: str | None = None
-    # what may come next: "value", "first" (value or the end), "key", "firstkey", "colon", "after"
-    state, i, done_to = "value", 0, 0
-
-    def put(value: Node | Scalar) -> None:
-        nonlocal top, key
-        if not stack:
-            if top is not None:
-                raise Unreadable("more than one value")
-            top = value
-            return
-        holder, _ = stack[-1]
-        if holder.keys is not None:
-            holder.keys.append(key if key is not None else "")
-            key = None
-        holder.items.append(value)
-
-    def bare(lo: int, hi: int) -> None:
-        """The text between two marks: nothing but white space, or one scalar where a value may stand."""
-        nonlocal state
-        piece = raw[lo:hi].strip(_WHITE)
-        if not piece:
-            return
-        word = piece.decode("utf-8", "replace")
-        if state not in ("value", "first") or not _SCALAR.fullmatch(word):
-            raise Unreadable(f"unexpected {word[:20]!r}")
-        put(Scalar(word))
-        state = "after"
-
-    while i < n:
-        p, k = at[i], kinds[i]
-        bare(done_to, p)
-        if k == _QUOTE:
-            if i + 1 >= n:
-                raise Unreadable("open string")
-            end = at[i + 1]
-            word = raw[p : end + 1].decode("utf-8", "replace")
-            if state in ("key", "firstkey"):
-                key, state = json.loads(word, strict=False), "colon"
-            elif state in ("value", "first"):
-                json.loads(word, strict=False)
-                put(Scalar(word))
-                state = "after"
-            else:
-                raise Unreadable("a string out of place")
-            i, done_to = i + 2, end + 1
-            continue
-        if k in _OPEN:
-            if state not in ("value", "first"):
-                raise Unreadable("a bracket out of place")
-            node = Node([] if k == _OPEN[0] else None)
-            put(node)
-            stack.append((node, k))
-            state = "firstkey" if k == _OPEN[0] else "first"
-        elif k in _CLOSE:
-            if not stack or (stack[-1][1] == _OPEN[0]) != (k == _CLOSE[0]) or state not in ("after", "first", "firstkey"):
-                raise Unreadable("brackets do not match")
-            stack.pop()
-            state = "after"
-        elif k == _COLON:
-            if state != "colon":
-                raise Unreadable("a colon out of place")
-            state = "value"
-        else:
-            if state != "after" or not stack:
-                raise Unreadable("a comma out of place")
-            state = "key" if stack[-1][1] == _OPEN[0] else "value"
-        i, done_to = i + 1, p + 1
-    bare(done_to, len(raw))
-    if top is None or stack or state != "after":
-        raise Unreadable("no complete value")
-    return top
-
-
-def _members(node: Node) -> Iterator[tuple[str, Node | Scalar]]:
-    """Members of an object; of a repeated key the last counts."""
-    return iter(dict(zip(node.keys or [], node.items, strict=False)).items())
-
-
-def _names(value: Node | Scalar | None, nulls: bool) -> Iterator[str]:
-    """Names of an object, or of a list of objects with a name and a value."""
-    if not isinstance(value, Node):
-        return
-    if value.keys is not None:
-        for name, v in _members(value):
-            if nulls or not (isinstance(v, Scalar) and v.null):
-                yield name
-        return
-    for item in value.items:
-        if isinstance(item, Node) and item.keys is not None:
-            pair = dict(_members(item))
-            name, v = pair.get("name"), pair.get("value")
-            if isinstance(name, Scalar) and name.string() is not None and (nulls or not (v is None or (isinstance(v, Scalar) and v.null))):
-                yield name.string()
-
-
-def _leaves(value: Node | Scalar) -> Iterator[list[str]]:
-    """Paths of all leaves, without recursion, so depth is unbounded."""
-    todo: list[tuple[Node | Scalar, tuple]] = [(value, ())]
+
+def _value(index: Index, t: int | None) -> str | None:
+    return None if t is None else index.text(t) if index.is_object(t) or index.is_array(t) else index.scalar(t)
+
+
+def _leaves(index: Index, top: int) -> Iterator[tuple[str, str, str | None]]:
+    """(path of the holder, path, value) of all leaves under a container, without recursion, so depth is unbounded."""
+    todo = [(top, "", True)]
     while todo:
-        v, path = todo.pop()
-        if isinstance(v, Scalar):
-            steps: list[str] = []
-            link: tuple = path
-            while link:
-                link, step = link
-                steps.append(step)
-            yield steps[::-1]
-        elif v.keys is not None:
-            todo += [(x, (path, k)) for k, x in _members(v)]
-        else:
-            todo += [(x, (path, str(k))) for k, x in enumerate(v.items)]
-
-
-def children(text: str | None) -> list[tuple[str, str, str]]:
-    """(child, parent_key, child_key) of one payload."""
+        holder, path, at_top = todo.pop()
+        steps = index.members(holder).items() if index.is_object(holder) else ((str(k), t) for k, t in enumerate(index.items(holder)))
+        for step, t in steps:
+            own = step if at_top else f"{path}/{step}"
+            if index.is_object(t) or index.is_array(t):
+                todo.append((t, own, False))
+            else:
+                yield path, own, index.scalar(t)
+
+
+def children(text: str | None) -> list[tuple[str, str, str, str | None]]:
+    """(child, parent_key, child_key, value) of one payload."""
     if not text:
         return []
     try:
-        tree = read_tree(text)
-    except (Unreadable, ValueError):
+        index = Index(text.encode("utf-8", "surrogatepass"))
+    except Unreadable:
         return []
-    if not isinstance(tree, Node) or tree.keys is None:
+    top = index.items(-1)[0]
+    if not index.is_object(top):
         return []
-    parts = dict(_members(tree))
-    out: list[tuple[str, str, str]] = []
+    parts = index.members(top)
+    out: list[tuple[str, str, str, str | None]] = []
     leads = parts.get("leads")
-    if isinstance(leads, Node):
-        rows = [leads] if leads.keys is not None else leads.items
-        for k, lead in enumerate(rows):
-            out.append(("lead", "", str(k)))
-            if isinstance(lead, Node) and lead.keys is not None:
-                out += [("lead_annotation", str(k), name) for name in _names(dict(_members(lead)).get("annotations"), True)]
-    out += [("measurement", "", name) for name in _names(parts.get("measurements"), False)]
-    out += [("annotation", "", name) for name in _names(parts.get("annotations"), True)]
+    rows = [leads] if index.is_object(leads) else index.items(leads) if index.is_array(leads) else []
+    for k, lead in enumerate(rows):
+        out.append(("lead", "", str(k), index.text(lead)))
+        if index.is_object(lead):
+            out += [("lead_annotation", str(k), name, _value(index, t)) for name, t in _named(index, index.members(lead).get("annotations"))]
+    out += [("measurement", "", name, _value(index, t)) for name, t in _named(index, parts.get("measurements")) if not index.is_null(t)]
+    out += [("annotation", "", name, _value(index, t)) for name, t in _named(index, parts.get("annotations"))]
     meta = parts.get("raw_metadata")
-    if isinstance(meta, Scalar) and meta.string():
+    if meta is not None and index.code[meta] == _QUOTE:
         try:
-            meta = read_tree(meta.string() or "")
-        except (Unreadable, ValueError):
+            index = Index(index.string(meta).encode("utf-8", "surrogatepass"))
+            meta = index.items(-1)[0]
+        except Unreadable:
             meta = None
-    if isinstance(meta, Node):
-        out += [("metadata", "/".join(path[:-1]), "/".join(path)) for path in _leaves(meta) if path]
-    return list(dict.fromkeys(out))
+    if index.is_object(meta) or index.is_array(meta):
+        out += [("metadata", *leaf) for leaf in _leaves(index, meta)]
+    return list({row[:3]: row for row in out}.values())
 
 
-def flatten_payloads(payloads: DataFrame) -> DataFrame:
-    """(record_id, child, parent_key, child_key): the children of all readable payloads, distinct.
+def flatten_payloads(payloads: DataFrame, values: bool = False) -> DataFrame:
+    """(record_id, child, parent_key, child_key): the children of all readable payloads, distinct; with ``values``, also ``value``.
 
-    One narrow pass over the payloads, whose texts are never shuffled; the distinct at the end takes out what re-sent
-    payloads repeat, after a partial one in each task.
+    A value is the text of a scalar, null for null, and JSON text of anything else, such as a lead. One narrow pass over the
+    payloads, whose texts are never shuffled; the distinct at the end takes out what re-sent payloads repeat, after a partial
+    one in each task.
     """
+    columns = ["record_id", "child", "parent_key", "child_key", *(["value"] if values else [])]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(r, *c) for r, p in zip(batch.record_id, batch.payload, strict=True) for c in children(p)]
-            yield pd.DataFrame(rows, columns=["record_id", "child", "parent_key", "child_key"])
+            rows = [(r, *c[: len(columns) - 1]) for r, p in zip(batch.record_id, batch.payload, strict=True) for c in children(p)]
+            yield pd.DataFrame(rows, columns=columns)
 
-    return need(payloads, "record_id", "payload").where("payload IS NOT NULL").mapInPandas(run, CHILD_SCHEMA).distinct()
+    schema = CHILD_SCHEMA + (", value string" if values else "")
+    return need(payloads, "record_id", "payload").where("payload IS NOT NULL").mapInPandas(run, schema).distinct()
+
+
+def related_tables(payloads: DataFrame) -> dict[str, DataFrame]:
+    """The children as one flat table each, with a key of its own and the key of its parent.
+
+    ``lead`` (record_id, lead_no, body: JSON text), ``lead_annotation`` (record_id, lead_no, name, value), ``measurement`` and
+    ``annotation`` (record_id, name, value), ``metadata`` (record_id, parent_path, path, value).
+    """
+    rows = flatten_payloads(payloads, True)
+    part = lambda child, **names: rows.where(F.col("child") == child).select("record_id", *[F.col(c).cast("int" if n == "lead_no" else "string").alias(n) for n, c in names.items()])
+    return {
+        "lead": part("lead", lead_no="child_key", body="value"), "lead_annotation": part("lead_annotation", lead_no="parent_key", name="child_key", value="value"),
+        "measurement": part("measurement", name="child_key", value="value"), "annotation": part("annotation", name="child_key", value="value"), "metadata": part("metadata", parent_path="parent_key", path="child_key", value="value"),
+    }

@@ -34,7 +34,11 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested.flatten_payloads(table(spark, sf_dir, "raw_payloads"))
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_readings": p1_readings, "p2_found": p2_found, "p6_found": p6_found, "p7_found": p7_found}
+def p7_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nested.flatten_payloads(table(spark, sf_dir, "raw_payloads"), True)
+
+
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_readings": p1_readings, "p2_found": p2_found, "p6_found": p6_found, "p7_found": p7_found, "p7_values": p7_values}
 
 
 def _units_sql() -> str:

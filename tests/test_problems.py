@@ -149,10 +149,19 @@ def test_nested(spark):
     assert nested.flatten_payloads(df.limit(0)).count() == 0
 
 
-def _plain(v):
-    if isinstance(v, nested.Scalar):
-        return json.loads(v.text, strict=False)
-    return [_plain(x) for x in v.items] if v.keys is None else dict(zip(v.keys, [_plain(x) for x in v.items], strict=True))
+def _plain(index, t=None):
+    t = index.items(-1)[0] if t is None else t
+    if index.is_object(t):
+        return {k: _plain(index, v) for k, v in index.members(t).items()}
+    return [_plain(index, v) for v in index.items(t)] if index.is_array(t) else json.loads(index.text(t), strict=False)
+
+
+def test_related_tables(spark):
+    df = spark.createDataFrame([(k, json.dumps(v)) for k, v in PAYLOADS.items()], "record_id string, payload string")
+    got = {n: {tuple(r) for r in t.collect()} for n, t in nested.related_tables(df).items()}
+    assert got["measurement"] == {("a", "hr", "60")} and got["annotation"] == {("a", "q", "1")} and got["lead_annotation"] == {("a", 0, "x", "1"), ("a", 0, "y", None), ("a", 2, "n", "")}
+    assert got["metadata"] == {("a", "a", "a/0", "1"), ("a", "a/1", "a/1/b", ""), ("a", "", "e", None), ("b", 'k"\\//é/0', 'k"\\//é/0/0', "true")}
+    assert {(r, n, json.dumps(json.loads(b))) for r, n, b in got["lead"]} == {("a", k, json.dumps(x)) for k, x in enumerate(PAYLOADS["a"]["leads"])} | {("b", 0, json.dumps(PAYLOADS["b"]["leads"]))}
 
 
 def test_structural_index_against_the_standard_parser():
@@ -168,16 +177,16 @@ def test_structural_index_against_the_standard_parser():
 
     for _ in range(300):
         text = json.dumps(make(0), ensure_ascii=bool(rng.integers(0, 2)), indent=[None, 1][rng.integers(0, 2)])
-        assert _plain(nested.read_tree(text)) == json.loads(text)
+        assert _plain(nested.Index(text.encode())) == json.loads(text)
         cut = text[: rng.integers(0, len(text) + 1)]
         for t in (cut, text + "]", text.replace(",", ";", 1), text.replace('"', "", 1)):
             try:
                 expected = json.loads(t)
             except ValueError:
                 with pytest.raises(ValueError):  # noqa: PT011
-                    nested.read_tree(t)
+                    nested.Index(t.encode())
             else:
-                assert _plain(nested.read_tree(t)) == expected
+                assert _plain(nested.Index(t.encode())) == expected
     deep = "[" * 20_000 + "]" * 20_000
     assert nested.children('{"raw_metadata":' + deep + "}") == []
 
