@@ -14,6 +14,7 @@ are ignored.
 
 from __future__ import annotations
 
+import bisect
 import json
 import re
 from collections.abc import Iterator
@@ -140,55 +141,55 @@ class Index:
         if not fits.all() or not (holder < 0).any():
             raise Unreadable("a token out of place")
         words = self.code == _WORD
-        for a, z in zip(self.at[words].tolist(), self.end[words].tolist(), strict=True):
-            if not _SCALAR.fullmatch(self.raw, a, z):
-                raise Unreadable(f"unexpected {self.raw[a:z][:20]!r}")
+        for word in {self.raw[a:z] for a, z in zip(self.at[words].tolist(), self.end[words].tolist(), strict=True)}:
+            if not _SCALAR.fullmatch(word):
+                raise Unreadable(f"unexpected {word[:20]!r}")
+        values = order[value & ~((within == _OPEN_OBJECT) & (rank % 4 == 0))]
+        # single tokens are looked up from here on
+        self._at, self._end, self._code = self.at.tolist(), self.end.tolist(), self.code.tolist()
+        self._values, self._holders = values.tolist(), self.holder[values].tolist()
         if b"\\" in self.raw:
             for t in np.flatnonzero(self.code == _QUOTE).tolist():
-                if b"\\" in self.raw[self.at[t] : self.end[t]]:
-                    self.string(t)
-        # values, and for those of objects their keys
-        self.values = order[value & ~((within == _OPEN_OBJECT) & (rank % 4 == 0))]
-        self._holders = self.holder[self.values]
+                self.string(t)
 
     def string(self, t: int) -> str:
         """The text of a string token."""
-        piece = self.raw[self.at[t] : self.end[t]]
+        piece = self.raw[self._at[t] + 1 : self._end[t] - 1]
         if b"\\" not in piece:
-            return piece[1:-1].decode("utf-8", "surrogatepass")
+            return piece.decode("utf-8", "surrogatepass")
         try:
-            return json.loads(piece.decode("utf-8", "surrogatepass"), strict=False)
+            return json.loads(f'"{piece.decode("utf-8", "surrogatepass")}"', strict=False)
         except ValueError as e:
             raise Unreadable(str(e)) from e
 
     def text(self, t: int) -> str:
         """The span of a token as it stands."""
-        return self.raw[self.at[t] : self.end[t]].decode("utf-8", "surrogatepass")
+        return self.raw[self._at[t] : self._end[t]].decode("utf-8", "surrogatepass")
 
     def is_object(self, t: int | None) -> bool:
-        return t is not None and self.code[t] == _OPEN_OBJECT
+        return t is not None and self._code[t] == _OPEN_OBJECT
 
     def is_array(self, t: int | None) -> bool:
-        return t is not None and self.code[t] == _OPEN_ARRAY
+        return t is not None and self._code[t] == _OPEN_ARRAY
+
+    def is_string(self, t: int | None) -> bool:
+        return t is not None and self._code[t] == _QUOTE
 
     def is_null(self, t: int | None) -> bool:
-        return t is None or (self.code[t] == _WORD and self.raw[self.at[t]] == 0x6E)
+        return t is None or (self._code[t] == _WORD and self.raw[self._at[t]] == 0x6E)
 
     def items(self, holder: int) -> list[int]:
         """The values in a container, in order."""
-        a, z = np.searchsorted(self._holders, [holder, holder + 1])
-        return self.values[a:z].tolist()
+        a = bisect.bisect_left(self._holders, holder)
+        return self._values[a : bisect.bisect_right(self._holders, holder, a)]
 
     def members(self, holder: int) -> dict[str, int]:
-        """The members of an object; its keys stand two tokens before their values."""
-        return {self.string(self._key(t)): t for t in self.items(holder)}
-
-    def _key(self, t: int) -> int:
-        return t - 2  # key and colon are the two tokens before the first token of a value
+        """The members of an object; key and colon are the two tokens before the first of a value."""
+        return {self.string(t - 2): t for t in self.items(holder)}
 
     def scalar(self, t: int) -> str | None:
         """A leaf's value as text; null for null."""
-        return self.string(t) if self.code[t] == _QUOTE else None if self.is_null(t) else self.text(t)
+        return self.string(t) if self._code[t] == _QUOTE else None if self.is_null(t) else self.text(t)
 
 
 def _named(index: Index, t: int | None) -> Iterator[tuple[str, int | None]]:
@@ -200,15 +201,15 @@ def _named(index: Index, t: int | None) -> Iterator[tuple[str, int | None]]:
             if index.is_object(item):
                 pair = index.members(item)
                 name = pair.get("name")
-                if name is not None and index.code[name] == _QUOTE:
+                if index.is_string(name):
                     yield index.string(name), pair.get("value")
 
 
-def _value(index: Index, t: int | None) -> str | None:
-    return None if t is None else index.text(t) if index.is_object(t) or index.is_array(t) else index.scalar(t)
+def _value(index: Index, t: int | None, wanted: bool) -> str | None:
+    return None if t is None or not wanted else index.text(t) if index.is_object(t) or index.is_array(t) else index.scalar(t)
 
 
-def _leaves(index: Index, top: int) -> Iterator[tuple[str, str, str | None]]:
+def _leaves(index: Index, top: int, values: bool) -> Iterator[tuple[str, str, str | None]]:
     """(path of the holder, path, value) of all leaves under a container, without recursion, so depth is unbounded."""
     todo = [(top, "", True)]
     while todo:
@@ -219,11 +220,11 @@ def _leaves(index: Index, top: int) -> Iterator[tuple[str, str, str | None]]:
             if index.is_object(t) or index.is_array(t):
                 todo.append((t, own, False))
             else:
-                yield path, own, index.scalar(t)
+                yield path, own, index.scalar(t) if values else None
 
 
-def children(text: str | None) -> list[tuple[str, str, str, str | None]]:
-    """(child, parent_key, child_key, value) of one payload."""
+def children(text: str | None, values: bool = True) -> list[tuple[str, str, str, str | None]]:
+    """(child, parent_key, child_key, value) of one payload; all values are null where they are not wanted."""
     if not text:
         return []
     try:
@@ -238,20 +239,20 @@ def children(text: str | None) -> list[tuple[str, str, str, str | None]]:
     leads = parts.get("leads")
     rows = [leads] if index.is_object(leads) else index.items(leads) if index.is_array(leads) else []
     for k, lead in enumerate(rows):
-        out.append(("lead", "", str(k), index.text(lead)))
+        out.append(("lead", "", str(k), _value(index, lead, values)))
         if index.is_object(lead):
-            out += [("lead_annotation", str(k), name, _value(index, t)) for name, t in _named(index, index.members(lead).get("annotations"))]
-    out += [("measurement", "", name, _value(index, t)) for name, t in _named(index, parts.get("measurements")) if not index.is_null(t)]
-    out += [("annotation", "", name, _value(index, t)) for name, t in _named(index, parts.get("annotations"))]
+            out += [("lead_annotation", str(k), name, _value(index, t, values)) for name, t in _named(index, index.members(lead).get("annotations"))]
+    out += [("measurement", "", name, _value(index, t, values)) for name, t in _named(index, parts.get("measurements")) if not index.is_null(t)]
+    out += [("annotation", "", name, _value(index, t, values)) for name, t in _named(index, parts.get("annotations"))]
     meta = parts.get("raw_metadata")
-    if meta is not None and index.code[meta] == _QUOTE:
+    if index.is_string(meta):
         try:
             index = Index(index.string(meta).encode("utf-8", "surrogatepass"))
             meta = index.items(-1)[0]
         except Unreadable:
             meta = None
     if index.is_object(meta) or index.is_array(meta):
-        out += [("metadata", *leaf) for leaf in _leaves(index, meta)]
+        out += [("metadata", *leaf) for leaf in _leaves(index, meta, values)]
     return list({row[:3]: row for row in out}.values())
 
 
@@ -266,7 +267,7 @@ def flatten_payloads(payloads: DataFrame, values: bool = False) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(r, *c[: len(columns) - 1]) for r, p in zip(batch.record_id, batch.payload, strict=True) for c in children(p)]
+            rows = [(r, *c[: len(columns) - 1]) for r, p in zip(batch.record_id, batch.payload, strict=True) for c in children(p, values)]
             yield pd.DataFrame(rows, columns=columns)
 
     schema = CHILD_SCHEMA + (", value string" if values else "")
