@@ -3,14 +3,18 @@
 The sources of a quantity are the notations it arrives in: a unit word (``lb``, ``kilos``, ``mVolt``), a bare number under
 a site's measure system, a count of steps per unit. Two notations are linked wherever one entity has values in both: one
 patient's weights and heights, one device's lead amplitudes. From the links of a pair of notations comes a robust scale
-(the median of log ratios over entities) and its offset is tested to be nil (all these quantities are ratios); the scale is
-snapped to the nearest known conversion and carried from an anchor notation through the graph of links, best-supported
+(the median of log ratios over entities) and a robust offset (the median of what that scale leaves over); a scale whose
+offset is not small beside the values themselves is not that of two units of one ratio scale, and its link is not used. The
+scale is snapped to the nearest known conversion and carried from an anchor notation through the graph of links, best-supported
 link first. A notation the graph does not reach, or whose scale fits no known conversion, falls back on the meaning its own text
 declares; one that has neither is left out and reported.
 
 Per entity and notation one value (the median) goes into the links, so a hot patient or device never yields all pairs of
 its rows. The scales are as many as there are notations.
 
+A bare number takes the unit that a note in its row names for it (``weight in pounds``), and only without one that of the
+site's measure system.
+
 Defined results: nulls, words and blank values give no amount; a lead whose unit appears nowhere in its row gives none;
 repeated rows count once.
 """
@@ -18,6 +22,7 @@ repeated rows count once.
 from __future__ import annotations
 
 import math
+import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -53,6 +58,8 @@ KNOWN = {
 ANCHOR = {"weight": "kg", "height": "cm", "sample_step": "mv"}
 #: How far a measured scale may lie from a known one, as a factor.
 TOLERANCE = {"weight": 1.12, "height": 1.08, "sample_step": 4.0}
+#: How large a link's offset may be, as a share of the usual value.
+OFFSET_SHARE = 0.25
 #: Entities that must link two notations before their scale is trusted.
 MIN_LINKS = 5
 #: Notations up to which the scales are broadcast.
@@ -77,15 +84,37 @@ def split_quantity(text: Column, system: Column) -> tuple[Column, Column]:
     return value, F.when(value.isNotNull(), F.when(word == "", F.concat(F.lit("bare:"), system)).otherwise(word))
 
 
+#: Unit words that a note may hold, and how the last of them stands in one of its parts.
+NOTED = {q: sorted(w for w in DECLARED[q] if re.fullmatch(r"[^\W\d_]{2,}", w) and w != "in") for q in ("weight", "height")}
+NOTED_PATTERN = r"^(?:.*[^\p{L}])?(" + "|".join(sorted({w for ws in NOTED.values() for w in ws}, key=lambda w: (-len(w), w))) + r")(?:[^\p{L}].*)?$"
+
+NOTED_INCHES = r"[^\p{L}]in\s*$"
+
+
+def noted_unit(annotations: Column, quantity: Column) -> Column:
+    """The unit word that the notes of a row name for a quantity, or null: of each part of a note the last unit word counts.
+
+    ``in`` is a unit only at the end of a part.
+    """
+    parts = F.split(F.lower(F.array_join(F.map_values(annotations), " ; ")), "[;|]")
+    words = F.transform(parts, lambda x: F.regexp_extract(F.regexp_replace(x, NOTED_INCHES, " inches"), NOTED_PATTERN, 1))
+    own = F.when(quantity == "weight", F.array(*map(F.lit, NOTED["weight"]))).otherwise(F.array(*map(F.lit, NOTED["height"])))
+    return F.get(F.filter(words, lambda w: F.array_contains(own, w)), F.lit(0))
+
+
 def body_values(records: DataFrame, sites: DataFrame) -> DataFrame:
     """record_id, entity (patient), quantity, notation and number x of each weight and height."""
-    r = need(records, "record_id", "site_id", "patient").select(
-        "record_id", "site_id", F.col("patient.patient_id").alias("entity"),
+    notes = ["annotations"] if "annotations" in records.columns else []
+    r = need(records, "record_id", "site_id", "patient", *notes).select(
+        "record_id", "site_id", *notes, F.col("patient.patient_id").alias("entity"),
         F.inline(F.array(*[F.struct(F.lit(q).alias("quantity"), F.col(f"patient.{q}").alias("text")) for q in ("weight", "height")])),
     ).where(~blank(F.col("text")))
     s = local_if_small(need(sites, "site_id", "measure_system").dropDuplicates(["site_id"]), 100_000)
     df = r.join(s, "site_id", "left")
     x, notation = split_quantity(F.col("text"), F.col("measure_system"))
+    noted = noted_unit(F.col("annotations"), F.col("quantity")) if notes else F.lit(None).cast("string")
+    bare = F.col("text").rlike(r"^[\u00a0\s]*\d+(?:[.,]\d+)?[\u00a0\s]*$")
+    notation = F.when(bare, F.coalesce(noted, notation)).otherwise(notation)
     return settle(df.select("record_id", "entity", "quantity", x.alias("x"), notation.alias("notation"))).where("notation IS NOT NULL AND x > 0")
 
 
@@ -146,23 +175,32 @@ def representatives(values: DataFrame) -> DataFrame:
 
 
 def pairwise_links(rep: DataFrame) -> DataFrame:
-    """(quantity, a, b, links, log_ratio): the robust scale between two notations, over the entities with both.
+    """(quantity, a, b, links, log_ratio, offset): the robust scale and offset between two notations, over the entities with both.
 
-    Medians are taken twice: within entity and notation, and over entities. Notations of an entity are few (they are a
-    vocabulary), so its pairs are few whatever the number of its rows.
+    Medians are taken twice: within entity and notation, and over entities. The offset is the median of x_a less what the
+    line of slope exp(log_ratio) through the middle of the values makes of x_b, as a share of the usual x_a: nil for two units
+    of one ratio scale, and not for such as degrees of different zero. Its slope is that between the entities' lower and upper
+    quartiles. Notations of an entity are few (they are a vocabulary), so its pairs are few whatever the number of its rows.
     """
     per = rep.where("entity IS NOT NULL").groupBy("quantity", "entity").agg(F.array_sort(F.collect_list(F.struct("notation", "v"))).alias("all")).where(F.size("all") > 1)
     pairs = per.select("quantity", F.explode("all").alias("p"), "all").select("quantity", "p", F.explode("all").alias("q")).where("p.notation < q.notation")
-    return pairs.groupBy("quantity", F.col("p.notation").alias("a"), F.col("q.notation").alias("b")).agg(
-        F.count("*").alias("links"), F.percentile_approx(F.col("p.v") - F.col("q.v"), 0.5, 1000).alias("log_ratio")
+    quart = lambda c: F.percentile_approx(F.exp(c), [0.25, 0.5, 0.75], 1000)
+    links = pairs.groupBy("quantity", F.col("p.notation").alias("a"), F.col("q.notation").alias("b")).agg(
+        F.count("*").alias("links"), F.percentile_approx(F.col("p.v") - F.col("q.v"), 0.5, 1000).alias("log_ratio"), quart(F.col("p.v")).alias("_a"), quart(F.col("q.v")).alias("_b")
     )
+    # a line through the quartiles cuts the axis at the offset; where the values hardly differ there is none to be seen
+    spread_b, spread_a = F.col("_b")[2] - F.col("_b")[0], F.col("_a")[2] - F.col("_a")[0]
+    cut_at = (F.col("_a")[1] - F.try_divide(spread_a, spread_b) * F.col("_b")[1]) / F.col("_a")[1]
+    return links.select("quantity", "a", "b", "links", "log_ratio", F.when((spread_b > 0.2 * F.col("_b")[1]) & (spread_a > 0.2 * F.col("_a")[1]), cut_at).otherwise(0.0).alias("offset"))
 
 
 def propagate(links: pd.DataFrame, quantity: str) -> dict[str, float]:
     """Scales of the notations of one quantity, from its anchor along the best-supported links, each snapped."""
     known = KNOWN[quantity]
     scale = {ANCHOR[quantity]: DECLARED[quantity][ANCHOR[quantity]]}
-    edges = sorted(((int(n), a, b, float(x)) for a, b, n, x in links[["a", "b", "links", "log_ratio"]].itertuples(index=False) if n >= MIN_LINKS and x == x), reverse=True)
+    rows = links[["a", "b", "links", "log_ratio", "offset"]].itertuples(index=False)
+    # a scale of few links may look set off by chance: the bound is wider by what quartiles of so few values vary
+    edges = sorted(((int(n), a, b, float(x)) for a, b, n, x, o in rows if n >= MIN_LINKS and x == x and not abs(o) > OFFSET_SHARE + 3 / math.sqrt(n)), reverse=True)
     grown = True
     while grown:
         grown = False

@@ -53,19 +53,20 @@ def _units_sql() -> str:
     clean = lambda c: f"regexp_replace(regexp_replace(regexp_replace(lower({c}), '[\\s\\-_.]+', '', 'g'), '[µμ]', 'u', 'g'), '(/|per)({count})$', '')"
     word = lambda c: f"CASE WHEN regexp_full_match({c}, '\\p{{L}}{{1,12}}') AND {c} NOT IN ('na', 'arb', 'none', 'null', 'unknown', 'au') THEN {c} END"
     pair = lambda x, w: f"WHEN {w} IS NOT NULL AND {x} IS NOT NULL THEN {{'x': {x}, 'w': {w}}} "
+    noted, inches, words_in = quote(units.NOTED_PATTERN), quote(units.NOTED_INCHES), lambda q: ", ".join(map(quote, units.NOTED[q]))
     return f"""
 WITH declared(quantity, notation, scale) AS (VALUES {declared}),
 typed AS (
-  SELECT record_id, site_id, 'weight' AS quantity, patient.weight AS t FROM records UNION ALL SELECT record_id, site_id, 'height', patient.height FROM records
+  SELECT record_id, site_id, annotations, 'weight' AS quantity, patient.weight AS t FROM records UNION ALL SELECT record_id, site_id, annotations, 'height', patient.height FROM records
 ),
-said AS (SELECT record_id, quantity, measure_system, lower(trim(regexp_replace(t, '\\s+', ' ', 'g'))) AS s FROM typed LEFT JOIN sites USING (site_id)),
+said AS (SELECT record_id, quantity, measure_system, list_filter(list_transform(string_split_regex(lower(array_to_string(map_values(annotations), ' ; ')), '[;|]'), lambda x: regexp_extract(regexp_replace(x, {inches}, ' inches'), {noted}, 1)), lambda w: CASE quantity WHEN 'weight' THEN w IN ({words_in("weight")}) ELSE w IN ({words_in("height")}) END)[1] AS noted, lower(trim(regexp_replace(t, '\\s+', ' ', 'g'))) AS s FROM typed LEFT JOIN sites USING (site_id)),
 parts AS (
-  SELECT record_id, quantity, measure_system, CASE WHEN regexp_matches(s, {double})
+  SELECT record_id, quantity, measure_system, noted, CASE WHEN regexp_matches(s, {double})
     THEN {number(f"regexp_extract(s, {double}, 1)")} + {number(f"regexp_extract(s, {double}, 3)")} / CASE WHEN starts_with(regexp_extract(s, {double}, 2), 'st') THEN 14 ELSE 12 END
     ELSE {number(f"regexp_extract(s, {single}, 1)")} END AS x,
     CASE WHEN regexp_matches(s, {double}) THEN regexp_extract(s, {double}, 2) ELSE rtrim(regexp_extract(s, {single}, 2), '.') END AS w FROM said
 ),
-body AS (SELECT record_id, -1 AS lead_no, quantity, x, CASE WHEN w = '' THEN 'bare:' || measure_system ELSE w END AS notation FROM parts WHERE x > 0),
+body AS (SELECT record_id, -1 AS lead_no, quantity, x, CASE WHEN w = '' THEN coalesce(noted, 'bare:' || measure_system) ELSE w END AS notation FROM parts WHERE x > 0),
 l0 AS (
   SELECT record_id, lead_no, coalesce(is_raw, trim(coalesce(units, '')) = '') AS raw, CASE WHEN resolution > 0 THEN resolution END AS r, CASE WHEN adc_resolution > 0 THEN adc_resolution END AS a,
     {clean("resolution_unit")} AS res, {clean("units")} AS u, {clean("adc_resolution_unit")} AS adc,

@@ -123,6 +123,15 @@ def test_units(spark, sites):
     assert empty.count() == 0 and empty.columns == ["record_id", "lead_no", "quantity", "amount"]
 
 
+def test_units_named_in_notes(spark, sites):
+    notes = [("weight in pounds", 45359, 800), ("Scale set to LBS; ht unit: in", 45359, 2032), ("kg scale", 100000, 800), ("height in inches", 100000, 2032), ("seen in clinic", 100000, 800), (None, 100000, 800)]
+    rows = [(f"r{k}", "B", ("p", "100", "80"), {"remark": n} if n else None) for k, (n, _, _) in enumerate(notes)] + [("x", "B", ("p", "100 g", "80 mm"), {"remark": "weight in pounds"})]
+    df = spark.createDataFrame(rows, "record_id string, site_id string, patient struct<patient_id string, weight string, height string>, annotations map<string,string>")
+    got = {(r.record_id, r.quantity): r.amount for r in units.common_units(df, spark.createDataFrame([], LEADS), sites).collect()}
+    assert [(got[f"r{k}", "weight"], got[f"r{k}", "height"]) for k in range(6)] == [n[1:] for n in notes]
+    assert (got["x", "weight"], got["x", "height"]) == (100, 80)
+
+
 def test_units_learn_an_unknown_word(spark):
     # every entity has a weight in kg and one in a word nobody declared, which must turn out to be pounds
     rows = [("weight", f"e{i}", w, x) for i in range(30) for w, x in (("kg", 50.0 + i), ("bushes", (50.0 + i) / 0.45359237 * (1 + 0.01 * (i % 3 - 1))))]
@@ -130,6 +139,16 @@ def test_units_learn_an_unknown_word(spark):
     assert got == {"kg": 1000.0, "bushes": 453.59237}
 
 
+def test_units_refuse_a_scale_with_an_offset(spark):
+    # a word that runs with kilograms but from another zero is no unit of weight, however many entities link it
+    rows = [("weight", f"e{i}", w, x) for i in range(400) for w, x in (("kg", 40.0 + i / 4), ("grades", (40.0 + i / 4) * 0.9 + 130), ("stones", (40.0 + i / 4) / 6.35029318))]
+    df = spark.createDataFrame(rows, "quantity string, entity string, notation string, x double")
+    links = {(r.a, r.b): r.offset for r in units.pairwise_links(units.representatives(df)).collect()}
+    assert abs(links["kg", "stones"]) < 0.05 and abs(links["grades", "kg"]) > 0.5
+    got = {r.notation: r.scale for r in units.notation_scales(df).collect()}
+    assert got["kg"] == 1000.0 and got["stones"] == 6350.29318 and got["grades"] is None
+
+
 PAYLOADS = {
     "a": ({"leads": [{"annotations": {"x": "1", "y": None}}, 5, {"annotations": [{"name": "n", "value": ""}, {"value": 1}]}], "measurements": {"hr": 60, "pr": None}, "annotations": [{"name": "q", "value": "1"}], "raw_metadata": {"a": [1, {"b": ""}], "c": {}, "d": [], "e": None}}),
     "b": ({"leads": {"annotations": None}, "raw_metadata": json.dumps({"k\"\\/": {"é": [[True]]}})}),
