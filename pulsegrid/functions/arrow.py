@@ -19,8 +19,8 @@ METHODS = {"pan_tompkins": k.peaks_pan_tompkins, "shannon_energy": k.peaks_shann
 def by_shape(samples: pd.Series, fs: pd.Series, kernel: Callable[[np.ndarray, int], object], errors: list | None = None) -> list:
     """The kernel's result for each row; null, empty and rateless rows give None. ``kernel`` gives one result a row.
 
-    Rows the kernel cannot take (too short for a filter, a cut-off beyond half their rate) give None as well, so one bad lead
-    fails no job; what it said goes to the same place of ``errors``.
+    Rows the kernel cannot take (too short for a filter, a cut-off beyond half their rate, a sample that is no finite number)
+    give None as well, so one bad lead fails no job; what it said goes to the same place of ``errors``.
     """
     out: list = [None] * len(samples)
     groups: dict[tuple[int, int], list[int]] = {}
@@ -31,6 +31,13 @@ def by_shape(samples: pd.Series, fs: pd.Series, kernel: Callable[[np.ndarray, in
             errors[i] = "no samples or no sampling rate"
     for (_, f), rows in groups.items():
         m = np.array([np.asarray(samples.iloc[i], float) for i in rows])
+        finite = np.isfinite(m).all(1)
+        if not finite.all():
+            for i in np.array(rows)[~finite].tolist() if errors is not None else ():
+                errors[i] = "a sample is no finite number"
+            rows, m = np.array(rows)[finite].tolist(), m[finite]
+            if not rows:
+                continue
         try:
             results = kernel(m, f)
         except ValueError as e:

@@ -376,10 +376,8 @@ def resample_360(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def strips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rhythm leads with a usable rate."""
-    leads = table(spark, sf_dir, "leads").where("sampling_rate BETWEEN 50 AND 2000 AND kind = 'rhythm' AND samples IS NOT NULL")
-    finite = F.transform("samples", lambda x: F.when(F.isnan(x) | x.isNull() | (F.abs(x) == float("inf")), 0.0).otherwise(x))
-    return leads.select("record_id", F.col("lead_no").cast("long").alias("lead_no"), finite.alias("samples"), "sampling_rate")
+    """All leads as they are; those a kernel cannot take give nulls."""
+    return table(spark, sf_dir, "leads").select("record_id", F.col("lead_no").cast("long").alias("lead_no"), "samples", "sampling_rate").distinct()
 
 
 def _peaks(name: str, method: str) -> None:

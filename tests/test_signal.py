@@ -229,9 +229,10 @@ def test_leads_from_arrays(spark):
 
 
 def test_bad_leads_give_null_and_a_reason(spark):
-    df = spark.createDataFrame([(1, [1.0] * 5, 500), (2, [float(k % 7) for k in range(400)], 500), (3, [1.0] * 400, 60), (4, [], 500), (5, None, 500)], "id int, samples array<double>, fs int")
+    df = spark.createDataFrame([(1, [1.0] * 5, 500), (2, [float(k % 7) for k in range(400)], 500), (3, [1.0] * 400, 60), (4, [], 500), (5, None, 500), (6, [1.0] * 99 + [float("nan")], 500)], "id int, samples array<double>, fs int")
     got = {r.id: r.o for r in df.select("id", arrow.outcome(lambda m, f: k.lowpass(m, f, 40.0))("samples", "fs").alias("o")).collect()}
     assert got[1].samples is None and "more than 15 samples" in got[1].error and got[3].samples is None and "cut-off" in got[3].error and "no samples" in got[4].error
+    assert got[6].samples is None and "finite" in got[6].error
     assert len(got[2].samples) == 400 and got[2].error is None and got[5].samples is None
     assert [r.n for r in df.select("id", F.size(arrow.lowpass(F.col("samples"), F.col("fs"), 40.0)).alias("n")).orderBy("id").collect()][1] == 400
     # cleaners of absent libraries leave the lead as it is
@@ -270,3 +271,12 @@ def test_denoiser(tmp_path, spark):
     assert signal.shape == baseline.shape == (1, 5000) and np.allclose(signal[0], out[0, :5000])
     with pytest.raises(ValueError, match="lack"):
         denoise.Network({})
+
+
+def test_smoothing_wider_than_the_signal():
+    rng = np.random.default_rng(3)
+    for n, sigma in ((5, 20.0), (12, 3.1), (40, 10.0), (1, 2.0)):
+        x = rng.normal(size=n)
+        radius = int(4 * sigma + 0.5)
+        w = np.exp(-0.5 * (np.arange(-radius, radius + 1) / sigma) ** 2)
+        assert np.allclose(k.gaussian_smooth(x, sigma), np.convolve(np.pad(x, radius, "symmetric"), w / w.sum(), "valid"))
