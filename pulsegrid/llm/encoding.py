@@ -3,13 +3,14 @@
 A smoothed character n-gram model is trained on clean text: words of fields in which no chain of a wrong and a right
 decoding reads as valid UTF-8. Every chain is then tried on every word that has characters outside ASCII: the gain of a
 chain is the log-likelihood of the word it gives less that of the word as stored. Within a field the chain with the
-largest sum of accepted gains wins; a word is changed only where its gain exceeds a margin, which is validated on clean
-words held out of the training and on the same words spoilt on purpose. Letters that a decoding replaced by question marks are found
-by the same model: a word is taken to have lost letters where the likeliest letters in place of its marks gain beyond the
-margin over the word without them, as a mark that only ends a question does not.
+largest sum of accepted gains wins; a word is changed only where its gain exceeds a margin, which is validated on all clean
+words with characters outside ASCII and on the same words spoilt on purpose, each under the model without that word. Letters
+that a decoding replaced by question marks are found by the same model: a word is taken to have lost letters where the
+likeliest letters in place of its marks gain beyond the margin over the word without them, as a mark that only ends a question
+does not.
 
-Counts cover all rows; only their sums, as many as there are character sequences in the languages of the data, come to the
-driver, and a check on their number stands before that.
+Counts and margin cover all rows; only the sums of the counts, as many as there are character sequences in the languages of
+the data, and the mistakes at each margin come to the driver, and a check on the number of sequences stands before that.
 
 Defined results: null, empty and ASCII text without ``?`` is no case; replacement characters, ``?`` in a name, runs of ``?``
 and those the model takes for letters mean that letters are lost (-1); text of any length is read whole; repeated rows count once.
@@ -43,8 +44,9 @@ CHAINS: list[tuple[tuple[str, str], ...]] = [
 ]
 #: Character sequences the model may have; a language has some thousands.
 MODEL_BOUND = 2_000_000
-#: Held-out clean words on which the margin is validated.
-HELD_OUT = 4_000
+#: Margins that are tried, and the one taken where the words speak for none.
+MARGINS = [x / 4 for x in range(2, 41)]
+USUAL_MARGIN = 3.0
 
 
 @Memo
@@ -141,6 +143,39 @@ class CharModel:
         return s
 
 
+def weight(n: int) -> float:
+    """What a word met n times counts in the model: by the logarithm, so that a spelling met once or twice does not vouch for itself."""
+    return 0.2 + max(0.0, math.log2(n + 1) - 1)
+
+
+class Without(CharModel):
+    """The model as it would be had it never met one of its words."""
+
+    def __init__(self, model: CharModel) -> None:
+        self.n, self.after, self.kinds = model.n, model.after, model.kinds
+        self.leave("", 0)
+
+    def leave(self, word: str, n: int) -> None:
+        """Leave out a word that was met n times, and no other."""
+        self.own: Counter = Counter()
+        for g in grams(word) if n else ():
+            self.own[g] += weight(n)
+        self.own_after: Counter = Counter()
+        self.own_kinds: Counter = Counter()
+        for g, x in self.own.items():
+            self.own_after[g[:-1]] += x
+            self.own_kinds[g[:-1]] += self.n[g] - x < weight(1) / 2  # no other word has it
+        self._cache, self.gained = {}, {}
+
+    def _p(self, g: str) -> float:
+        back = self._p(g[1:]) if len(g) > 1 else 1e-6
+        kinds = self.kinds.get(g[:-1], 0) - self.own_kinds.get(g[:-1], 0)
+        if not kinds:
+            return back
+        total = self.after[g[:-1]] - self.own_after.get(g[:-1], 0)
+        return (max(self.n.get(g, 0) - self.own.get(g, 0) - 0.75, 0) + 0.75 * kinds * back) / total
+
+
 def gains(word: str, model: CharModel) -> dict[int, tuple[float, str]]:
     """chain number -> (gain, restored word) of the chains that apply and change the word; kept with the model, as words recur."""
     if (kept := model.gained.get(word)) is not None:
@@ -205,18 +240,36 @@ def restore(text: str, model: CharModel, margin: float) -> str:
     return " ".join(change.get(w, w) for w in words)
 
 
-def validated_margin(model: CharModel, clean: list[str]) -> float:
-    """The margin with the fewest mistakes on clean words left alone and on the same words spoilt and restored."""
-    good, bad = [], []
-    for k, w in enumerate(clean):
-        by = gains(w, model)
-        good.append(max((g for g, _ in by.values()), default=-1.0))
-        wrong = MISREAD_UTF8[k % 4]
-        spoilt = "".join(_chars_of(wrong)[b] for b in w.encode("utf-8"))
-        by = gains(spoilt, model)
-        bad.append(max((g for g, new in by.values() if new == w), default=-1.0))
-    grid = [x / 4 for x in range(2, 41)]
-    return min(grid, key=lambda m: (sum(g > m for g in good) + sum(b <= m for b in bad), abs(m - 3)))
+def trials(word: str, model: CharModel) -> tuple[float, list[float]]:
+    """The largest gain of a chain over a clean word, and what it gains over its forms spoilt by the commonest misreadings."""
+    spoilt = ["".join(_chars_of(wrong)[b] for b in word.encode("utf-8")) for wrong in MISREAD_UTF8[:4]]
+    return max((g for g, _ in gains(word, model).values()), default=-1.0), [model.score(word) - model.score(w) for w in spoilt]
+
+
+def validated_margin(words: DataFrame, counts: dict[str, float]) -> float:
+    """The margin with the fewest mistakes on clean words left alone and on their spoilt forms restored.
+
+    All of (word, n) with characters outside ASCII are tried, each under the model without it, by the tasks; their counts of mistakes alone are collected.
+    """
+    context = words.sparkSession.sparkContext
+    shared = context.broadcast(counts)  # bounded by MODEL_BOUND
+
+    def mistakes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = Without(CharModel(shared.value))
+        for b in batches:
+            good, bad = [], []
+            for w, n in zip(b.word, b.n, strict=True):
+                model.leave(w, n)
+                alone, restored = trials(w, model)
+                good.append(alone)
+                bad += restored
+            yield pd.DataFrame({"margin": MARGINS, "mistakes": [sum(g > m for g in good) + sum(g <= m for g in bad) for m in MARGINS]})
+
+    # words are few bytes and much work, so their number of tasks is not left to their size
+    odd = words.where(F.col("word").rlike(r"[^\x00-\x7f]")).repartition(context.defaultParallelism)
+    made = {r.margin: r.mistakes for r in odd.mapInPandas(mistakes, "margin double, mistakes long").groupBy("margin").agg(F.sum("mistakes").alias("mistakes")).collect()}
+    shared.destroy()
+    return min(MARGINS, key=lambda m: (made.get(m, 0), abs(m - USUAL_MARGIN)))
 
 
 def field_texts(records: DataFrame) -> DataFrame:
@@ -255,32 +308,20 @@ def train(texts: DataFrame) -> tuple[CharModel, float]:
 
     words = cut(texts.select("text").mapInPandas(clean_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
     words = cut(_without_spoilt(words))
-    # a tenth of the words with characters outside ASCII is kept from the training to validate the margin
-    apart = (F.pmod(F.xxhash64("word"), F.lit(10)) == 0) & F.col("word").rlike(r"[^\x00-\x7f]")
-
-    def word_grams(words: Iterator[str], times: Iterator[int]) -> Counter:
-        # by the logarithm of its count, so that a spelling met once or twice does not vouch for itself
-        n: Counter = Counter()
-        for w, k in zip(words, times, strict=True):
-            for g in grams(w):
-                n[g] += 0.2 + max(0.0, math.log2(k + 1) - 1)
-        return n
-
-    def split_grams(batches: Iterator[pd.DataFrame], count) -> Iterator[pd.DataFrame]:  # noqa: ANN001
+
+    def word_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for apart_too, own in b.groupby("apart"):
-                n = count(own.word, own.n)
-                yield pd.DataFrame({"g": list(n), "n": list(n.values()), "apart": bool(apart_too)})
+            n: Counter = Counter()
+            for w, k in zip(b.word, b.n, strict=True):
+                for g in grams(w):
+                    n[g] += weight(k)
+            yield pd.DataFrame({"g": list(n), "n": list(n.values())})
 
-    counts = words.withColumn("apart", apart)
-    counts = cut(counts.mapInPandas(lambda b: split_grams(b, word_grams), "g string, n double, apart boolean").groupBy("g").agg(F.sum("n").alias("n"), F.sum(F.when(~F.col("apart"), F.col("n"))).alias("kept")))
+    counts = cut(words.mapInPandas(word_grams, "g string, n double").groupBy("g").agg(F.sum("n").alias("n")))
     if counts.count() > MODEL_BOUND:
         raise ValueError(f"more than {MODEL_BOUND} character sequences; raise MODEL_BOUND with the memory of the executors")
-    rows = [(r.g, r.n, r.kept) for r in counts.toLocalIterator()]
-    held = [r.word for r in words.where(apart & (F.col("n") > 1)).orderBy(F.desc("n"), "word").limit(HELD_OUT).collect()]
-    # the margin is validated on a model that never saw the held-out words; the model in use has seen all
-    margin = validated_margin(CharModel({g: k for g, _, k in rows if k}), held) if held else 3.0
-    return CharModel({g: n for g, n, _ in rows}), margin
+    sums = {r.g: r.n for r in counts.toLocalIterator()}
+    return CharModel(sums), validated_margin(words, sums)
 
 
 def spoilt_fields(records: DataFrame) -> DataFrame:

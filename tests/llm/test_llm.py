@@ -231,6 +231,39 @@ def test_character_model_is_a_distribution():
         assert 0.7 < known <= 1.0000001
 
 
+def model_of(words):
+    counts = {}
+    for w, n in words.items():
+        for g in encoding.grams(w):
+            counts[g] = counts.get(g, 0) + encoding.weight(n)
+    return encoding.CharModel(counts)
+
+
+def test_margin_is_validated_on_every_word_without_it(spark):
+    rng = random.Random(1)
+    # many words of one alphabet, met up to three times, and a few short ones of another
+    words = {"".join(rng.choice("aeiorlnéñí") for _ in range(rng.randint(2, 6))): 1 for _ in range(60)}
+    words |= {"".join(rng.choice("аеиорлнв") for _ in range(rng.randint(1, 4))): 1 for _ in range(30)}
+    words |= {"rené": 2, "león": 3}
+    df = spark.createDataFrame([(f"r{n}", "last_name", w) for w, k in words.items() for n in range(k)], "record_id string, field_name string, text string")
+    kept = {r.word: r.n for r in encoding._without_spoilt(spark.createDataFrame(list(words.items()), "word string, n long")).collect()}
+    made = dict.fromkeys(encoding.MARGINS, 0)
+    whole, without = model_of(kept), encoding.Without(model_of(kept))
+    for w, n in kept.items():
+        if w.isascii():
+            continue
+        rest = model_of({v: k for v, k in kept.items() if v != w})
+        without.leave(w, n)
+        assert without.score(w) == pytest.approx(rest.score(w)) and without.score("Íéн") == pytest.approx(rest.score("Íéн"))
+        good = max((g for g, _ in encoding.gains(w, rest).values()), default=-1)
+        bad = [max(g for g, new in encoding.gains(spoil(w, m), rest).values() if new == w) for m in encoding.MISREAD_UTF8[:4]]
+        for m in made:
+            made[m] += (good > m) + sum(g <= m for g in bad)
+    model, margin = encoding.train(df)
+    assert model.n == pytest.approx(whole.n)
+    assert margin == min(made, key=lambda m: (made[m], abs(m - 3))) != 3
+
+
 ITEM = " ".join(f"word{k} of item" for k in range(20))
 
 
